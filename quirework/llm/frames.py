@@ -17,9 +17,12 @@ LEAST_COUNT = 4
 #: Share of a frame form's lines that stand among the first or last EDGE lines of pages with more than 3 x EDGE lines.
 EDGE_SHARE = 0.75
 EDGE = 2
+#: A line of the text may end a sentence, one of the frame doesn't.
+SENTENCE_END = "[.;:!?,؟؛،]$"
 
-FOLD_FROM = "àâäáãéèêëíîïìóôöòõúûüùçñ0oil1|!5$8ɑأإآىةک"
-FOLD_TO = "aaaaaeeeeiiiiooooouuuucnooiiiiissbaاااיهك".replace("י", "ي")
+#: Letters and what they fold to.
+FOLD_FROM = "àâäáãéèêëíîïìóôöòõúûüùçñ" + "0oil|1!5ɑ" + "أإآىةک"
+FOLD_TO = "aaaaaeeeeiiiiooooouuuucn" + "ooiiiiisa" + "ااايهك"
 
 
 def form(line: Column) -> Column:
@@ -56,6 +59,7 @@ def frame_forms(pages: DataFrame, text: str = "text") -> DataFrame:
     low = F.col("edge") / F.col("judged") - 0.5 / F.sqrt("judged")
     return (
         counted.crossJoin(F.broadcast(total))  # one row
+        .where(~F.col("form").rlike(SENTENCE_END))
         .where((F.col("n") >= LEAST_SHARE * F.col("total")) & (F.col("judged") > 0) & (low >= EDGE_SHARE - 0.1) & (F.col("edge") >= EDGE_SHARE * F.col("judged")))
         .select("form")
     )
