@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("splitting", "confusables", "langid")
+MODULES = ("splitting", "alignment", "subjects", "confusables", "langid", "levels")
 
 
 def queries() -> dict[str, Callable]:
