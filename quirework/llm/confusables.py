@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quirework.llm.pairs import differing_pairs
 from quirework.sources.tables import table
 
 #: Letters of other scripts that print like a Latin letter.
@@ -117,21 +118,12 @@ def alike_pairs(rows: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b, of rows of one group (tbl, doc_id) that look the same but are stored otherwise.
 
     rows: tbl, id, doc_id, text. Rows with a null text or group pair with none. Exact copies of a text meet only
-    the rows with another spelling. Only groups with at least two spellings are joined.
+    the rows with another spelling.
     """
     keyed = rows.where("text IS NOT NULL AND doc_id IS NOT NULL AND text <> ''").select(
         "tbl", "doc_id", "id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.sha2(consistent(F.col("text")), 256)).alias("form")
     )
-    key = ["tbl", "doc_id", "form"]
-    marked = keyed.groupBy(*key, "raw").agg(F.collect_list("id").alias("ids"))
-    several = marked.groupBy(*key).agg(F.collect_list(F.struct("raw", "ids")).alias("spellings")).where(F.size("spellings") > 1)
-    # An entry for each pair of spellings; a bulletin holds few spellings of one text, copies sit in the id lists.
-    pairs = several.select("tbl", F.posexplode("spellings").alias("k", "a"), "spellings").select(
-        "tbl", "a", F.explode(F.slice("spellings", F.col("k") + 2, F.greatest(F.size("spellings") - F.col("k") - 1, F.lit(0)))).alias("b")
-    )
-    return pairs.select("tbl", F.explode("a.ids").alias("x"), F.col("b.ids").alias("ys")).select("tbl", "x", F.explode("ys").alias("y")).select(
-        "tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")
-    )
+    return differing_pairs(keyed, ["tbl", "doc_id", "form"], ["tbl"])
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
