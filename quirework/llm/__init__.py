@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("splitting", "alignment", "subjects", "confusables", "ocr", "names", "langid", "levels")
+MODULES = ("splitting", "alignment", "subjects", "confusables", "ocr", "names", "langid", "packing", "mixing", "levels")
 
 
 def queries() -> dict[str, Callable]:

@@ -53,6 +53,7 @@ NUMBER = re.compile(r"^[\d٠-٩.,/\-–:°%]+$")
 CHUNK = re.compile(r"[^\s'’]+['’]?")
 HYPHEN_END = re.compile(rf"([^\W\d_][\w~^]*)[{BREAKS}]\s*$")
 MARKS = re.compile(r"[~^.,;:(_|!*]")
+INSIDE = re.compile(r"[^\W\d_]{2}[~^(,.;|][^\W_]|[^\W_][~^(,.;|][^\W\d_]{2}")
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -70,12 +71,14 @@ class Word:
     pieces: list[tuple[int, int]]
 
 
-def running(lines: list[str], frame: list[bool], known: dict[str, int] | None = None) -> tuple[list[Word], list[int]]:
-    """The words of the text lines in order, words broken at line ends joined, and the lines that end in such a word.
+def running(lines: list[str], frame: list[bool], known: dict[str, int] | None = None) -> tuple[list[Word], list[int], list[int]]:
+    """The words of the text lines in order, words broken at line ends joined; the lines that end in such a word; the
+    lines with a blank after a word's own hyphen.
 
     known: counts of words, by which a hyphen at a line end belongs to the word or not.
     """
     known = known or {}
+    blanks: list[int] = []
     body = [k for k, f in enumerate(frame) if not f and lines[k].strip()]
     words: list[Word] = []
     broken: list[int] = []
@@ -98,13 +101,20 @@ def running(lines: list[str], frame: list[bool], known: dict[str, int] | None =
         if chunks and HYPHEN_END.search(line) and re.match(r"\w", following):
             carry = (core(chunks[-1]), k)
             chunks = chunks[:-1]
-        for c in chunks:
+        skip = False
+        for c, d in zip(chunks, [*chunks[1:], ""], strict=True):
+            if skip:
+                skip = False
+                continue
             w = core(c)
+            if c[-1] == "-" and d and known and core(c + d) in known:
+                w, skip = core(c + d), True
+                blanks.append(k)
             if w:
                 words.append(Word(w, [(k, len(w))]))
     if carry is not None:
         words.append(Word(carry[0], [(carry[1], len(carry[0]))]))
-    return words, broken
+    return words, broken, blanks
 
 
 @dataclass(frozen=True)
@@ -132,7 +142,7 @@ class Decoder:
         for (a, b), p in model.confusions.items():
             by_read[b].append((a, p))
         self.by_read = dict(by_read)
-        self.unknown = math.log(0.3 / max(model.total, 1))
+        self.unknown = -math.log(max(model.total, 1))
         self.unusual = math.log(2e-5)
         self.mark = math.log(2e-3)
         self.blank = math.log(1e-3)
@@ -187,7 +197,8 @@ class Decoder:
     def log_word(self, before: str, w: str) -> float:
         c = self.m.words.get(w)
         if c is None:
-            return self.unknown if LETTER.search(w) else math.log(1e-4)
+            # an unknown word is spelt letter by letter
+            return self.unknown - min(len(w), 12) if LETTER.search(w) else math.log(1e-4)
         single = c / self.m.total
         pair = self.m.pairs.get((before, w), 0)
         return math.log((pair + BACKING * single) / (self.m.words.get(before, 0) + BACKING))
@@ -220,7 +231,11 @@ class Decoder:
             start = max(0, low - 1)
             changes += self._search(words, start, high, misread)
             k = high
-        return changes
+        changed = {k for first, count, _ in changes for k in range(first, first + count)}
+        for k in range(n):  # a word that no known word explains, but with a mark inside
+            if flags[k] and k not in changed and INSIDE.search(words[k]):
+                changes.append((k, 1, (MARKS.sub("", words[k]),)))
+        return sorted(changes)
 
     def _search(self, words: list[str], start: int, end: int, misread: float) -> list[tuple[int, int, tuple[str, ...]]]:
         right, wrong = math.log(1 - misread), math.log(misread)
@@ -316,7 +331,7 @@ def _counted(pages: DataFrame, forms: frozenset[str]) -> DataFrame:
             double: Counter[tuple[str, str]] = Counter()
             for text, own in zip(batch["text"], batch["forms"], strict=True):
                 lines = text.split("\n")
-                words, _ = running(lines, [f in forms for f in own])
+                words, _, _ = running(lines, [f in forms for f in own])
                 # what was joined at a line end may be wrong until the counts are known
                 seen = [w.text if len(w.pieces) == 1 else "" for w in words]
                 single.update(seen)
@@ -390,10 +405,10 @@ def repaired(pages: DataFrame, forms: frozenset[str], model: Model) -> DataFrame
             for tbl, row, text, doubt, own in zip(batch["tbl"], batch["row_id"], batch["text"], batch["doubt"], batch["forms"], strict=True):
                 lines = text.split("\n")
                 frame = [f in forms for f in own]
-                words, broken = running(lines, frame, model.words)
+                words, broken, blanks = running(lines, frame, model.words)
                 prior = MISREAD if doubt is None or math.isnan(doubt) else min(0.04, max(0.01, doubt / 5))
                 changes = decoder.decode([w.text for w in words], prior)
-                misread = sorted({k for c in changes for k in touched(words, c)})
+                misread = sorted({k for c in changes for k in touched(words, c)} | set(blanks))
                 out.append((tbl, row, [k for k, f in enumerate(frame) if f], broken, misread, paragraphs(lines, frame, words, broken, changes)))
             yield pd.DataFrame(out, columns=["tbl", "row_id", "furniture", "hyphen", "misread", "text"])
 
