@@ -11,18 +11,19 @@ Null stays null; an empty text stays empty. Case, accents, digits, punctuation a
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quirework.llm.pairs import differing_pairs
-from quirework.sources.tables import table
+from quirework.sources.tables import cut, table
 
 #: Letters of other scripts that print like a Latin letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТХУЅІЈԚԜЗаеорсхуѕіјԛԝһԁ", "ABEKMHOPCTXYSIJQW3aeopcxysijqwhd", strict=True))
@@ -42,13 +43,12 @@ UNSEEN = re.compile(
 )
 BLANK = re.compile("[ \t   -   　]")
 LINE_END = re.compile("\r\n|[\r\x0b\x0c\x85  ]")
-HYPHENS = str.maketrans("‐‑−﹣", "----")
 TOKEN = re.compile(r"[^\W\d_]+")
 ENDS = re.compile(r" +(?=\n|$)")
-#: A text without any of these is in its one form already. Java's syntax.
-SUSPECT = (
-    r"[^\x20-\x7E\n\xAB\xB0\xBB\xC0-\xD6\xD8-\xF6\xF8-\x{130}\x{132}-\x{17E}"
-    r"\x{621}-\x{63A}\x{640}-\x{652}\x{660}-\x{669}\x{60C}\x{61B}\x{61F}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]| \n| $"
+#: A text without any of these is in its one form already.
+SUSPECT = re.compile(
+    "[^\x20-\x7e\n\xab\xb0\xbb\xc0-\xd6\xd8-\xf6\xf8-\u0130\u0132-\u017e\u0621-\u063a\u0640-\u0652\u0660-\u0669\u060c\u061b\u061f\u2013\u2014\u2018\u2019\u201c\u201d]"
+    "| \n| $"
 )
 
 _SCRIPTS: dict[str, frozenset[str]] = {}
@@ -77,72 +77,97 @@ def _spell(token: str, script: str) -> str:
     return "".join(table_.get(c, c) if unicodedata.name(c, "").split(" ")[0] != script else c for c in token)
 
 
+def needs_form(text: str) -> bool:
+    """Whether a text may not be in its one form."""
+    return SUSPECT.search(text) is not None
+
+
+WIDE_BLANK = re.compile(BLANK.pattern.replace(" ", "", 1))
+SAME = ARABIC | LATIN_LOOKALIKE | dict.fromkeys("‐‑−﹣", "-")
+SAME_LETTER = re.compile("[" + "".join(SAME) + "]")
+OTHER_SCRIPT = re.compile("[" + "".join(TO_LATIN) + "]")
+#: Letters that one script alone has.
+ONLY = {
+    "LATIN": re.compile("[A-Za-zÀ-ɏ]".replace("[", "(?![" + "".join(sorted({*TO_CYRILLIC, *TO_GREEK})) + "])[", 1)),
+    "CYRILLIC": re.compile("(?![" + "".join(CYRILLIC) + "])[Ѐ-ԯ]"),
+    "GREEK": re.compile("(?![" + "".join(GREEK) + "])[Ͱ-Ͽ]"),
+    "ARABIC": re.compile("[ء-ۿ]"),
+}
+
+
 def one_form(text: str) -> str:
     """The consistent form of a text."""
-    text = LINE_END.sub("\n", unicodedata.normalize("NFKD", UNSEEN.sub("", text)))
-    text = BLANK.sub(" ", UNSEEN.sub("", text)).translate(HYPHENS)
-    text = "".join(map(lambda c: ARABIC.get(c) or LATIN_LOOKALIKE.get(c, c), text)) if not text.isascii() else text
-    if not any(c in TO_LATIN for c in text):
-        return ENDS.sub("", unicodedata.normalize("NFC", text))
-    sets = {m.group(): frozenset.intersection(*map(scripts, m.group())) for m in TOKEN.finditer(text)}
-    votes: Counter[str] = Counter()
-    for c in text:
-        if c.isalpha() and len(s := scripts(c)) == 1:
-            votes[next(iter(s))] += 1
-    chief = max(votes, key=lambda s: (votes[s], s == "LATIN")) if votes else "LATIN"
-
-    def respell(m: re.Match) -> str:
-        token, possible = m.group(), sets[m.group()]
-        if chief in possible:  # mixed letters that agree, or a whole-script confusable
-            return _spell(token, chief)
-        if possible:
-            return _spell(token, max(possible, key=lambda s: (votes[s], s == "LATIN", s)))
-        return token
-
-    return ENDS.sub("", unicodedata.normalize("NFC", TOKEN.sub(respell, text)))
+    text = WIDE_BLANK.sub(" ", UNSEEN.sub("", LINE_END.sub("\n", unicodedata.normalize("NFKD", text))))
+    text = SAME_LETTER.sub(lambda m: SAME[m.group()], text)
+    if OTHER_SCRIPT.search(text):
+        votes = {s: len(p.findall(text)) for s, p in ONLY.items()}
+        chief = max(votes, key=lambda s: (votes[s], s == "LATIN"))
+
+        def respell(m: re.Match) -> str:
+            token = m.group()
+            if not OTHER_SCRIPT.search(token):
+                return token
+            possible = frozenset.intersection(*map(scripts, token))
+            if chief in possible:  # mixed letters that agree, or a whole-script confusable
+                return _spell(token, chief)
+            return _spell(token, max(possible, key=lambda s: (votes.get(s, 0), s == "LATIN", s))) if possible else token
+
+        text = TOKEN.sub(respell, text)
+    return ENDS.sub("", unicodedata.normalize("NFC", text))
 
 
 @F.pandas_udf(StringType())
 def _one_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([None if t is None else one_form(t) for t in texts], dtype=object)
+        yield pd.Series([t if t is None or not needs_form(t) else one_form(t) for t in texts], dtype=object)
 
 
 def consistent(text: Column) -> Column:
-    """The consistent form of a text column. Only texts that may need a change leave the JVM."""
-    suspect = text.rlike(SUSPECT)
-    return F.when(suspect, _one_form(F.when(suspect, text))).otherwise(text)
+    """The consistent form of a text column."""
+    return _one_form(text)
+
+
+def digests(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, raw, form): digests of the stored text and of its consistent form, for rows with a text that isn't empty."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", raw binary, form binary"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, form = [], []
+            for t in batch.column("text").to_pylist():
+                own = hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()
+                raw.append(own)
+                form.append(hashlib.md5(one_form(t).encode("utf-8", "surrogatepass")).digest() if needs_form(t) else own)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(raw, pa.binary()), pa.array(form, pa.binary())], names=[*keys, "raw", "form"])
+
+    return rows.where("text IS NOT NULL AND text <> ''").select(*keys, "text").mapInArrow(digest, schema)
 
 
-def alike_pairs(rows: DataFrame) -> DataFrame:
+def alike_pairs(keyed: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b, of rows of one group (tbl, doc_id) that look the same but are stored otherwise.
 
-    rows: tbl, id, doc_id, text. Rows with a null text or group pair with none. Exact copies of a text meet only
-    the rows with another spelling.
+    keyed: tbl, doc_id, id, raw, form. Rows with a null group pair with none. Exact copies of a text meet only the rows
+    with another spelling.
     """
-    keyed = rows.where("text IS NOT NULL AND doc_id IS NOT NULL AND text <> ''").select(
-        "tbl", "doc_id", "id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.sha2(consistent(F.col("text")), 256)).alias("form")
-    )
-    return differing_pairs(keyed, ["tbl", "doc_id", "form"], ["tbl"])
+    return differing_pairs(cut(keyed.where("doc_id IS NOT NULL")), ["tbl", "doc_id", "form"], ["tbl"])
 
 
-def _rows(spark: SparkSession, folder: str) -> DataFrame:
+def _keyed(spark: SparkSession, folder: str) -> DataFrame:
     articles = table(spark, folder, "articles")
-    own = articles.select(F.lit("articles").alias("tbl"), F.col("id"), "doc_id", F.col("raw_text").alias("text"))
+    own = digests(articles.select("id", "doc_id", F.col("raw_text").alias("text")), ["id", "doc_id"])
     home = articles.select(F.col("id").alias("article_id"), "doc_id")
-    named = table(spark, folder, "entities").select("id", "article_id", "text").join(home, "article_id")
-    return own.unionByName(named.select(F.lit("entities").alias("tbl"), "id", "doc_id", "text"))
+    named = digests(table(spark, folder, "entities").where("article_id IS NOT NULL").select("id", "article_id", "text"), ["id", "article_id"]).join(home, "article_id")
+    return own.select(F.lit("articles").alias("tbl"), "doc_id", "id", "raw", "form").unionByName(named.select(F.lit("entities").alias("tbl"), "doc_id", "id", "raw", "form"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of a bulletin that look the same and differ in at least one code point."""
-    return alike_pairs(_rows(spark, folder))
+    return alike_pairs(_keyed(spark, folder))
 
 
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every article and entity with the digest of its consistent form and whether the form differs from what is stored."""
-    rows = _rows(spark, folder).withColumn("form", consistent(F.col("text")))
-    return rows.select("tbl", "id", "doc_id", F.md5("form").alias("form_md5"), (F.col("form") != F.col("text")).alias("changed"))
+    return _keyed(spark, folder).select("tbl", "id", "doc_id", F.lower(F.hex("form")).alias("form_md5"), (F.col("form") != F.col("raw")).alias("changed"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}
