@@ -13,6 +13,7 @@ subjects that aren't among its labels at a small prior. Every article is scored
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.confusables import one_form
+from quirework.llm.confusables import needs_form, one_form
 from quirework.sources.tables import table
 
 #: Most labelled articles to learn from, and most characters of one that the learner reads.
@@ -34,6 +35,7 @@ FOLDS = 4
 
 CLAUSE = re.compile(r"(?<=[.;:!?؟؛])\s+|\s*[\r\n\f]+\s*")
 WORD = re.compile(r"[^\W\d_]+")
+DIGITS = re.compile(r"[\d٠-٩]+")
 #: A reference to a text, with the title that may follow in brackets or after a linking word.
 CITED = re.compile(
     r"(?:n\s?°|n[o°º]\.?\s|رقم|no\.\s|núm\.)\s?[\d٠-٩][\d٠-٩.\-/]*\s*(?:\([^)]{0,300}\)|(?:relati[fv]e?s? [àa]|concernant|portant|المتعلق[ة]? ب)[^,.;؛)]{0,200})?", re.IGNORECASE
@@ -45,26 +47,28 @@ ARABIC_PREFIX = re.compile(r"^(?:[وف]?(?:[بك]?ال|لل))(?=\w{2})")
 
 def words_of(text: str) -> list[str]:
     """Words, lower case, without the Arabic article and what is written with it."""
-    return [ARABIC_PREFIX.sub("", w.lower()) for w in WORD.findall(text)]
+    return [w if w < "\u0600" else ARABIC_PREFIX.sub("", w) for w in WORD.findall(text.lower())]
 
 
-def clauses(text: str) -> tuple[list[list[str]], list[str]]:
-    """The clauses of an article, each as words, and the words of cited titles and quotations."""
-    plain = one_form(text)
-    own, titles = [], []
-    for clause in CLAUSE.split(plain):
-        for m in CITED.finditer(clause):
-            titles += words_of(m.group())
-        cited = CITED.search(clause) is not None
+def clause_strings(text: str) -> list[str]:
+    """The clauses of an article in one form, numbers masked."""
+    plain = text if not needs_form(text) else one_form(text)
+    return [c for c in CLAUSE.split(DIGITS.sub("0", plain)) if c]
+
+
+def clause_words(clause: str) -> tuple[list[str], list[str]]:
+    """The words of a clause, and those of the titles and quotations in it."""
+    titles: list[str] = []
+    rest = clause
+    if "0" in clause and CITED.search(clause):
+        titles = [w for m in CITED.finditer(clause) for w in words_of(m.group())]
         rest = CITED.sub(" ", clause)
-        if cited:
-            titles += [w for m in BRACKETED.findall(rest) for w in words_of(m)]
-            rest = BRACKETED.sub(" ", rest)
+        titles += [w for m in BRACKETED.findall(rest) for w in words_of(m)]
+        rest = BRACKETED.sub(" ", rest)
+    if any(q in rest for q in "«“\""):
         titles += [w for m in QUOTED.findall(rest) for w in words_of(m)]
-        words = words_of(QUOTED.sub(" ", rest))
-        if words:
-            own.append(words)
-    return own, titles
+        rest = QUOTED.sub(" ", rest)
+    return words_of(rest), titles
 
 
 @dataclass(frozen=True)
@@ -75,16 +79,72 @@ class Terms:
     log_lift: np.ndarray
     prior: np.ndarray
 
-    def posterior(self, clauses_: list[list[str]]) -> np.ndarray:
-        """For each clause, the probability of each subject, and of none in the last column."""
-        score = np.tile(np.log(self.prior), (len(clauses_), 1))
-        for i, words in enumerate(clauses_):
-            known = [self.index[w] for w in set(words) if w in self.index]
-            if known:
-                score[i] += self.log_lift[:, known].sum(1)
-        score -= score.max(1, keepdims=True)
-        p = np.exp(score)
-        return p / p.sum(1, keepdims=True)
+    def lifts_of(self, groups: list[list[str]]) -> np.ndarray:
+        """Summed log lifts of the distinct words of each group."""
+        known = [[self.index[w] for w in set(g) if w in self.index] for g in groups]
+        owner = np.repeat(np.arange(len(groups)), [len(k) for k in known])
+        word = np.array([i for k in known for i in k], int)
+        return np.column_stack([np.bincount(owner, weights=row[word], minlength=len(groups)) for row in self.log_lift])
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(-1, keepdims=True))
+    return p / p.sum(-1, keepdims=True)
+
+
+class Scorer:
+    """Scores articles with one set of terms. Clauses recur, so their scores are kept, up to a bound."""
+
+    MOST = 300_000
+
+    def __init__(self, terms: Terms):
+        self.terms, self.subjects = terms, len(terms.prior) - 1
+        self._reset()
+
+    def _reset(self) -> None:
+        self.at: dict[str, int] = {}
+        self.posterior = np.zeros((1024, self.subjects + 1))
+        self.title = np.zeros((1024, self.subjects + 1))
+        self.worded = np.zeros(1024, bool)
+        self.titled = np.zeros(1024, bool)
+
+    def _learn(self, clauses: list[str]) -> None:
+        first, new = len(self.at), []
+        for c in clauses:
+            if c not in self.at:
+                self.at[c] = first + len(new)
+                new.append(clause_words(c))
+        while len(self.at) > len(self.worded):
+            self.posterior, self.title = np.vstack([self.posterior, np.zeros_like(self.posterior)]), np.vstack([self.title, np.zeros_like(self.title)])
+            self.worded, self.titled = np.append(self.worded, np.zeros_like(self.worded)), np.append(self.titled, np.zeros_like(self.titled))
+        if new:
+            rows = slice(first, first + len(new))
+            self.worded[rows], self.titled[rows] = [bool(w) for w, _ in new], [bool(t) for _, t in new]
+            self.posterior[rows] = softmax(np.log(self.terms.prior) + self.terms.lifts_of([w for w, _ in new]))
+            self.title[rows] = self.terms.lifts_of([t for _, t in new])
+
+    def features(self, articles: list[list[str]], sources: list[tuple[float, ...]]) -> np.ndarray:
+        """(articles, subjects, features): what the chain sees of each subject in each article."""
+        if len(self.at) > self.MOST:
+            self._reset()
+        self._learn([c for a in articles for c in a])
+        at = np.array([self.at[c] for a in articles for c in a], int)
+        owner = np.repeat(np.arange(len(articles)), [len(a) for a in articles])
+        n, m = len(articles), self.subjects
+        p = self.posterior[at, :m] * self.worded[at][:, None]
+        sums, sure, title = np.zeros((n, m)), np.zeros((n, m)), np.zeros((n, m + 1))
+        best = np.zeros((n, m))
+        np.add.at(sums, owner, p)
+        np.add.at(sure, owner, p > 0.5)
+        np.maximum.at(best, owner, p)
+        np.add.at(title, owner, self.title[at])
+        number = np.bincount(owner, weights=self.worded[at], minlength=n)
+        named = np.bincount(owner, weights=self.titled[at], minlength=n) > 0
+        title = softmax(np.log(self.terms.prior) + title)[:, :m] * named[:, None]
+        topical = np.maximum(sums.sum(1, keepdims=True), 1e-6)
+        own = np.stack([np.log1p(sums), sums / topical, best, sure > 0, sure > 1, sure > 2, np.log1p(sure), sure / np.maximum(sure.sum(1, keepdims=True), 1), title], axis=2)
+        general = np.column_stack([np.log1p(number), np.log1p(topical[:, 0]), np.array(sources, float).reshape(n, -1)])
+        return np.concatenate([own, np.repeat(general[:, None, :], m, axis=1)], axis=2)
 
 
 def learn_terms(articles: list[list[list[str]]], labels: np.ndarray, rounds: int = 3, shrink: float = 2.0) -> Terms:
@@ -135,24 +195,6 @@ def learn_terms(articles: list[list[list[str]]], labels: np.ndarray, rounds: int
     return Terms(index, lift, prior)
 
 
-def article_features(own: list[list[str]], titles: list[str], source: tuple[float, ...], terms: Terms) -> np.ndarray:
-    """(subjects, features): what the chain sees of each subject in an article."""
-    subjects = len(terms.prior) - 1
-    p = terms.posterior(own) if own else np.zeros((0, subjects + 1))
-    sums = p[:, :subjects].sum(0)
-    best = p[:, :subjects].max(0) if len(p) else np.zeros(subjects)
-    sure = (p[:, :subjects] > 0.5).sum(0)
-    topical = max(sums.sum(), 1e-6)
-    title = terms.posterior([titles])[0, :subjects] if titles else np.zeros(subjects)
-    general = np.array([np.log1p(len(own)), np.log1p(topical), *source])
-    return np.hstack(
-        [
-            np.column_stack([np.log1p(sums), sums / topical, best, sure > 0, sure > 1, sure > 2, np.log1p(sure), sure / max(sure.sum(), 1), title]),
-            np.tile(general, (subjects, 1)),
-        ]
-    )
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -176,21 +218,30 @@ class Chain:
     weights: tuple[np.ndarray, ...]
     calibration: tuple[tuple[float, float], ...]
 
-    def decode(self, x: np.ndarray, beam: int = BEAM) -> list[tuple[tuple[int, ...], float]]:
-        """The likeliest sets of subjects of one article, with their log probability."""
+    def decode(self, x: np.ndarray, beam: int = BEAM) -> list[tuple[list[int], float]]:
+        """The likeliest set of subjects of each article (articles, subjects, features), with its log probability."""
         z = (x - self.mean) / self.scale
-        paths: list[tuple[float, list[int]]] = [(0.0, [])]
-        for k, subject in enumerate(self.order):
-            base = float(z[subject] @ self.weights[k][: z.shape[1]] + self.weights[k][z.shape[1]])
+        f = z.shape[2]
+        base = np.column_stack([z[:, s] @ w[:f] + w[f] for s, w in zip(self.order, self.weights, strict=True)]).tolist()
+        links = [w[f + 1 :].tolist() for w in self.weights]
+        return [self._search(b, links, beam) for b in base]
+
+    def _search(self, base: list[float], links: list[list[float]], beam: int) -> tuple[list[int], float]:
+        paths: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for k, b in enumerate(base):
+            slope, shift = self.calibration[k]
             grown = []
             for score, chosen in paths:
-                before = np.array([float(s in chosen) for s in self.order[:k]])
-                a, b = self.calibration[k]
-                logit = a * (base + float(before @ self.weights[k][z.shape[1] + 1 :])) + b
-                grown.append((score - np.logaddexp(0, -logit), [*chosen, subject]))
-                grown.append((score - np.logaddexp(0, logit), chosen))
-            paths = sorted(grown, key=lambda g: -g[0])[:beam]
-        return [(tuple(sorted(c)), s) for s, c in paths]
+                logit = slope * (b + sum(links[k][i] for i in chosen)) + shift
+                less = math.log1p(math.exp(-abs(logit)))
+                yes, no = (-less, -less - logit) if logit > 0 else (logit - less, -less)
+                if yes > -9:
+                    grown.append((score + yes, (*chosen, k)))
+                if no > -9:
+                    grown.append((score + no, chosen))
+            paths = sorted(grown, key=lambda g: -g[0])[:beam] if len(grown) > 1 else grown
+        score, chosen = paths[0]
+        return sorted(self.order[k] for k in chosen), score
 
 
 def _design(x: np.ndarray, labels: np.ndarray, order: tuple[int, ...], k: int) -> np.ndarray:
@@ -201,11 +252,12 @@ def fit(rows: list[tuple[str, tuple[float, ...]]], labels: np.ndarray, names: li
     """The chain of labelled articles: (text, source features), and a 0/1 row of labels each."""
     if not rows:
         rows, labels = [("", (0.0, 0.0, 0.0))], np.zeros((1, len(names)))
-    split = [clauses(t) for t, _ in rows]
+    strings = [clause_strings(t) for t, _ in rows]
+    split = [[w for c in own if (w := clause_words(c)[0])] for own in strings]
     order = tuple(int(i) for i in np.argsort(-labels.sum(0), kind="stable"))
 
     def design(terms: Terms, at: np.ndarray) -> np.ndarray:
-        return np.array([article_features(*split[i], rows[i][1], terms) for i in at])
+        return Scorer(terms).features([strings[i] for i in at], [rows[i][1] for i in at])
 
     def links(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         mean, scale = x.reshape(-1, x.shape[2]).mean(0), x.reshape(-1, x.shape[2]).std(0) + 1e-6
@@ -218,7 +270,7 @@ def fit(rows: list[tuple[str, tuple[float, ...]]], labels: np.ndarray, names: li
         rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         if not len(rest) or not len(own):
             continue
-        terms = learn_terms([split[i][0] for i in rest], labels[rest])
+        terms = learn_terms([split[i] for i in rest], labels[rest])
         mean, scale, weights = links(design(terms, rest), labels[rest])
         z = (design(terms, own) - mean) / scale
         for k in range(len(order)):
@@ -227,7 +279,7 @@ def fit(rows: list[tuple[str, tuple[float, ...]]], labels: np.ndarray, names: li
     for k in range(len(order)):
         a, b = _logistic(np.column_stack([held[:, k], np.ones(len(rows))]), labels[:, order[k]], ridge=0.1)
         calibration.append((max(float(a), 0.2), float(b)))
-    terms = learn_terms([s[0] for s in split], labels)
+    terms = learn_terms(split, labels)
     mean, scale, weights = links(design(terms, np.arange(len(rows))), labels)
     return Chain(tuple(names), terms, order, mean, scale, tuple(weights), tuple(calibration))
 
@@ -260,18 +312,13 @@ def subjects_of(articles: DataFrame, chain: Chain) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = shared.value
+        scorer = Scorer(chain.terms)
         for batch in batches:
-            chosen, logs = [], []
-            for doc, number, text in zip(batch["doc_id"], batch["number"], batch["raw_text"], strict=True):
-                own, titles = clauses(text) if text else ([], [])
-                if not own:
-                    chosen.append([])
-                    logs.append(0.0)
-                    continue
-                best, p = chain.decode(article_features(own, titles, source_features(doc, number, text), chain.terms))[0]
-                chosen.append([chain.names[i] for i in best])
-                logs.append(p)
-            yield pd.DataFrame({"article_id": batch["id"], "subjects": chosen, "log_probability": logs})
+            strings = [clause_strings(t) if t else [] for t in batch["raw_text"]]
+            sources = [source_features(d, n, t or "") for d, n, t in zip(batch["doc_id"], batch["number"], batch["raw_text"], strict=True)]
+            found = chain.decode(scorer.features(strings, sources)) if len(strings) else []
+            found = [f if own else ([], 0.0) for f, own in zip(found, strings, strict=True)]
+            yield pd.DataFrame({"article_id": batch["id"], "subjects": [[chain.names[i] for i in f[0]] for f in found], "log_probability": [f[1] for f in found]})
 
     return articles.select("id", "doc_id", "number", "raw_text").mapInPandas(score, "article_id bigint, subjects array<string>, log_probability double")
 
