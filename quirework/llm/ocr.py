@@ -102,7 +102,7 @@ def running(lines: list[str], frame: list[bool], known: dict[str, int] | None =
             carry = (core(chunks[-1]), k)
             chunks = chunks[:-1]
         skip = False
-        for c, d in zip(chunks, [*chunks[1:], ""], strict=True):
+        for c, d in zip(chunks, [*chunks[1:], ""], strict=False):
             if skip:
                 skip = False
                 continue
