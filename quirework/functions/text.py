@@ -7,7 +7,7 @@ A null text stays null in every function.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with a name for a value, so that a value that is used often is computed once and stands in the plan once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return replaced(text, r"(?U)^\s+|\s+$", "")

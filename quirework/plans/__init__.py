@@ -1,4 +1,9 @@
 """Named queries over a data folder, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from quirework.plans import documents, relations, texts, vectors
+
+_MODULES = (texts, relations, documents, vectors)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
