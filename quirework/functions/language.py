@@ -26,10 +26,12 @@ def routed(text: Column, least: float = 0.30) -> Column:
 
 def split_lines(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, language, text): the lines of each text by the language of each, in order, joined by line feeds."""
-    lines = frame.select(key, F.posexplode(F.split(text, "\n")).alias("k", "line")).where(F.trim("line") != "")
+    own = frame.select(F.col(key).alias("own_key"), F.col(text).alias("whole"))
+    lines = own.select("own_key", F.posexplode(F.split("whole", "\n")).alias("place", "line")).where(F.trim("line") != "")
     lines = lines.withColumn("language", F.when(detected(F.col("line"))["language"].isin("fr", "ar"), detected(F.col("line"))["language"]).otherwise("unknown"))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "line")))
-    return lines.groupBy(key, "language").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
+    joined = lines.groupBy("own_key", "language").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    return joined.withColumnRenamed("own_key", key)
 
 
 def split_documents(pages: DataFrame, key: str = "doc_id", page: str = "page_number", text: str = "text") -> DataFrame:

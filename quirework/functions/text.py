@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from quirework.functions import fixed
 from quirework.functions.fixed import AR_LETTERS, GREGORIAN_AR, LAAIHA, PROTECTED_CAPS
 
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
@@ -83,7 +84,7 @@ def dot_leaders(text: Column) -> Column:
 
 def arabic_headers(text: Column) -> Column:
     """Without the running title and lone page numbers."""
-    return replaced(text, r"(?mUd)^\s*(?:الجريدة الرسمية(?:\s*عدد\s*\d+.*?)?|[0-9٠-٩]{1,4})\s*$", "")
+    return replaced(text, r"(?mUd)^\s*(?:الجريدة\s+الرسمية|[0-9٠-٩]{1,4})\s*$", "")
 
 
 def arabic_dots(text: Column) -> Column:
@@ -193,6 +194,32 @@ def clean_arabic(text: Column, lam: bool = True, headers: bool = True, dots: boo
     return squeezed_lines(collapsed(out))
 
 
+@F.pandas_udf(StringType())
+def _pdf_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import re
+
+    known = {**fixed.PDF_WORDS, **fixed.UNACCENTED, **fixed.UNACCENTED_CASED}
+    known |= {k + "s": v + "s" for k, v in known.items() if k[-1] not in "sx" and v[-1] not in "sx"}
+    word = re.compile(r"\w+")
+
+    def right(m: re.Match) -> str:
+        w = m.group()
+        found = known.get(w.lower())
+        if found is None:
+            return w
+        return found.capitalize() if w.lower() in fixed.UNACCENTED_CASED and not w.islower() else found
+
+    for texts in batches:
+        yield texts.map(lambda t: t if t is None else word.sub(right, t))
+
+
+def pdf_words(text: Column) -> Column:
+    """French words put right that come broken out of PDF files. Only texts with such a word leave the JVM."""
+    stems = "|".join(sorted({*fixed.PDF_WORDS, *fixed.UNACCENTED, *fixed.UNACCENTED_CASED}))
+    hit = text.rlike(rf"(?iuU)\b(?:{stems})s?\b")
+    return F.when(hit, _pdf_words(F.when(hit, text))).otherwise(text)
+
+
 def flat_entity(text: Column) -> Column:
     """Blanks single; a page number stuck to the last word gone."""
     flat = strip(replaced(text, r"(?U)\s+", " "))

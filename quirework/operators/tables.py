@@ -69,13 +69,13 @@ def summary(tables: Column) -> Column:
 
 def ascii_tables(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, first_line, lines, markdown): runs of two or more lines with wide gaps, as pipe tables."""
-    lines = frame.select(key, F.posexplode(F.split(text, "\n")).alias("k", "line")).withColumn("wide", F.col("line").rlike(r"\S {4,}\S"))
-    order = Window.partitionBy(key).orderBy("k")
-    marked = lines.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy(key, "wide").orderBy("k"))).where("wide")
-    del order
+    own = frame.select(F.col(key).alias("own_key"), F.col(text).alias("whole"))
+    lines = own.select("own_key", F.posexplode(F.split("whole", "\n")).alias("place", "line")).where(F.col("line").rlike(r"\S {4,}\S"))
+    # neighbouring lines have the same distance from their rank
+    marked = lines.withColumn("island", F.col("place") - F.row_number().over(Window.partitionBy("own_key").orderBy("place")))
     cells = F.transform(F.split(F.trim("line"), r" {3,}"), lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))
     row = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    runs = marked.groupBy(key, "island").agg(F.min("k").alias("first_line"), F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("k", row.alias("row"), F.size(cells).alias("n")))).alias("rows"))
+    runs = marked.groupBy("own_key", "island").agg(F.min("place").alias("first_line"), F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("place", row.alias("row"), F.size(cells).alias("n")))).alias("rows"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("rows")[0]["n"]))
     body = F.transform("rows", lambda r: r["row"])
-    return runs.where("lines > 1").select(key, "first_line", "lines", F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, F.size(body))), "\n").alias("markdown"))
+    return runs.where("lines > 1").select(F.col("own_key").alias(key), "first_line", "lines", F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, F.size(body))), "\n").alias("markdown"))
