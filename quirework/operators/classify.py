@@ -18,14 +18,14 @@ NAMES = list(fixed.DOMAINS)
 SEPARATOR = r"[^\p{L}\p{M}\p{N}_]+"
 
 
-def _split_words(lang: int) -> tuple[dict[str, str], list[tuple[str, str]]]:
-    """Single words with their domain, and patterns of the rest with theirs."""
+def _split_words(lang: int) -> tuple[dict[str, str], list[tuple[str, str, str]]]:
+    """Single words with their domain; the rest with their domain and pattern."""
     single, several = {}, []
     for domain, lists in fixed.DOMAINS.items():
         for w in map(str.lower, lists[lang]):
             if w == "بناء" or not all(c.isalnum() for c in w):
                 own = "".join(c if c.isalnum() or c == " " else "\\" + c for c in w) + (r"(?![\p{L}\p{M}\p{N}_])" + (r"(?!\s+على)" if w == "بناء" else ""))
-                several.append((domain, r"(?<![\p{L}\p{M}\p{N}_])" + own))
+                several.append((domain, w, r"(?<![\p{L}\p{M}\p{N}_])" + own))
             else:
                 single[w] = domain
     return single, several
@@ -39,7 +39,7 @@ def _counts(lower: Column, lang: int) -> Column:
     hits = F.filter(F.transform(F.split(lower, SEPARATOR), lambda w: F.try_element_at(table, w)), lambda d: d.isNotNull())
 
     def count(d: str, found: Column) -> Column:
-        rest = [F.regexp_count(lower, F.lit(p)) for own, p in several if own == d]
+        rest = [F.when(lower.contains(w), F.regexp_count(lower, F.lit(p))).otherwise(0) for own, w, p in several if own == d]
         return reduce(lambda a, b: a + b, rest, F.size(F.filter(found, lambda x: x == d)))
 
     return let(hits, lambda found: F.array(*[count(d, found) for d in NAMES]))

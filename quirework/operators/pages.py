@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.text import replaced, strip
+from quirework.functions.text import let, replaced, strip
 
 # Fixed values.
 SIGNATURE, SHORT, GRAM, LONG = 40, 20, 4, 30
@@ -24,12 +24,19 @@ def flat(text: Column) -> Column:
     return strip(replaced(text, r"(?U)\s+", " "))
 
 
+def runs_of(words: Column, n: int = GRAM) -> Column:
+    """The distinct runs of n words of an array."""
+    return let(
+        words,
+        lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        ),
+    )
+
+
 def grams(text: Column, n: int = GRAM, most: int = 400) -> Column:
     """The distinct runs of n words of a text's beginning, lower case."""
-    words = F.split(F.lower(F.left(flat(text), F.lit(most))), " ")
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    )
+    return runs_of(F.split(F.lower(F.left(flat(text), F.lit(most))), " "), n)
 
 
 def printed_page(text: Column, page: Column) -> Column:
@@ -44,8 +51,7 @@ def page_scores(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, article_idx, page_number, score): 1 if the page has the article's signature, else the share of its n-grams there."""
     own = articles.select("doc_id", "article_idx", F.left(flat(F.col("text")), F.lit(SIGNATURE)).alias("sig"), grams(F.col("text")).alias("g")).where(F.length("sig") >= LONG)
     side = pages.select("doc_id", "page_number", F.lower(flat(F.col("text"))).alias("t"))
-    words = F.split("t", " ")
-    there = side.select("doc_id", "page_number", F.explode(F.array_distinct(F.when(F.size(words) < GRAM, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.array_join(F.slice(words, i, GRAM), " "))))).alias("gram"))
+    there = side.select("doc_id", "page_number", F.explode(runs_of(F.split("t", " "))).alias("gram"))
     shared = own.select("doc_id", "article_idx", F.size("g").alias("n"), F.explode("g").alias("gram")).join(there, ["doc_id", "gram"])
     scored = shared.groupBy("doc_id", "article_idx", "page_number", "n").agg(F.count("*").alias("hits"))
     whole = scored.join(own.select("doc_id", "article_idx", "sig"), ["doc_id", "article_idx"]).join(pages.select("doc_id", "page_number", flat(F.col("text")).alias("t")), ["doc_id", "page_number"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import language
 from quirework.operators import citations, instruments, quality, spans, store
-from quirework.sources.tables import cut, table
+from quirework.sources.tables import cut, spread, table
 
 
 def documents_ordered(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +53,7 @@ def entity_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cited(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "articles").where("raw_text IS NOT NULL AND doc_id IS NOT NULL").select("id", "doc_id", language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text"))
+    own = spread(table(spark, folder, "articles").where("raw_text IS NOT NULL AND doc_id IS NOT NULL").select("id", "doc_id", "raw_text")).select("id", "doc_id", language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text"))
     found = own.withColumn("citations", spans.find_citations(F.col("text"), F.col("lang"))).where(F.size("citations") > 0)
     return found.withColumn("references", spans.find_references(F.col("text"), F.col("lang")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirework.functions import fixed, language
 from quirework.functions import text as T
 from quirework.operators import classify, spans
-from quirework.sources.tables import table
+from quirework.sources.tables import spread, table
 
 #: White space of Unicode, for RE2.
 WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -21,7 +21,7 @@ def _n(pattern: str, column: str) -> str:
 
 def domain_by_lang(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by the language of their script and the domain of their keywords."""
-    own = table(spark, folder, "documents").where("text IS NOT NULL").select(language.routed(F.col("text")).alias("lang"), "text")
+    own = spread(table(spark, folder, "documents").where("text IS NOT NULL").select("text")).select(language.routed(F.col("text")).alias("lang"), "text")
     return own.select("lang", classify.classify(F.col("text"), F.col("lang")).alias("domain")).groupBy("lang", "domain").agg(F.count("*").alias("documents"))
 
 
@@ -72,7 +72,7 @@ def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def clean_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Articles through the cleaning chain of their language, with the Arabic runs taken out of French ones."""
-    own = table(spark, folder, "articles").where("raw_text IS NOT NULL").withColumn("lang", language.routed(F.col("raw_text")))
+    own = spread(table(spark, folder, "articles").where("raw_text IS NOT NULL").select("id", "raw_text")).withColumn("lang", language.routed(F.col("raw_text")))
     fr = own.where("lang = 'fr'").select("id", "lang", T.clean_french(F.col("raw_text")).alias("c")).select("id", "lang", F.col("c.text").alias("text"), F.size("c.removed").alias("removed"))
     return fr.unionByName(own.where("lang = 'ar'").select("id", "lang", T.clean_arabic(F.col("raw_text")).alias("text"), F.lit(0).alias("removed")))
 
@@ -91,7 +91,7 @@ def date_months(spark: SparkSession, folder: str) -> DataFrame:
 
 def references_by_label(spark: SparkSession, folder: str) -> DataFrame:
     """References, dates and names in articles, without overlaps, by label and language."""
-    own = table(spark, folder, "articles").where("raw_text IS NOT NULL").select(language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text"))
+    own = spread(table(spark, folder, "articles").where("raw_text IS NOT NULL").select("raw_text")).select(language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text"))
     return own.select("lang", F.explode(spans.find_legal_entities(F.col("text"), F.col("lang"))).alias("s")).groupBy("lang", "s.label").agg(F.count("*").alias("n"), F.countDistinct("s.text").alias("texts"))
 
 
@@ -149,7 +149,7 @@ def persons_and_organisations(spark: SparkSession, folder: str) -> DataFrame:
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Articles long enough with their keyword label, by label and truncation."""
-    own = table(spark, folder, "articles").where("raw_text IS NOT NULL").select("id", language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text"))
+    own = spread(table(spark, folder, "articles").where("raw_text IS NOT NULL").select("id", "raw_text")).select("id", language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text"))
     return classify.training_rows(own).groupBy("lang", "label", "truncated").agg(F.count("*").alias("n"))
 
 

@@ -12,6 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores. A scan of few small files has fewer partitions than there are cores, which leaves most of them idle
+    while rows are worked on one by one; only such a frame is shuffled. For frames that are scans, before any shuffle."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    few = frame._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return frame.repartition(cores) if few else frame
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one only where none is set and the master is local.
 
