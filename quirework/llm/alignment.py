@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm.confusables import one_form
 from quirework.llm.subjects import ARABIC_PREFIX
-from quirework.sources.tables import cut, table
+from quirework.sources.tables import cut, spread, table
 
 END = re.compile(r"[.?؟](?=\s|$)")
 TOKEN = re.compile(r"[^\W\d_]+|[\d٠-٩]+(?:[.,/\-][\d٠-٩]+)*")
@@ -296,6 +296,7 @@ def word_table(beads: DataFrame, least: float = LEAST_SHARE) -> Words:
 
 def aligned(splits: DataFrame, key: str = "split_id") -> DataFrame:
     """(key, left_no, right_no) of each pair of sentences that translate each other or a part."""
+    splits = spread(splits.select(key, "text_left", "text_right"))
     ratio = length_ratio(splits)
     words = word_table(one_to_one(splits, ratio, None))
     words = word_table(one_to_one(splits, ratio, words))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quirework.llm.pairs import differing_pairs
-from quirework.sources.tables import cut, table
+from quirework.sources.tables import cut, spread, table
 
 #: Letters of other scripts that print like a Latin letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТХУЅІЈԚԜЗаеорсхуѕіјԛԝһԁ", "ABEKMHOPCTXYSIJQW3aeopcxysijqwhd", strict=True))
@@ -140,7 +140,7 @@ def digests(rows: DataFrame, keys: list[str]) -> DataFrame:
                 form.append(hashlib.md5(one_form(t).encode("utf-8", "surrogatepass")).digest() if needs_form(t) else own)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(raw, pa.binary()), pa.array(form, pa.binary())], names=[*keys, "raw", "form"])
 
-    return rows.where("text IS NOT NULL AND text <> ''").select(*keys, "text").mapInArrow(digest, schema)
+    return spread(rows.where("text IS NOT NULL AND text <> ''").select(*keys, "text")).mapInArrow(digest, schema)
 
 
 def alike_pairs(keyed: DataFrame) -> DataFrame:

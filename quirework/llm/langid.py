@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm import frames
-from quirework.sources.tables import table
+from quirework.sources.tables import spread, table
 
 LANGUAGES = ("fr", "ar", "en", "es")
 ORDER = 4
@@ -206,7 +206,7 @@ def segments(pages: DataFrame, trees: Trees, forms: frozenset[str]) -> DataFrame
     language of its page: that of most of its text. pure: all its paragraphs have one language."""
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast((trees, forms))
-    own = pages.select("page_id", "text", F.transform(frames.lines_of(F.col("text")), frames.form).alias("forms")).where("text IS NOT NULL")
+    own = spread(pages.select("page_id", "text")).select("page_id", "text", F.transform(frames.lines_of(F.col("text")), frames.form).alias("forms")).where("text IS NOT NULL")
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, forms = shared.value

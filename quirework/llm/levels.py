@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.sources.tables import table
+from quirework.sources.tables import spread, table
 
 #: Most graded texts to learn from.
 SAMPLE = 6000
@@ -183,7 +183,7 @@ def model_for(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Mo
     """The model of a bounded sample, spread by a hash, of the graded documents."""
     graded = labels.where(F.col("level").between(1, LEVELS)).select("doc_id", "level", "rater")
     few = graded.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "rater", "level").limit(most)
-    rows = documents.select("doc_id", "text").join(few, "doc_id").where("text IS NOT NULL").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["rater"] or "", r["level"]))
     return fit([r["text"] for r in rows], np.array([r["level"] for r in rows], float), [r["rater"] or "" for r in rows], word_rarity(documents))
 
@@ -201,7 +201,7 @@ def levels(documents: DataFrame, model: Model) -> DataFrame:
             level[[not WORD.search(t) for t in texts]] = 1
             yield pd.DataFrame({"doc_id": batch["doc_id"], "level": level.astype("int32"), "confidence": p.max(1), "expected": p @ np.arange(1, LEVELS + 1)})
 
-    return documents.select("doc_id", "text").mapInPandas(score, "doc_id bigint, level int, confidence double, expected double")
+    return spread(documents.select("doc_id", "text")).mapInPandas(score, "doc_id bigint, level int, confidence double, expected double")
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.tokens import TOKENIZER, token_count
-from quirework.sources.tables import cut, table
+from quirework.sources.tables import cut, spread, table
 
 SEED = 9
 #: Share of all quotas that small sources may lack at most, which bounds the size of a mix.
@@ -125,7 +125,7 @@ def mix(documents: DataFrame, sources: DataFrame, tokenizer: str = TOKENIZER, to
     if len(rows) > MOST_SOURCES:
         raise ValueError("too many sources")
     targets = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in rows}
-    own = documents.where("text IS NOT NULL").join(F.broadcast(sources.where("target_share > 0 AND max_repeats > 0").select("source")), "source")  # at most MOST_SOURCES rows
+    own = spread(documents.where("text IS NOT NULL").select("doc_id", "source", "text")).join(F.broadcast(sources.where("target_share > 0 AND max_repeats > 0").select("source")), "source")  # at most MOST_SOURCES rows
     held = own.select("doc_id", "source", F.unhex(F.md5("text")).alias("text_key"), token_count(F.col("text"), tokenizer).alias("tokens"))
     held = held.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     # a text stands in at most as many sources as there are

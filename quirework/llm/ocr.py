@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import frames
-from quirework.sources.tables import table
+from quirework.sources.tables import spread, table
 
 #: Least share of all words that a word, or a pair of words, of the model has; and its least number.
 LEAST_SHARE = 2e-6
@@ -312,7 +312,7 @@ def pages_of(spark: SparkSession, folder: str) -> DataFrame:
     extracted = table(spark, folder, "extracted_pages").select(
         F.lit("extracted_pages").alias("tbl"), F.col("page_id").alias("row_id"), "text", (F.col("extraction_method") != "pdf").alias("scanned"), F.lit(None).cast("double").alias("doubt")
     )
-    return ocr.unionByName(extracted)
+    return spread(ocr.unionByName(extracted))
 
 
 def with_forms(pages: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.tokens import TOKENIZER, token_count
-from quirework.sources.tables import cut, table
+from quirework.sources.tables import cut, spread, table
 
 CAPACITY = 2048
 BUCKETS = 192
@@ -75,7 +75,7 @@ def fill_plan(ends: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) ->
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece_no, tokens): whole texts, and the pieces of those over the capacity."""
-    sized = documents.select("doc_id", token_count(F.col("text"), tokenizer).alias("size"))
+    sized = spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), tokenizer).alias("size"))
     pieces = F.when(F.col("size") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / capacity).cast("bigint")), lambda k: F.least(F.lit(capacity).cast("bigint"), F.col("size") - k * capacity))
     )

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quirework.sources.tables import table
+from quirework.sources.tables import spread, table
 
 LIMIT = 5000
 OVERLAP = 200
@@ -151,7 +151,7 @@ def pieces_of(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Colum
 
 def split_rows(frame: DataFrame, tbl: str, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(tbl, row_id, pieces) of each row of a table; other columns of the frame don't matter."""
-    own = frame.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("whole"))
+    own = spread(frame.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("whole")))
     return own.select(F.lit(tbl).alias("tbl"), "row_id", pieces_of(F.col("whole"), limit, overlap).alias("pieces"))
 
 

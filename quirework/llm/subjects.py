@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.confusables import needs_form, one_form
-from quirework.sources.tables import table
+from quirework.sources.tables import spread, table
 
 #: Most labelled articles to learn from, and most characters of one that the learner reads.
 SAMPLE = 6000
@@ -296,7 +296,7 @@ def chain_for(articles: DataFrame, labels: DataFrame, subjects: DataFrame, most:
         F.collect_set("subject").alias("subjects"), F.count("*").alias("votes"), F.countDistinct("annotator").alias("annotators")
     )
     few = own.orderBy(F.xxhash64("article_id", F.lit(3)), "article_id").limit(most)
-    rows = articles.select(F.col("id").alias("article_id"), "doc_id", "number", "raw_text").join(few, "article_id").where("raw_text IS NOT NULL").collect()
+    rows = articles.select(F.col("id").alias("article_id"), "doc_id", "number", "raw_text").join(F.broadcast(few), "article_id").where("raw_text IS NOT NULL").collect()  # at most SAMPLE rows
     rows.sort(key=lambda r: r["article_id"])
     at = {s: i for i, s in enumerate(names)}
     y = np.zeros((len(rows), len(names)))
@@ -320,7 +320,7 @@ def subjects_of(articles: DataFrame, chain: Chain) -> DataFrame:
             found = [f if own else ([], 0.0) for f, own in zip(found, strings, strict=True)]
             yield pd.DataFrame({"article_id": batch["id"], "subjects": [[chain.names[i] for i in f[0]] for f in found], "log_probability": [f[1] for f in found]})
 
-    return articles.select("id", "doc_id", "number", "raw_text").mapInPandas(score, "article_id bigint, subjects array<string>, log_probability double")
+    return spread(articles.select("id", "doc_id", "number", "raw_text")).mapInPandas(score, "article_id bigint, subjects array<string>, log_probability double")
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
