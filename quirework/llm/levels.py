@@ -141,7 +141,7 @@ def fit(texts: list[str], levels: np.ndarray, raters: list[str], rarity: dict[st
     y = np.asarray(levels, float)
     if not len(y):
         texts, y, raters = [""] * LEVELS, np.arange(1, LEVELS + 1).astype(float), [""] * LEVELS
-    fold = np.arange(len(y)) % FOLDS
+    fold = np.random.default_rng(10).permutation(len(y)) % FOLDS
 
     def crossed(y: np.ndarray) -> np.ndarray:
         x = np.zeros((len(y), 30))

@@ -264,7 +264,7 @@ def fit(rows: list[tuple[str, tuple[float, ...]]], labels: np.ndarray, names: li
         z = (x - mean) / scale
         return mean, scale, [_logistic(_design(z, y, order, k), y[:, order[k]]) for k in range(len(order))]
 
-    fold = np.arange(len(rows)) % FOLDS
+    fold = np.random.default_rng(3).permutation(len(rows)) % FOLDS
     held = np.zeros((len(rows), len(names)))
     for f in range(FOLDS):
         rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
