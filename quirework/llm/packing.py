@@ -23,7 +23,11 @@ from quirework.sources.tables import cut, spread, table
 
 CAPACITY = 2048
 BUCKETS = 192
+#: Slices of a bucket for ranking: at least so many, and more so that a slice of the fullest bucket holds about SLICE_ROWS rows.
 SLICES = 64
+SLICE_ROWS = 2_000_000
+#: Most offsets, one for each bucket and slice, that are broadcast; more are joined.
+MOST_OFFSETS = 200_000
 
 
 def bucket_ends(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> np.ndarray:
@@ -116,11 +120,12 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY, buckets: in
             out[rows] = at[k, 1] + (ranks[rows] - at[k, 0]) // at[k, 2]
         return pd.Series(out)
 
-    placed = items.where("tokens > 0").withColumn("b", bucket_of("tokens")).withColumn("slice", F.pmod(F.xxhash64(*key), F.lit(SLICES)))
+    slices = max(SLICES, int(counts.max()) // SLICE_ROWS + 1) if len(counts) else SLICES
+    placed = items.where("tokens > 0").withColumn("b", bucket_of("tokens")).withColumn("slice", F.pmod(F.xxhash64(*key), F.lit(slices)))
     offsets = placed.groupBy("b", "slice").agg(F.count("*").alias("n"))
-    offsets = offsets.select("b", "slice", (F.sum("n").over(Window.partitionBy("b").orderBy("slice")) - F.col("n")).alias("offset"))  # SLICES rows a bucket
+    offsets = offsets.select("b", "slice", (F.sum("n").over(Window.partitionBy("b").orderBy("slice")) - F.col("n")).alias("offset"))  # a row for each slice
     ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("b", "slice").orderBy(F.desc("tokens"), *key)))
-    ranked = ranked.join(F.broadcast(offsets), ["b", "slice"]).withColumn("rank", F.col("offset") + F.col("k") - 1)  # at most BUCKETS x SLICES rows
+    ranked = ranked.join(F.broadcast(offsets) if len(ends) * slices <= MOST_OFFSETS else offsets, ["b", "slice"]).withColumn("rank", F.col("offset") + F.col("k") - 1)
     named = F.create_map(*[F.lit(x) for k, e in enumerate(ends) for x in (k, int(e))])
     done = ranked.select(*key, "tokens", named[F.col("b")].alias("bucket"), container_of("b", "rank").alias("container_id"))
     none = items.where("tokens = 0 OR tokens IS NULL").select(*key, "tokens", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("bigint").alias("container_id"))
