@@ -30,12 +30,14 @@ from quirework.sources.tables import spread, table
 #: Most labelled articles to learn from, and most characters of one that the learner reads.
 SAMPLE = 6000
 BEAM = 6
+#: A choice whose log probability is below this is not followed.
+SURE = -6.0
 OFF_LABEL = 0.04
 FOLDS = 4
 
-CLAUSE = re.compile(r"(?<=[.;:!?؟؛])\s+|\s*[\r\n\f]+\s*")
+CLAUSE = re.compile(r"[.;:!?؟؛]\s+|[\r\n\f]+\s*")
 WORD = re.compile(r"[^\W\d_]+")
-DIGITS = re.compile(r"[\d٠-٩]+")
+DIGITS = re.compile(r"\d+")
 #: A reference to a text, with the title that may follow in brackets or after a linking word.
 CITED = re.compile(
     r"(?:n\s?°|n[o°º]\.?\s|رقم|no\.\s|núm\.)\s?[\d٠-٩][\d٠-٩.\-/]*\s*(?:\([^)]{0,300}\)|(?:relati[fv]e?s? [àa]|concernant|portant|المتعلق[ة]? ب)[^,.;؛)]{0,200})?", re.IGNORECASE
@@ -235,9 +237,9 @@ class Chain:
                 logit = slope * (b + sum(links[k][i] for i in chosen)) + shift
                 less = math.log1p(math.exp(-abs(logit)))
                 yes, no = (-less, -less - logit) if logit > 0 else (logit - less, -less)
-                if yes > -9:
+                if yes > SURE:
                     grown.append((score + yes, (*chosen, k)))
-                if no > -9:
+                if no > SURE:
                     grown.append((score + no, chosen))
             paths = sorted(grown, key=lambda g: -g[0])[:beam] if len(grown) > 1 else grown
         score, chosen = paths[0]
