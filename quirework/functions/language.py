@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.text import arabic_letters, letters
 
 
+def with_model(text: Column, model: Callable[[Column], Column] | None = None) -> Column:
+    """struct(language, confidence, method) by a model, or by script without one or where it gives null."""
+    return detected(text) if model is None else F.coalesce(model(text), detected(text))
+
+
 def detected(text: Column) -> Column:
     """struct(language, confidence, method): Arabic characters over letters. More than half: ar; from 0.4: mixed; else fr.
     Without letters, or null: unknown. Arabic digits and marks count above the line only, so a confidence may pass 1."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from quirework.functions import fixed
-from quirework.functions.text import replaced, strip
+from quirework.functions.text import let, replaced, strip
 
 SPAN = StructType(
     [
@@ -264,8 +264,12 @@ def rules_over_statistics(rules: Column, statistical: Column) -> Column:
 
 def by_start(spans: Column) -> Column:
     """Spans in the order of their starts; equal starts in their order before."""
-    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda k: F.get(spans, k["i"]))
+
+    def ordered(all_: Column) -> Column:
+        keyed = F.transform(all_, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i")))
+        return F.transform(F.array_sort(keyed), lambda k: F.get(all_, k["i"]))
+
+    return let(spans, ordered)
 
 
 def resolved_overlaps(spans: Column) -> Column:
@@ -278,14 +282,13 @@ def resolved_overlaps(spans: Column) -> Column:
 
 def unique_spans(spans: Column) -> Column:
     """The first span of each text and start."""
-    return F.filter(
-        spans, lambda s, i: (F.size(F.filter(F.slice(spans, 1, i), lambda o: o["text"].eqNullSafe(s["text"]) & o["start"].eqNullSafe(s["start"]))) == 0)
-    )
+    same = lambda o, s: o["text"].eqNullSafe(s["text"]) & o["start"].eqNullSafe(s["start"])
+    return let(spans, lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, 1, i), lambda o: same(o, s))))
 
 
 def first_of_text(spans: Column) -> Column:
     """The first span of each text, whatever its case and label."""
-    return F.filter(spans, lambda s, i: F.size(F.filter(F.slice(spans, 1, i), lambda o: F.lower(o["text"]) == F.lower(s["text"]))) == 0)
+    return let(spans, lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, 1, i), lambda o: F.lower(o["text"]) == F.lower(s["text"]))))
 
 
 def valid(text: Column, label: Column) -> Column:
@@ -381,9 +384,9 @@ def company_context(name: Column, start: Column, end: Column, article: Column) -
     )
 
 
-def reclassified(persons: Column, article: Column, lang: Column) -> Column:
-    """Persons with the label ORG where they are companies by context or by a name found in capitals."""
-    named = F.transform(find_companies(article, lang), lambda c: F.lower(c["text"]))
+def reclassified(persons: Column, article: Column, companies_: Column) -> Column:
+    """Persons with the label ORG where they are companies by context or by a name among the article's companies (find_companies)."""
+    named = F.transform(companies_, lambda c: F.lower(c["text"]))
     return F.transform(
         persons,
         lambda p: F.when(F.coalesce(company_context(p["text"], p["start"], p["end_pos"], article), F.lit(False)) | F.array_contains(named, F.lower(p["text"])), p.withField("label", F.lit("ORG"))).otherwise(p),

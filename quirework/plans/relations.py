@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import language
-from quirework.operators import citations, instruments, quality, spans, store
+from quirework.operators import citations, enrich, instruments, quality, spans, store
 from quirework.sources.tables import cut, spread, table
 
 
@@ -122,6 +122,50 @@ def history_tail(spark: SparkSession, folder: str) -> DataFrame:
     return tail(own, 2)
 
 
+def enriched_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers of entities, dates, citations, persons and organisations of each article."""
+    own = spread(table(spark, folder, "articles").where("raw_text IS NOT NULL").select("id", "raw_text"))
+    rows = enrich.enrich(own.select("id", language.routed(F.col("raw_text")).alias("lang"), F.col("raw_text").alias("text")))
+    return rows.select("id", *[F.size(c).alias(c) for c in ("entities", "dates", "citations", "persons", "organizations")])
+
+
+def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five segments that name the register."""
+    from quirework.operators.answers import keyword_hits
+
+    own = table(spark, folder, "segments").select("seg_id", "text", F.col("seg_id").alias("article_idx"))
+    return keyword_hits(own, "registre").select("seg_id", F.length("text").alias("characters"))
+
+
+def issue_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule answer to a question for numbers of entities."""
+    from quirework.operators.answers import rule_answer
+
+    own = table(spark, folder, "articles").select("number", F.col("raw_text").alias("text"), F.col("id").alias("article_idx"))
+    return rule_answer(own, table(spark, folder, "entities"), "Combien d'entités ?")
+
+
+def issue_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Number, date and edition read off the first page of each issue."""
+    from quirework.sources.files import first_metadata
+
+    pages = table(spark, folder, "extracted_pages").where("text IS NOT NULL").select("doc_id", F.when(F.col("doc_id").startswith("ar"), "ar").otherwise("fr").alias("lang"), F.col("page_number").alias("file_rank"), "text")
+    return first_metadata(pages)
+
+
+def issue_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Length of each issue as Markdown."""
+    from quirework.sources import files
+
+    span = lambda: F.struct("label", "text", F.coalesce("start_pos", F.lit(-1)).alias("start"), F.coalesce("end_pos", F.lit(-1)).alias("end"))
+    ents = table(spark, folder, "entities").where("text IS NOT NULL").groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("id", span().alias("s")))).alias("e"))
+    arts = table(spark, folder, "articles").where("doc_id IS NOT NULL").join(ents, F.col("id") == F.col("article_id"), "left")
+    one = F.struct("number", F.col("raw_text").alias("text"), F.transform(F.coalesce("e", F.array().cast(f"array<struct<id:bigint,s:{files.SPAN}>>")), lambda x: x["s"]).alias("entities"), F.array().cast("array<string>").alias("citations"))
+    issues = arts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", one.alias("a")))), lambda x: x["a"]).alias("articles"))
+    full = issues.join(table(spark, folder, "bulletins").select("doc_id", "bo_number", "date_publication"), "doc_id")
+    return files.issue_markdown(full).select("doc_id", F.length("markdown").alias("characters"))
+
+
 def issue_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Issues whose number of articles differs from what is stored, and instruments that break rules."""
     rows = cut(instruments.by_resets(_numbered(spark, folder)))
@@ -134,7 +178,7 @@ def issue_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     documents_ordered, entities_by_label, articles_join_documents, label_counts, document_entity_counts, grouped_entities, entity_index, citations_resolved, citation_edges, citations_to_law,
-    reset_sessions, issue_instruments, article_ids, instrument_reference, decree_asof, history_tail, issue_quality,
+    reset_sessions, issue_instruments, article_ids, instrument_reference, decree_asof, history_tail, enriched_articles, keyword_search, issue_answer, issue_metadata, issue_markdown, issue_quality,
 )}
 SQL = {
     "documents_ordered": "SELECT doc_id, date_publication, lang FROM bulletins",
@@ -158,6 +202,8 @@ SQL = {
         SELECT seg_id, last_value(CASE WHEN preamble IS NOT NULL THEN article_idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY article_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS decree_idx
         FROM segments
     """,
+    "keyword_search": "SELECT seg_id, length(text)::INT AS characters FROM segments WHERE contains(lower(text), 'registre') ORDER BY seg_id LIMIT 5",
+    "issue_answer": "SELECT 'count' AS kind, label AS key, count(*)::VARCHAR AS value FROM entities GROUP BY label",
     "history_tail": """
         SELECT page_id AS conv_id, result_id AS turn, language FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY result_id DESC) AS k FROM language_results) WHERE k <= 2
     """,

@@ -287,3 +287,22 @@ def test_stream(spark, tmp_path):
     query = streaming.run(streaming.arriving(spark, str(tmp_path / "in"), "id int, text string"), lambda d: d.select("id", language.routed(F.col("text")).alias("lang")), str(tmp_path / "out"), str(tmp_path / "c"))
     query.awaitTermination(60)
     assert {r["id"]: r["lang"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "fr", 2: "ar"}
+
+
+def test_enrich(spark):
+    from quirework.operators import enrich
+
+    text = "Vu la loi n° 1-20 et l'article 5, M. Jean Dupont et la Banque Centrale du 3 mars 2020. La loi n° 1-20."
+    rows = spark.createDataFrame([(1, "fr", text), (2, "fr", None), (3, "fr", "")], "id int, lang string, text string")
+
+    @F.pandas_udf(enrich.S.SPANS)
+    def recognise(texts, langs):
+        import pandas as pd
+
+        at = lambda t, w, label: (label, w, t.index(w), t.index(w) + len(w), None)
+        return pd.Series([[] if not t else [at(t, "Jean Dupont", "PERSON"), at(t, "Banque Centrale", "ORG"), at(t, "loi n° 1-20", "ORG")] for t in texts])
+
+    out = {r["id"]: r for r in enrich.enrich(rows, lambda t, g: recognise(t, g)).collect()}
+    assert [s["text"] for s in out[1]["entities"]] == ["loi n° 1-20", "3 mars 2020"]
+    assert [s["text"] for s in out[1]["persons"]] == ["Jean Dupont"] and [s["text"] for s in out[1]["organizations"]] == ["Banque Centrale"]
+    assert len(out[1]["citations"]) == 1 and len(out[1]["dates"]) == 1 and out[2]["entities"] == [] and out[3]["persons"] == []
