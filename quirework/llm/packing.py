@@ -88,7 +88,7 @@ def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TO
 
 def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
     """(*key, tokens, bucket, container_id) of each item; bucket is the upper end of its bucket."""
-    items = cut(items)
+    items = cut(items.select(*key, "tokens"))
     histogram = items.where("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).orderBy("tokens").limit(capacity + 1).collect()
     sizes, counts = np.array([r["tokens"] for r in histogram], int), np.array([r["n"] for r in histogram], int)
     if len(sizes) and sizes[-1] > capacity:
