@@ -140,6 +140,8 @@ def ascii_tables(spark: SparkSession, folder: str) -> DataFrame:
     return tables.ascii_tables(table(spark, folder, "extracted_pages").where("text IS NOT NULL"), "page_id", "text")
 
 
+#: White space of Unicode, for RE2.
+WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 QUERIES = {f.__name__: f for f in (
     ocr_threshold, ocr_choice, mean_confidence, exact_dup_docs, split_similarity, gazette_articles, gazette_decrees, gazette_fore_matter, header_numbers, oversized_parts, signature_page_match,
     page_map, printed_pages, layout_type, block_in_table, reading_order, block_bands, bilingual_columns, ascii_tables,
@@ -162,6 +164,29 @@ SQL = {
         SELECT doc_id, count(*) AS pages, round(avg(CASE WHEN mean_confidence >= 0 THEN mean_confidence END), 4) AS mean_confidence FROM ocr_pages GROUP BY 1
     """,
     "exact_dup_docs": "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
+    "split_similarity": f"""
+        WITH w AS (SELECT split_id, list_distinct(list_filter(regexp_split_to_array(lower(text_left), '{WS}+'), lambda x: x <> '')) AS l,
+                          list_distinct(list_filter(regexp_split_to_array(lower(text_right), '{WS}+'), lambda x: x <> '')) AS r FROM bilingual_splits WHERE text_left IS NOT NULL AND text_right IS NOT NULL)
+        SELECT split_id, round(CASE WHEN len(l) + len(r) = 0 THEN 0 ELSE 100.0 * len(list_intersect(l, r)) / len(list_distinct(list_concat(l, r))) END, 6) AS jaccard FROM w
+    """,
+    "printed_pages": r"""
+        WITH m AS (SELECT page_id, page_number, regexp_extract_all(right(text, 500), '(?m)^[ \t]*([0-9]{1,4})[ \t]*$', 1) AS t, regexp_extract_all(text, '(?m)^[ \t]*([0-9]{1,4})[ \t]*$', 1) AS a
+                   FROM extracted_pages WHERE text IS NOT NULL)
+        SELECT page_id, CASE WHEN len(t) > 0 THEN t[1]::INT WHEN len(a) > 0 THEN a[-1]::INT ELSE page_number END AS printed_page FROM m
+    """,
+    "header_numbers": f"""
+        WITH h AS (SELECT seg_id, raw_header, CASE WHEN starts_with(doc_id, 'ar') THEN translate(regexp_extract(raw_header, '(?:المادة|املادة){WS}*([0-9٠-٩]+|{segment.ORDINAL_AR})', 1), '٠١٢٣٤٥٦٧٨٩', '0123456789')
+                          ELSE regexp_extract(raw_header, '(?i)(PREMIER|1er|UNIQUE|[0-9]+(?:-[0-9]+)?)', 1) END AS n FROM segments WHERE raw_header IS NOT NULL AND raw_header <> '')
+        SELECT seg_id, CASE WHEN n = '' THEN regexp_replace(raw_header, '^{WS}+|{WS}+$', '', 'g') ELSE n END AS number FROM h
+    """,
+    "block_bands": f"""
+        WITH b AS ({BLOCKS}), g AS (SELECT doc_id, page_number, y0, coalesce(y0 - lag(y1) OVER (PARTITION BY doc_id, page_number ORDER BY y0) > 15, true) AS new FROM b)
+        SELECT doc_id, page_number, sum(new::INT)::BIGINT AS bands FROM g GROUP BY ALL
+    """,
+    "bilingual_columns": f"""
+        WITH b AS ({BLOCKS}), m AS (SELECT doc_id, (min(x0) + max(x1)) / 2 AS middle FROM b GROUP BY 1), c AS (SELECT doc_id, (x0 + x1) / 2 < middle AS l, CASE WHEN latin THEN 5 ELSE 2 END AS n FROM b JOIN m USING (doc_id))
+        SELECT doc_id, greatest(coalesce(sum(n + 1) FILTER (l), 0) - 1, 0)::INT AS left_characters, greatest(coalesce(sum(n + 1) FILTER (NOT l), 0) - 1, 0)::INT AS right_characters FROM c GROUP BY 1
+    """,
     "layout_type": f"""
         WITH b AS ({BLOCKS}), m AS (SELECT doc_id, (min(x0) + max(x1)) / 2 AS middle FROM b GROUP BY 1),
              c AS (SELECT doc_id, (x0 + x1) / 2 < middle AS l, latin FROM b JOIN m USING (doc_id)),

@@ -32,17 +32,30 @@ def _word_count(word: str) -> str:
     return f"({count} - {_n('(?:^|[^\\p{L}\\p{M}\\p{N}_])بناء\\s+على', 't')})" if word == "بناء" else count
 
 
-def _domain_sql() -> str:
+def _labelled_sql(rows: str) -> str:
+    """CTEs that end in l: the rows (lang, text and others) with their label."""
     lists = {lang: ", ".join(f"{{'d': '{d}', 'k': {i}, 's': {' + '.join(map(_word_count, words[j]))}}}" for i, (d, words) in enumerate(fixed.DOMAINS.items())) for j, lang in enumerate(("fr", "ar"))}
     return f"""
-        WITH a AS (SELECT CASE WHEN {_n(AR, 'text')} > 0.30 * {_n('\\p{L}', 'text')} THEN 'ar' ELSE 'fr' END AS lang, lower(text) AS t,
-                   ' ' || regexp_replace(lower(text), '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', ' \\1 ', 'g') || ' ' AS s FROM documents WHERE text IS NOT NULL),
-             b AS (SELECT lang, CASE WHEN lang = 'ar' THEN [{lists['ar']}] ELSE [{lists['fr']}] END AS x FROM a),
-             c AS (SELECT lang, list_sort(list_transform(x, lambda e: {{'s': -e.s, 'k': e.k, 'd': e.d}}))[1] AS top FROM b)
-        SELECT lang, CASE WHEN top.s < 0 THEN top.d ELSE '{fixed.UNDETERMINED}' END AS domain, count(*) AS documents FROM c GROUP BY ALL
+        WITH r AS ({rows}),
+             a AS (SELECT *, lower(text) AS t, ' ' || regexp_replace(lower(text), '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', ' \\1 ', 'g') || ' ' AS s FROM r),
+             b AS (SELECT *, CASE WHEN lang = 'ar' THEN [{lists['ar']}] ELSE [{lists['fr']}] END AS x FROM a),
+             c AS (SELECT *, list_sort(list_transform(x, lambda e: {{'s': -e.s, 'k': e.k, 'd': e.d}}))[1] AS top FROM b),
+             l AS (SELECT *, CASE WHEN top.s < 0 THEN top.d ELSE '{fixed.UNDETERMINED}' END AS label FROM c)
     """
 
 
+def _domain_sql() -> str:
+    rows = f"SELECT CASE WHEN {_n(AR, 'text')} > 0.30 * {_n('\\p{L}', 'text')} THEN 'ar' ELSE 'fr' END AS lang, text FROM documents WHERE text IS NOT NULL"
+    return f"{_labelled_sql(rows)} SELECT lang, label AS domain, count(*) AS documents FROM l GROUP BY ALL"
+
+
+def _training_sql() -> str:
+    stripped = f"regexp_replace(raw_text, '^{WS}+|{WS}+$', '', 'g')"
+    rows = f"""SELECT CASE WHEN {_n(AR, 'raw_text')} > 0.30 * {_n('\\p{L}', 'raw_text')} THEN 'ar' ELSE 'fr' END AS lang, left({stripped}, 6000) AS text, length({stripped}) > 6000 AS truncated
+               FROM articles WHERE length({stripped}) >= 30"""
+    return f"{_labelled_sql(rows)} SELECT lang, label, truncated, count(*) AS n FROM l GROUP BY ALL"
+
+
 def lang_heuristic(spark: SparkSession, folder: str) -> DataFrame:
     """Language of each page by its script."""
     own = table(spark, folder, "extracted_pages").select("page_id", language.detected(F.col("text")).alias("d"))
@@ -173,6 +186,7 @@ QUERIES = {f.__name__: f for f in (
 DETECTED = f"CASE WHEN n = 0 THEN 'unknown' WHEN a / n > 0.5 THEN 'ar' WHEN a / n >= 0.4 THEN 'mixed' ELSE 'fr' END"
 SQL = {
     "domain_by_lang": _domain_sql(),
+    "training_rows": _training_sql(),
     "lang_heuristic": f"""
         WITH p AS (SELECT page_id, {_n(AR, "coalesce(text, '')")} AS a, {_n('\\p{L}', "coalesce(text, '')")} AS n FROM extracted_pages)
         SELECT page_id, {DETECTED} AS language,
