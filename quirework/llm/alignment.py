@@ -275,22 +275,22 @@ def word_table(beads: DataFrame, least: float = LEAST_SHARE) -> Words:
     ones = beads.select(F.explode("a").alias("w"), F.lit(0).alias("side")).unionByName(beads.select(F.explode("b").alias("w"), F.lit(1).alias("side")))
     single = ones.groupBy("side", "w").agg(F.count("*").alias("n"))
     both = beads.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n_ab"))
-    total = beads.agg(F.sum(F.size("a").cast("double") * F.size("b")).alias("total"), F.count("*").cast("double").alias("beads"))
-    kept = both.where(F.col("n_ab") >= LEAST_BEADS).crossJoin(F.broadcast(total)).where(F.col("n_ab") >= least * F.col("total"))  # one row
-    n, n_a, n_b = F.col("beads"), F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    total = beads.agg(F.sum(F.size("a").cast("double") * F.size("b")).alias("pairs"), F.count("*").cast("double").alias("beads")).first()
+    kept = both.where(F.col("n_ab") >= max(LEAST_BEADS, least * (total["pairs"] or 0.0)))
+    n, n_a, n_b = F.lit(total["beads"]), F.col("n_a").cast("double"), F.col("n_b").cast("double")
     phi = (n * F.col("n_ab") - n_a * n_b) / F.sqrt(n_a * n_b * F.greatest(n - n_a, F.lit(1.0)) * F.greatest(n - n_b, F.lit(1.0)))
     own = (
         kept.join(single.where("side = 0").select(F.col("w").alias("a"), F.col("n").alias("n_a")), "a")
         .join(single.where("side = 1").select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b")
-        .select("a", "b", "n_a", "n_b", "beads", phi.alias("phi"))
+        .select("a", "b", "n_a", "n_b", phi.alias("phi"))
     )
     scores: dict[str, dict[str, float]] = {}
     left: dict[str, float] = {}
     right: dict[str, float] = {}
     for r in own.where("phi >= 0.08").limit(int(1 / least) + 1).collect():
         scores.setdefault(r["a"], {})[r["b"]] = min(1.0, 1.6 * r["phi"] ** 0.8)
-        left[r["a"]] = min(WORD_MOST, max(0.1, math.log(r["beads"] / r["n_a"])))
-        right[r["b"]] = min(WORD_MOST, max(0.1, math.log(r["beads"] / r["n_b"])))
+        left[r["a"]] = min(WORD_MOST, max(0.1, math.log(total["beads"] / r["n_a"])))
+        right[r["b"]] = min(WORD_MOST, max(0.1, math.log(total["beads"] / r["n_b"])))
     return Words(scores, left, right)
 
 

@@ -54,13 +54,12 @@ def frame_forms(pages: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.count("*").alias("n"), F.count("x.edge").alias("judged"), F.sum("x.edge").alias("edge"))
         .where(F.col("n") >= LEAST_COUNT)
     )
-    total = pages.where(F.col(text).isNotNull()).agg(F.count("*").alias("total"))
+    total = pages.where(F.col(text).isNotNull()).count()
     # a lower bound of the edge share, so that a few lines by chance at edges don't make a frame
     low = F.col("edge") / F.col("judged") - 0.5 / F.sqrt("judged")
     return (
-        counted.crossJoin(F.broadcast(total))  # one row
-        .where(~F.col("form").rlike(SENTENCE_END))
-        .where((F.col("n") >= LEAST_SHARE * F.col("total")) & (F.col("judged") > 0) & (low >= EDGE_SHARE - 0.1) & (F.col("edge") >= EDGE_SHARE * F.col("judged")))
+        counted.where(~F.col("form").rlike(SENTENCE_END))
+        .where((F.col("n") >= LEAST_SHARE * total) & (F.col("judged") > 0) & (low >= EDGE_SHARE - 0.1) & (F.col("edge") >= EDGE_SHARE * F.col("judged")))
         .select("form")
     )
 

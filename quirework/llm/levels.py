@@ -43,9 +43,9 @@ def word_rarity(documents: DataFrame, text: str = "text", least: float = LEAST_S
     """Bits of each word, from its share of all words of all documents."""
     words = documents.where(F.col(text).isNotNull()).select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '[\\\\p{{L}}]+', 0)")).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = words.agg(F.count("*").alias("total"))
-    kept = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= least * F.col("total"))  # one row
-    return {r["word"]: float(np.log2(r["total"] / r["n"])) for r in kept.limit(int(1 / least) + 1).collect()}
+    total = words.count()
+    kept = counts.where(F.col("n") >= least * total)
+    return {r["word"]: float(np.log2(total / r["n"])) for r in kept.limit(int(1 / least) + 1).collect()}
 
 
 def _tokens(text: str) -> tuple[list[list[str]], list[str]]:

@@ -162,11 +162,10 @@ def mix(documents: DataFrame, sources: DataFrame, tokenizer: str = TOKENIZER, to
 def shares(taken: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, target_share, tokens, reached_share, most_copies) of each source of the mix."""
     sums = taken.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    all_ = sums.agg(F.sum("tokens").alias("all"))
     return (
         sources.join(sums, "source", "left")
-        .crossJoin(F.broadcast(all_))  # one row
-        .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("all"), 6).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+        .withColumn("all", F.sum("tokens").over(Window.partitionBy()))  # a row for each source
+        .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.try_divide("tokens", "all"), F.lit(0.0)), 6).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
     )
 
 
