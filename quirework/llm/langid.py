@@ -190,7 +190,7 @@ def sample(pages: DataFrame, results: DataFrame | None = None, most: int = SAMPL
     own = pages.where("text IS NOT NULL").select("page_id", "text", named("language").alias("label"))
     order = Window.partitionBy("label").orderBy(F.xxhash64("page_id", F.lit(7)), "page_id")
     few = own.where("label IS NOT NULL").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    return [(r["text"][:20_000], {r["label"]: 1}) for r in few.select("text", "label").collect()]
+    return [(r["text"], {r["label"]: 1}) for r in few.select("text", "label").collect()]
 
 
 def trees_for(pages: DataFrame) -> Trees:

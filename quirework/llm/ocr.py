@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,9 @@ LEAST_COUNT = 2
 #: Prior of a misreading in a word, and the strength of single words behind pairs.
 MISREAD = 0.02
 BACKING = 20.0
+#: Readings of a word that the search follows, the likeliest; and first confusions to which a second is added, where one explains nothing.
+BEAM = 6
+FIRST = 400
 
 #: What is written, and what it is read as.
 CONFUSIONS = [
@@ -176,7 +180,7 @@ class Decoder:
                         once.append((v, cost + p))
                     at = start.find(b, at + 1)
             if w not in self.m.words and not best:
-                for v, p in once[:400]:
+                for v, p in nlargest(FIRST, once, key=lambda x: (x[1], x[0])):
                     for b, options in self.by_read.items():
                         at = v.find(b)
                         while at >= 0:
@@ -189,7 +193,7 @@ class Decoder:
                         add(v, cost + self.unusual)
                     if hole != start:
                         add(hole, cost + self.unusual)
-        found = sorted(best.items(), key=lambda x: (-x[1] - math.log(self.m.words[x[0]]), x[0]))[:6]
+        found = sorted(best.items(), key=lambda x: (-x[1] - math.log(self.m.words[x[0]]), x[0]))[:BEAM]
         if len(self.seen) < 2_000_000:
             self.seen[w] = found
         return found

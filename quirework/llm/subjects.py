@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quirework.llm.confusables import needs_form, one_form
 from quirework.sources.tables import spread, table
 
-#: Most labelled articles to learn from, and most characters of one that the learner reads.
+#: Most labelled articles to learn from.
 SAMPLE = 6000
 BEAM = 6
 #: A choice whose log probability is below this is not followed.
