@@ -207,12 +207,16 @@ class Decoder:
         pair = self.m.pairs.get((before, w), 0)
         return math.log((pair + BACKING * single) / (self.m.words.get(before, 0) + BACKING))
 
+    def prefixed(self, w: str) -> bool:
+        """Whether an Arabic word is a known one with a conjunction or preposition written together with it."""
+        return (w[:1] in {*"وفبكل"} and w[1:3] == "ال" and w[1:] in self.m.words) or (w[:2] == "لل" and "ال" + w[2:] in self.m.words)
+
     def doubtful(self, before: str, w: str, after: str) -> bool:
         """Whether a word may be another one: unknown, or known but strange between its neighbours."""
         if w == "#" or not w:
             return False
         if w not in self.m.words:
-            return True
+            return not self.prefixed(w)
         if (before, w) in self.m.pairs or (w, after) in self.m.pairs:
             return False
         return bool(self.candidates(w))
