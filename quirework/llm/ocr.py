@@ -209,7 +209,7 @@ class Decoder:
 
     def prefixed(self, w: str) -> bool:
         """Whether an Arabic word is a known one with a conjunction or preposition written together with it."""
-        return (w[:1] in {*"وفبكل"} and w[1:3] == "ال" and w[1:] in self.m.words) or (w[:2] == "لل" and "ال" + w[2:] in self.m.words)
+        return (w[:1] in {*"وفبكل"} and len(w) > 4 and w[1:] in self.m.words) or (w[:2] == "لل" and "ال" + w[2:] in self.m.words)
 
     def doubtful(self, before: str, w: str, after: str) -> bool:
         """Whether a word may be another one: unknown, or known but strange between its neighbours."""
