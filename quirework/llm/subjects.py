@@ -28,7 +28,7 @@ from quirework.llm.confusables import needs_form, one_form
 from quirework.sources.tables import spread, table
 
 #: Most labelled articles to learn from.
-SAMPLE = 6000
+SAMPLE = 8000
 BEAM = 6
 #: A choice whose log probability is below this is not followed.
 SURE = -6.0
