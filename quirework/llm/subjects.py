@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.confusables import needs_form, one_form
@@ -339,7 +339,7 @@ def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each subject among articles that have any."""
     found = p3_found(spark, folder)
     counts = found.groupBy("subject").agg(F.count("*").alias("articles"))
-    return counts.select("subject", "articles", F.round(F.col("articles") / F.sum("articles").over(), 6).alias("share"))
+    return counts.select("subject", "articles", F.round(F.col("articles") / F.sum("articles").over(Window.partitionBy()), 6).alias("share"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_shares": p3_shares}
