@@ -35,6 +35,8 @@ ORDER = 4
 #: Most pages of each label from which the trees are learned.
 SAMPLE = 600
 TEMPER = 12.0
+#: Characters of a group of texts that are measured at once.
+GROUP = 400_000
 
 #: Codes and names of the languages.
 NAMES = {
@@ -111,7 +113,18 @@ def learn(texts: dict[str, list[str]], order: int = ORDER) -> Trees:
 
 
 def code_lengths(trees: Trees, texts: list[str]) -> np.ndarray:
-    """Bits of each text (rows) in each language (columns)."""
+    """Bits of each text (rows) in each language (columns). Texts are worked on in groups, so memory stays the same for any batch."""
+    out, group, size = [np.zeros((0, len(LANGUAGES)))], [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size > GROUP:
+            out.append(_code_lengths(trees, group))
+            group, size = [], 0
+    return np.vstack([*out, _code_lengths(trees, group)])
+
+
+def _code_lengths(trees: Trees, texts: list[str]) -> np.ndarray:
     order = len(trees.keys) - 1
     raw = [(" " * order + t + " ").encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(r) for r in raw])
