@@ -1,18 +1,20 @@
-"""Articles to pages: shared n-grams, then a monotone walk.
+"""Articles to pages: shared runs of characters, then a monotone walk.
 
-Scores come from an equi-join of distinct n-grams within an issue, so pages that share nothing with an article are never
-compared. The walk goes from article to article of one issue, in order, over its scored pages.
+Every article is compared with every page of its issue, pair by pair, so that nothing holds an issue; a score is the share of
+the distinct runs of characters of the whole article. The walk goes from article to article of one issue, in order, over its
+scored pages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.text import let, replaced, strip
+from quirework.functions.text import replaced, strip
 
 # Fixed values.
 SIGNATURE, SHORT, GRAM, LONG = 40, 20, 4, 30
@@ -24,19 +26,11 @@ def flat(text: Column) -> Column:
     return strip(replaced(text, r"(?U)\s+", " "))
 
 
-def runs_of(words: Column, n: int = GRAM) -> Column:
-    """The distinct runs of n words of an array."""
-    return let(
-        words,
-        lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
-        ),
-    )
-
-
-def grams(text: Column, n: int = GRAM, most: int = 400) -> Column:
-    """The distinct runs of n words of a text's beginning, lower case."""
-    return runs_of(F.split(F.lower(F.left(flat(text), F.lit(most))), " "), n)
+@lru_cache(maxsize=256)
+def grams(flat: str, n: int = GRAM) -> frozenset[str]:
+    """The distinct runs of n characters of a text, lower case; a shorter text is its own run."""
+    low = flat.lower()
+    return frozenset(low[i : i + n] for i in range(len(low) - n + 1)) if len(low) >= n else frozenset([low])
 
 
 def printed_page(text: Column, page: Column) -> Column:
@@ -47,21 +41,41 @@ def printed_page(text: Column, page: Column) -> Column:
     return F.coalesce(F.when(tail != "", tail), last, page.cast("string")).cast("int")
 
 
+PAIR = "doc_id string, article_idx int, page_number int, n int, score double, whole boolean, short boolean"
+
+
+def page_pairs(articles: DataFrame, pages: DataFrame) -> DataFrame:
+    """Articles and pages of their issue that share something: the number n of the article's runs and the score, both 0 where its
+    signature is too short for them; whether the page has the signature (whole), and its beginning (short)."""
+    own = articles.select("doc_id", "article_idx", flat(F.col("text")).alias("a")).where("a <> ''")
+    side = pages.select("doc_id", "page_number", flat(F.col("text")).alias("p"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for d, k, page, a, p in zip(batch["doc_id"], batch["article_idx"], batch["page_number"], batch["a"], batch["p"], strict=True):
+                sig = a[:SIGNATURE]
+                own = grams(a) if len(sig) >= LONG else frozenset()
+                whole, short = sig in p, sig[:SHORT] in p
+                share = 0.0 if not own else 1.0 if whole else len(own & grams(p)) / len(own)
+                if share or short:
+                    out.append((d, k, page, len(own), share, whole, short))
+            yield pd.DataFrame(out, columns=["doc_id", "article_idx", "page_number", "n", "score", "whole", "short"])
+
+    return own.join(side, "doc_id").mapInPandas(score, PAIR)
+
+
 def page_scores(articles: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, article_idx, page_number, score): 1 if the page has the article's signature, else the share of its n-grams there."""
-    own = articles.select("doc_id", "article_idx", F.left(flat(F.col("text")), F.lit(SIGNATURE)).alias("sig"), grams(F.col("text")).alias("g")).where(F.length("sig") >= LONG)
-    side = pages.select("doc_id", "page_number", F.lower(flat(F.col("text"))).alias("t"))
-    there = side.select("doc_id", "page_number", F.explode(runs_of(F.split("t", " "))).alias("gram"))
-    shared = own.select("doc_id", "article_idx", F.size("g").alias("n"), F.explode("g").alias("gram")).join(there, ["doc_id", "gram"])
-    scored = shared.groupBy("doc_id", "article_idx", "page_number", "n").agg(F.count("*").alias("hits"))
-    whole = scored.join(own.select("doc_id", "article_idx", "sig"), ["doc_id", "article_idx"]).join(pages.select("doc_id", "page_number", flat(F.col("text")).alias("t")), ["doc_id", "page_number"])
-    return whole.select("doc_id", "article_idx", "page_number", "n", F.when(F.col("t").contains(F.col("sig")), 1.0).otherwise(F.col("hits") / F.col("n")).alias("score"))
+    """(doc_id, article_idx, page_number, n, score): 1 if the page has the article's signature, else the share of its runs there."""
+    return page_pairs(articles, pages).where("score > 0").select("doc_id", "article_idx", "page_number", "n", "score")
 
 
 def article_pages(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, article_idx, pdf_page): pages never go back from article to article; a near page wins over a far one that is hardly
-    better; what finds none in order is looked for on all pages at half its n-grams. Null where no page fits."""
-    scores = page_scores(articles, pages).groupBy("doc_id", "article_idx").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("page_number", "score"))).alias("scores"))
+    better; what is short or finds none takes the next page with the beginning of its signature; what finds none in order is looked
+    for on all pages at half its runs. Null where no page fits."""
+    fields = F.struct("page_number", "score", "whole", "short")
+    scores = page_pairs(articles, pages).groupBy("doc_id", "article_idx").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(fields)).alias("scores"))
     rows = articles.select("doc_id", "article_idx").join(scores, ["doc_id", "article_idx"], "left")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +85,7 @@ def article_pages(articles: DataFrame, pages: DataFrame) -> DataFrame:
             for d, k, n, scores in zip(batch["doc_id"], batch["article_idx"], batch["n"], batch["scores"], strict=True):
                 if d != doc:
                     doc, last = d, 0
-                found = [(s["page_number"], s["score"]) for s in scores] if scores is not None else []
+                found = [(s["page_number"], s["score"]) for s in scores] if scores is not None and n else []
                 low = max(1, last)
                 ahead = [(p, s) for p, s in found if p >= low]
                 best = max(ahead, key=lambda x: (x[1], -x[0]), default=None)
@@ -79,10 +93,13 @@ def article_pages(articles: DataFrame, pages: DataFrame) -> DataFrame:
                 if best and best[1] * n >= max(LEAST, LEAST_SHARE * n):
                     near = max(((p, s) for p, s in ahead if p < low + NEAR), key=lambda x: (x[1], -x[0]), default=None)
                     page = near[0] if near and near[1] >= NEAR_SHARE * best[1] else best[0]
-                    last = page
+                if page is None and scores is not None:
+                    page = min((s["page_number"] for s in scores if s["short"] and s["page_number"] >= low), default=None)
+                last = page or last
                 if page is None and found:
                     any_ = max(found, key=lambda x: (x[1], -x[0]))
-                    page = any_[0] if any_[1] >= SECOND else None
+                    first = min((s["page_number"] for s in scores if s["whole"]), default=any_[0])
+                    page = first if any_[1] >= SECOND else None
                 out.append((d, k, page))
             yield pd.DataFrame(out, columns=["doc_id", "article_idx", "pdf_page"]).astype({"pdf_page": "Int32"})
 

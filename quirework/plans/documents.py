@@ -80,7 +80,7 @@ def oversized_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signature_page_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of each segment's word n-grams on the pages of its issue."""
+    """Share of each segment's runs of characters on the pages of its issue."""
     articles = table(spark, folder, "segments").where("text IS NOT NULL").select("doc_id", "article_idx", "text")
     side = table(spark, folder, "extracted_pages").where("text IS NOT NULL").select("doc_id", "page_number", "text")
     return pages.page_scores(articles, side).select("doc_id", "article_idx", "page_number", F.round("score", 6).alias("score"))
