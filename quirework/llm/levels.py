@@ -1,8 +1,9 @@
 """Reading level by regularised ordinal regression.
 
 Features of a text: lexical diversity, rarity of its words in the whole corpus, grades of its words and connectives as
-graded texts teach them, clause depth (subordinate and linked clauses a sentence, longest sentence), and lengths. A
-cumulative logit with a ridge penalty turns them into one of five ordered levels. Its graded texts are a bounded sample;
+graded texts teach them, connectives a word and a sentence, clause depth (subordinators, relatives and linked clauses a
+sentence, the most in one, the share of sentences with two), and lengths. The words that link are fixed lists for fr, ar, en
+and es, of which a text uses that of the language whose commonest words it has most of. A cumulative logit with a ridge penalty turns them into one of five ordered levels. Its graded texts are a bounded sample;
 the grades of words are cross-fitted there, so that a text never grades its own words. A rater who stands off the others
 by about a level is moved back before the final fit.
 
@@ -37,6 +38,48 @@ RIDGE = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?؟;؛]+(?:\s+|$)|\n{2,}")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+#: Features of a text.
+WIDTH = 37
+
+#: The commonest words of languages in Latin letters, and the words of each language (and pairs of words) that link sentences and clauses.
+COMMONEST = {
+    "fr": "le la les des du et est une dans au aux par pour sur ce".split(),
+    "en": "the of and is to in by for on this are be it".split(),
+    "es": "el los las del y es una en por para con se al".split(),
+}
+LINKS = {
+    "fr": {
+        "connective": [*"ainsi donc cependant toutefois néanmoins pourtant or car enfin ensuite puis alors aussi notamment également finalement premièrement deuxièmement inversement".split(),
+                       "en effet", "en outre", "en revanche", "en conséquence", "de plus", "par conséquent", "par ailleurs", "par exemple", "au contraire", "d abord", "d ailleurs", "dès lors"],
+        "subordinator": "que qu si parce lorsque lorsqu quand puisque puisqu quoique quoiqu comme afin tandis pourvu jusqu bien".split(),
+        "relative": "qui dont où lequel laquelle lesquels lesquelles auquel auxquels auxquelles duquel desquels desquelles".split(),
+        "linked": "et ou mais ni".split(),
+    },
+    "ar": {
+        "connective": [*"لذلك لذا إذن اذن لكن كذلك أيضا ايضا ثم بالتالي هكذا بالإضافة بالاضافة غير فضلا علاوة أخيرا اخيرا أولا اولا ثانيا خاصة".split(), "مع ذلك", "على ذلك", "في المقابل", "نتيجة لذلك"],
+        "subordinator": "أن ان إن بأن بان لأن لان كأن إذا اذا لو كي لكي حتى حيث عندما حينما بينما لما كلما متى كما رغم ريثما".split(),
+        "relative": "الذي التي الذين اللذان اللتان اللذين اللتين اللواتي اللاتي مما ممن".split(),
+        "linked": "و أو او أم بل".split(),
+    },
+    "en": {
+        "connective": [*"however therefore thus hence moreover furthermore nevertheless nonetheless consequently then also besides finally first second meanwhile instead otherwise indeed accordingly".split(),
+                       "in addition", "in contrast", "in particular", "for example", "for instance", "as well", "after all"],
+        "subordinator": "that if because when while although though since unless until whereas whether after before once lest as".split(),
+        "relative": "which who whom whose where whereby wherein".split(),
+        "linked": "and or but nor yet so".split(),
+    },
+    "es": {
+        "connective": [*"además entonces así luego pues también finalmente asimismo consiguientemente igualmente primero segundo".split(),
+                       "sin embargo", "no obstante", "por tanto", "por consiguiente", "por ejemplo", "en cambio", "es decir", "por otra", "en efecto"],
+        "subordinator": "que si porque cuando aunque mientras puesto como conforme ya".split(),
+        "relative": "quien quienes cuyo cuya cuyos cuyas donde cual cuales".split(),
+        "linked": "y e o u pero ni sino".split(),
+    },
+}
+for _kind in ("connective", "subordinator", "relative"):  # Arabic conjunctions are written together with what they introduce
+    LINKS["ar"][_kind] += [c + w for w in LINKS["ar"][_kind] for c in "وف" if " " not in w]
+LINKS = {lang: {kind: frozenset(words) for kind, words in own.items()} for lang, own in LINKS.items()}
+COMMONEST = {lang: frozenset(words) for lang, words in COMMONEST.items()}
 
 
 def word_rarity(documents: DataFrame, text: str = "text", least: float = LEAST_SHARE) -> dict[str, float]:
@@ -53,11 +96,32 @@ def _tokens(text: str) -> tuple[list[list[str]], list[str]]:
     return sentences, [w for s in sentences for w in s]
 
 
+def links(sentences: list[list[str]]) -> list[float]:
+    """Connectives a word and a sentence; subordinators, relatives and linked clauses a sentence; the most subordinate clauses
+    of a sentence, as a logarithm, and the share of sentences with two or more."""
+    words = [w for s in sentences for w in s]
+    if sum("\u0600" <= w[0] <= "\u06ff" for w in words) * 2 > len(words):
+        lang = "ar"
+    else:
+        lang = max(("fr", "en", "es"), key=lambda x: sum(w in COMMONEST[x] for w in words))
+    own = LINKS[lang]
+    connective = sum((w in own["connective"]) + (a + " " + w in own["connective"]) for s in sentences for a, w in zip(["", *s], s, strict=False))
+    if lang == "ar":
+        linked = sum(w in own["linked"] or (w[0] == "و" and len(w) > 4) for w in words)
+    else:
+        linked = sum(w in own["linked"] for w in words)
+    subordinate = [sum(w in own["subordinator"] for w in s) for s in sentences]
+    relative = [sum(w in own["relative"] for w in s) for s in sentences]
+    deep = np.array(subordinate) + np.array(relative)
+    n = len(sentences)
+    return [connective / len(words), connective / n, sum(subordinate) / n, sum(relative) / n, linked / n, float(np.log1p(deep.max())), float(np.mean(deep > 1))]
+
+
 def features(text: str, rarity: dict[str, float], grades: dict[str, float], floor: float, middle: float) -> np.ndarray:
     """The features of one text."""
     sentences, words = _tokens(text)
     if not words:
-        return np.zeros(30)
+        return np.zeros(WIDTH)
     rare = np.array([rarity.get(w, floor) for w in words])
     pairs = [a + " " + b for s in sentences for a, b in zip(s, s[1:], strict=False)]
     grade = np.array([grades.get(w, middle) for w in words])
@@ -75,7 +139,8 @@ def features(text: str, rarity: dict[str, float], grades: dict[str, float], floo
             sentence.mean(), sentence.std(), sentence.min(), sentence.max(),
             np.log(lengths.mean()), np.log(lengths.max()), np.log(np.median(lengths)),
             np.mean([len(w) for w in words]), commas / len(sentences),
-        ][:30]
+            *links(sentences),
+        ]
     )
 
 
@@ -111,7 +176,7 @@ class Model:
         return edge[:, :-1] - edge[:, 1:]
 
     def rows(self, texts: list[str]) -> np.ndarray:
-        return np.array([features(t, self.rarity, self.grades, self.floor, self.middle) for t in texts]).reshape(len(texts), 30)
+        return np.array([features(t, self.rarity, self.grades, self.floor, self.middle) for t in texts]).reshape(len(texts), WIDTH)
 
 
 def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +209,7 @@ def fit(texts: list[str], levels: np.ndarray, raters: list[str], rarity: dict[st
     fold = np.random.default_rng(10).permutation(len(y)) % FOLDS
 
     def crossed(y: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(y), 30))
+        x = np.zeros((len(y), WIDTH))
         for f in range(FOLDS):
             own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
             grades = grade_words([texts[i] for i in rest], y[rest]) if len(rest) else {}
