@@ -21,7 +21,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +35,6 @@ LEAST_COUNT = 2
 #: Prior of a misreading in a word, and the strength of single words behind pairs.
 MISREAD = 0.02
 BACKING = 20.0
-#: Readings of a word that the search follows, the likeliest; and first confusions to which a second is added, where one explains nothing.
-BEAM = 6
-FIRST = 400
 
 #: What is written, and what it is read as.
 CONFUSIONS = [
@@ -142,6 +138,8 @@ class Decoder:
             if len(w) > 3 and w != "#":
                 for i in range(len(w)):
                     self.holes[w[:i] + w[i + 1 :]].append(w)
+        self.heads = {w[:i] for w in model.words for i in range(1, len(w) + 1)}
+        self.tails = {w[i:] for w in model.words for i in range(len(w))}
         by_read: dict[str, list[tuple[str, float]]] = defaultdict(list)
         for (a, b), p in model.confusions.items():
             by_read[b].append((a, p))
@@ -151,6 +149,15 @@ class Decoder:
         self.mark = math.log(2e-3)
         self.blank = math.log(1e-3)
 
+    def _window(self, v: str) -> tuple[int, int]:
+        """Where a replaced piece may lie for a known word to come out: it ends at the first or later, and begins at the second or before."""
+        high, low = 0, len(v)
+        while high < len(v) and v[: high + 1] in self.heads:
+            high += 1
+        while low > 0 and v[low - 1 :] in self.tails:
+            low -= 1
+        return low, high
+
     def candidates(self, w: str) -> list[tuple[str, float]]:
         """Words of the model that may have been read as w, with the log probability of that."""
         found = self.seen.get(w)
@@ -179,21 +186,21 @@ class Decoder:
                         add(v, cost + p)
                         once.append((v, cost + p))
                     at = start.find(b, at + 1)
-            if w not in self.m.words and not best:
-                for v, p in nlargest(FIRST, once, key=lambda x: (x[1], x[0])):
-                    for b, options in self.by_read.items():
-                        at = v.find(b)
-                        while at >= 0:
-                            for a, q in options:
-                                add(v[:at] + a + v[at + len(b) :], p + q)
-                            at = v.find(b, at + 1)
+            for v, p in once:  # a second confusion, only where the rest begins and ends like a known word
+                low, high = self._window(v)
+                for b, options in self.by_read.items():
+                    at = v.find(b, max(0, low - len(b)))
+                    while 0 <= at <= high:
+                        for a, q in options:
+                            add(v[:at] + a + v[at + len(b) :], p + q)
+                        at = v.find(b, at + 1)
             if len(start) > 3 and w not in self.m.words:
                 for hole in {start} | {start[:i] + start[i + 1 :] for i in range(len(start))}:
                     for v in self.holes.get(hole, ()):
                         add(v, cost + self.unusual)
                     if hole != start:
                         add(hole, cost + self.unusual)
-        found = sorted(best.items(), key=lambda x: (-x[1] - math.log(self.m.words[x[0]]), x[0]))[:BEAM]
+        found = sorted(best.items(), key=lambda x: (-x[1] - math.log(self.m.words[x[0]]), x[0]))
         if len(self.seen) < 2_000_000:
             self.seen[w] = found
         return found
@@ -217,7 +224,7 @@ class Decoder:
             return False
         if w not in self.m.words:
             return not self.prefixed(w)
-        if (before, w) in self.m.pairs or (w, after) in self.m.pairs:
+        if (not before or (before, w) in self.m.pairs) and (not after or (w, after) in self.m.pairs):
             return False
         return bool(self.candidates(w))
 
