@@ -325,9 +325,13 @@ def blocks(own: DataFrame) -> DataFrame:
         .agg(F.max_by("top", F.struct("m", F.expr("-length(top)"), "top")).alias("top"))
     )
     step = cut(names.select("doc_id", "family").join(step, ["doc_id", "family"], "left").select("doc_id", "family", F.coalesce("top", "family").alias("top")))
-    for _ in range(2):
+    while True:  # a top has no top above it at the end; each round doubles the way, so there are few
         jump = step.select("doc_id", F.col("family").alias("top"), F.col("top").alias("higher"))
-        step = step.join(jump, ["doc_id", "top"]).select("doc_id", "family", F.col("higher").alias("top"))
+        step = cut(step.join(jump, ["doc_id", "top"]).select("doc_id", "family", "top", "higher"))
+        moved = not step.where("higher <> top").isEmpty()
+        step = step.select("doc_id", "family", F.col("higher").alias("top"))
+        if not moved:
+            break
     joined = own.join(step, ["doc_id", "family"], "left")
     return joined.select("*", F.when(F.col("kind") == "ministry", F.lit("ministry")).otherwise(F.coalesce("top", "family")).alias("block"))
 
