@@ -194,29 +194,26 @@ def clean_arabic(text: Column, lam: bool = True, headers: bool = True, dots: boo
     return squeezed_lines(collapsed(out))
 
 
+def right_word(word: str) -> str:
+    """A word put right: by the list for any case, then by that for its own case, then by that of lost accents."""
+    word = fixed.WORD_FIXES.get(word.lower(), word)
+    word = fixed.CASED_FIXES.get(word, word)
+    accented = fixed.ACCENT_FIXES.get(word.lower(), word)
+    return accented if isinstance(accented, str) else accented[not word.islower()]
+
+
 @F.pandas_udf(StringType())
 def _pdf_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import re
 
-    known = {**fixed.PDF_WORDS, **fixed.UNACCENTED, **fixed.UNACCENTED_CASED}
-    known |= {k + "s": v + "s" for k, v in known.items() if k[-1] not in "sx" and v[-1] not in "sx"}
     word = re.compile(r"\w+")
-
-    def right(m: re.Match) -> str:
-        w = m.group()
-        found = known.get(w.lower())
-        if found is None:
-            return w
-        return found.capitalize() if w.lower() in fixed.UNACCENTED_CASED and not w.islower() else found
-
     for texts in batches:
-        yield texts.map(lambda t: t if t is None else word.sub(right, t))
+        yield texts.map(lambda t: t if t is None else word.sub(lambda m: right_word(m.group()), t))
 
 
 def pdf_words(text: Column) -> Column:
     """French words put right that come broken out of PDF files. Only texts with such a word leave the JVM."""
-    stems = "|".join(sorted({*fixed.PDF_WORDS, *fixed.UNACCENTED, *fixed.UNACCENTED_CASED}))
-    hit = text.rlike(rf"(?iuU)\b(?:{stems})s?\b")
+    hit = text.rlike(rf"(?iuU)\b(?:{'|'.join([*fixed.WORD_FIXES, *fixed.CASED_FIXES, *fixed.ACCENT_FIXES])})\b")
     return F.when(hit, _pdf_words(F.when(hit, text))).otherwise(text)
 
 

@@ -1,15 +1,16 @@
 """Articles to pages: shared runs of characters, then a monotone walk.
 
-Every article is compared with every page of its issue, pair by pair, so that nothing holds an issue; a score is the share of
-the distinct runs of characters of the whole article. The walk goes from article to article of one issue, in order, over its
-scored pages.
+A score is the share of the distinct runs of characters of the whole article that a page of its issue has. Articles and pages of
+an issue meet in blocks of BLOCK by BLOCK, whose runs are counted by one matrix product; so a large issue spreads over many
+tasks and a text is sent once a block, not once a pair. Only pages that a decision can depend on are kept. The walk goes from
+article to article of one issue, in order, over its scored pages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,38 @@ SIGNATURE, SHORT, GRAM, LONG = 40, 20, 4, 30
 NEAR, NEAR_SHARE, LEAST_SHARE, LEAST, SECOND = 7, 0.9, 0.20, 3, 0.5
 
 
+#: Articles, and pages, of a block.
+BLOCK = 64
+
+
 def flat(text: Column) -> Column:
     """Blanks single."""
     return strip(replaced(text, r"(?U)\s+", " "))
 
 
-@lru_cache(maxsize=256)
-def grams(flat: str, n: int = GRAM) -> frozenset[str]:
-    """The distinct runs of n characters of a text, lower case; a shorter text is its own run."""
-    low = flat.lower()
-    return frozenset(low[i : i + n] for i in range(len(low) - n + 1)) if len(low) >= n else frozenset([low])
+def run_numbers(texts: list[str]) -> list[np.ndarray]:
+    """The distinct runs of GRAM = 4 characters of each text, in small letters, as numbers that texts of one call share."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = np.cumsum([len(t) for t in low])
+    if len(points) < GRAM:
+        return [np.empty(0, np.int64) for _ in texts]
+    twos = np.unique(points[:-1] << 32 | points[1:], return_inverse=True)[1]
+    fours = np.unique(twos[:-2] << 32 | twos[2:], return_inverse=True)[1]
+    return [np.unique(fours[e - len(t) : max(e - GRAM + 1, e - len(t))]) for t, e in zip(low, ends, strict=True)]
+
+
+def shared_runs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many runs each of the left texts has in common with each of the right ones."""
+    known = np.unique(np.concatenate([*left, np.empty(0, np.int64)]))
+
+    def marks(side: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(side), len(known) + 1), np.float32)
+        for row, own in zip(out, side, strict=True):
+            row[np.searchsorted(known, own[np.isin(own, known, assume_unique=True)])] = 1
+        return out
+
+    return np.rint(marks(left) @ marks(right).T).astype(np.int64)
 
 
 def printed_page(text: Column, page: Column) -> Column:
@@ -42,32 +65,44 @@ def printed_page(text: Column, page: Column) -> Column:
 
 
 PAIR = "doc_id string, article_idx int, page_number int, n int, score double, whole boolean, short boolean"
+#: Pages below this share decide nothing: a near page needs NEAR_SHARE of a best one of LEAST_SHARE.
+FLOOR = NEAR_SHARE * LEAST_SHARE
+
+
+def _compared(articles: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one block."""
+    long = [a if len(a[:SIGNATURE]) >= LONG else "" for a in articles["a"]]
+    runs = run_numbers([*long, *side["p"]])
+    own, theirs = runs[: len(long)], runs[len(long) :]
+    both = shared_runs(own, theirs)
+    out = []
+    for i, (d, k, a) in enumerate(zip(articles["doc_id"], articles["article_idx"], articles["a"], strict=True)):
+        n, sig = len(own[i]), a[:SIGNATURE]
+        for j, (page, p) in enumerate(zip(side["page_number"], side["p"], strict=True)):
+            whole, short = sig in p, sig[:SHORT] in p
+            share = 0.0 if not n else 1.0 if whole else both[i, j] / n
+            if share >= FLOOR or short:
+                out.append((d, k, page, n, share, whole, short))
+    return pd.DataFrame(out, columns=["doc_id", "article_idx", "page_number", "n", "score", "whole", "short"])
 
 
 def page_pairs(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """Articles and pages of their issue that share something: the number n of the article's runs and the score, both 0 where its
-    signature is too short for them; whether the page has the signature (whole), and its beginning (short)."""
-    own = articles.select("doc_id", "article_idx", flat(F.col("text")).alias("a")).where("a <> ''")
-    side = pages.select("doc_id", "page_number", flat(F.col("text")).alias("p"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, k, page, a, p in zip(batch["doc_id"], batch["article_idx"], batch["page_number"], batch["a"], batch["p"], strict=True):
-                sig = a[:SIGNATURE]
-                own = grams(a) if len(sig) >= LONG else frozenset()
-                whole, short = sig in p, sig[:SHORT] in p
-                share = 0.0 if not own else 1.0 if whole else len(own & grams(p)) / len(own)
-                if share or short:
-                    out.append((d, k, page, len(own), share, whole, short))
-            yield pd.DataFrame(out, columns=["doc_id", "article_idx", "page_number", "n", "score", "whole", "short"])
-
-    return own.join(side, "doc_id").mapInPandas(score, PAIR)
+    signature is too short for them; whether the page has the signature (whole), and its beginning (short). Articles without text
+    and pages without number or text pair with none."""
+    own = articles.select("doc_id", "article_idx", flat(F.col("text")).alias("a"), F.floor(F.col("article_idx") / BLOCK).alias("ab")).where("a <> ''")
+    side = pages.where("page_number IS NOT NULL AND text IS NOT NULL").select("doc_id", "page_number", F.translate("text", "\r\n", "  ").alias("p"), F.floor(F.col("page_number") / BLOCK).alias("pb"))
+    block = [F.col("doc_id").alias("issue"), F.col("ab").alias("article_block"), F.col("pb").alias("page_block")]  # new columns, so that the sides differ
+    left = own.join(side.select("doc_id", "pb").distinct(), "doc_id").select("doc_id", "article_idx", "a", *block)
+    right = side.join(own.select("doc_id", "ab").distinct(), "doc_id").select("page_number", "p", *block)
+    key = ["issue", "article_block", "page_block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compared, PAIR)
 
 
 def page_scores(articles: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, article_idx, page_number, n, score): 1 if the page has the article's signature, else the share of its runs there."""
-    return page_pairs(articles, pages).where("score > 0").select("doc_id", "article_idx", "page_number", "n", "score")
+    """(doc_id, article_idx, page_number, n, score) of the pages that an article may stand on: 1 if the page has its signature, else the
+    share of its runs there, from LEAST_SHARE on."""
+    return page_pairs(articles, pages).where(F.col("score") >= LEAST_SHARE).select("doc_id", "article_idx", "page_number", "n", "score")
 
 
 def article_pages(articles: DataFrame, pages: DataFrame) -> DataFrame:

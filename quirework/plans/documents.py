@@ -150,7 +150,34 @@ BLOCKS = """
     SELECT l_orderkey::VARCHAR AS doc_id, (l_linenumber % 2 + 1)::INT AS page_number, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 700)::DOUBLE AS y0,
            (l_partkey % 500)::DOUBLE + 2 * l_quantity AS x1, (l_suppkey % 700)::DOUBLE + 12 AS y1, l_partkey % 500 < 250 AS latin FROM lineitem
 """
+#: Segments (a, and the first 40 characters s) and pages (p) of an issue, with the share of the segment's distinct runs of four characters on the page.
+PAIRS = f"""
+    g AS (SELECT doc_id, article_idx, regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS a FROM segments WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, article_idx, a, left(a, 40) AS s, lower(a) AS low FROM g WHERE a <> ''),
+    ag AS (SELECT doc_id, article_idx, s, CASE WHEN length(s) >= 30 THEN list_distinct(list_transform(range(1, length(low) - 2), lambda i: substring(low, i, 4))) ELSE [] END AS r FROM h),
+    pg AS (SELECT doc_id, page_number, translate(text, chr(13) || chr(10), '  ') AS p FROM extracted_pages WHERE text IS NOT NULL AND page_number IS NOT NULL),
+    pr AS (SELECT *, list_distinct(list_transform(range(1, length(p) - 2), lambda i: substring(lower(p), i, 4))) AS q FROM pg),
+    m AS (SELECT doc_id, article_idx, page_number, len(r) AS n, contains(p, s) AS whole, contains(p, left(s, 20)) AS short,
+                 CASE WHEN len(r) = 0 THEN 0 WHEN contains(p, s) THEN 1 ELSE len(list_intersect(r, q)) / len(r) END AS score FROM ag JOIN pr USING (doc_id))
+"""
 SQL = {
+    "signature_page_match": f"WITH {PAIRS} SELECT doc_id, article_idx, page_number, round(score, 6) AS score FROM m WHERE score >= 0.2",
+    "page_map": f"""
+        WITH RECURSIVE {PAIRS},
+            l AS (SELECT doc_id, article_idx, any_value(n) AS n, list({{'s': -score, 'p': page_number, 'w': whole, 't': short}} ORDER BY page_number) AS x FROM m GROUP BY ALL),
+            o AS (SELECT s.doc_id, s.article_idx, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.article_idx) AS k, n, coalesce(x, []) AS x
+                  FROM segments s LEFT JOIN l USING (doc_id, article_idx) WHERE s.text IS NOT NULL),
+            w AS (SELECT doc_id, 0::BIGINT AS k, NULL::INT AS article_idx, 0 AS last, NULL::INT AS page, NULL::INT AS far FROM (SELECT DISTINCT doc_id FROM o)
+                  UNION ALL
+                  SELECT doc_id, k, article_idx, coalesce(page, last), page, far FROM (
+                    SELECT *, coalesce(CASE WHEN n > 0 AND len(b) > 0 AND -b[1].s * n >= greatest(3, 0.2 * n) THEN CASE WHEN len(c) > 0 AND -c[1].s >= 0.9 * -b[1].s THEN c[1].p ELSE b[1].p END END,
+                                       list_min(list_transform(list_filter(x, lambda e: e.t AND e.p >= low), lambda e: e.p))) AS page FROM (
+                      SELECT *, list_sort(list_filter(x, lambda e: e.p >= low AND e.s < 0)) AS b, list_sort(list_filter(x, lambda e: e.p >= low AND e.p < low + 7 AND e.s < 0)) AS c,
+                             CASE WHEN n > 0 AND len(x) > 0 AND list_sort(x)[1].s <= -0.5 THEN coalesce(list_min(list_transform(list_filter(x, lambda e: e.w), lambda e: e.p)), list_sort(x)[1].p) END AS far FROM (
+                        SELECT o.*, w.last, greatest(1, w.last) AS low FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1)))
+            )
+        SELECT doc_id, article_idx, coalesce(page, far)::INT AS pdf_page FROM w WHERE k > 0
+    """,
     "ocr_threshold": """
         WITH m AS (SELECT doc_id, quantile_cont(char_count, 0.5) AS middle FROM extracted_pages GROUP BY 1)
         SELECT page_id, char_count < greatest(300, floor(0.30 * middle)) AS needs_ocr FROM extracted_pages LEFT JOIN m USING (doc_id)

@@ -142,7 +142,7 @@ def test_bidi():
 
 
 def test_pages(spark):
-    words = lambda k: " ".join(f"mot{k}x{i}" for i in range(30))
+    words = lambda k: " ".join(chr(96 + k) * 2 + chr(97 + i) * 3 for i in range(26))
     arts = spark.createDataFrame([("d", 0, words(1)), ("d", 1, words(3)), ("d", 2, words(9)), ("d", 3, "")], "doc_id string, article_idx int, text string")
     side = spark.createDataFrame([("d", k, words(k)) for k in range(1, 5)], "doc_id string, page_number int, text string")
     assert [r["pdf_page"] for r in pages.article_pages(arts, side).orderBy("article_idx").collect()] == [1, 3, None, None]

@@ -51,7 +51,8 @@ def test_whole_text_counts(spark):
     p = spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(side)], PAGES)
     own = {r["page_number"]: (r["n"], r["score"]) for r in pages.page_scores(a, p).collect()}
     every = runs((form + rest).strip())
-    assert own == {k + 1: (len(every), len(every & runs(t.strip())) / len(every)) for k, t in enumerate(side)}
+    shares = {k + 1: len(every & runs(t.strip())) / len(every) for k, t in enumerate(side)}
+    assert shares[1] < pages.LEAST_SHARE < shares[2] and own == {2: (len(every), shares[2])}
     assert mapped(spark, [form + rest], side) == [2]
 
 
@@ -78,3 +79,22 @@ def test_walk_is_brute_force(spark):
         arts = [t[k : k + rng.randrange(8, 160)].strip() for t in side for k in (0, 70)] + [some(9) for _ in range(4)] + [some(2), side[2][30:120].strip()]
         rng.shuffle(arts)
         assert mapped(spark, arts, side) == brute(arts, side)
+
+
+def test_runs_are_counted_exactly():
+    texts = ["abcabcabc", "ABCA", "abc", "", "xabca\u0633\u0644\u0627\u0645 \U0001f600!", "\u0633\u0644\u0627\u0645"]
+    own = pages.run_numbers(texts)
+    assert [len(r) for r in own] == [len(runs(t)) for t in texts]
+    both = pages.shared_runs(own[:3], own[3:])
+    assert both.tolist() == [[len(runs(a) & runs(b)) for b in texts[3:]] for a in texts[:3]]
+    assert pages.shared_runs([], own).shape == (0, 6) and [len(r) for r in pages.run_numbers([])] == []
+
+
+def test_blocks_meet_once(spark):
+    rng = random.Random(8)
+    side = ["".join(rng.choice("abcdefghij ") for _ in range(90)) for _ in range(150)]
+    arts = [side[k * 7 % 150][:60].strip() for k in range(140)]
+    a = spark.createDataFrame([("d", k, t) for k, t in enumerate(arts)] + [("d", 500, None), (None, 1, "x" * 50)], ARTICLES)
+    p = spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(side)] + [("d", None, side[0]), ("d", 900, None), ("e", 1, side[1])], PAGES)
+    got = sorted((r["article_idx"], r["page_number"]) for r in pages.page_scores(a, p).collect() if r["score"] == 1.0)
+    assert got == [(k, k * 7 % 150 + 1) for k in range(140)]

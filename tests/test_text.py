@@ -38,7 +38,8 @@ def test_small_functions(spark):
     assert one(spark, T.plain_key, "  Hélène   DUPONT", "É", None) == ["helene dupont", "e", None]
     assert one(spark, T.flat_entity, "loi n° 5\n sur l'eau790", "1234") == ["loi n° 5 sur l'eau", "1234"]
     assert one(spark, lambda c: T.shortened(c, 5), "abcdefgh", "abc", None) == ["abcde…", "abc", None]
-    assert one(spark, T.pdf_words, "La conformté du Decret, dispositons", "rien") == ["La conformité du Décret, dispositions", "rien"]
+    words = "La conformté du Decret, dispostions ; arrêts, publies, DECRET, decret, offcie, Cahier"
+    assert one(spark, T.pdf_words, words, "rien", None, "") == ["La conformité du Décret, dispositions ; arrêts, publies, Décret, décret, Office, cahier", "rien", None, ""]
     assert one(spark, T.nfc, "é", "é") == ["é", "é"]
 
 
