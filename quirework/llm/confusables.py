@@ -6,7 +6,8 @@ confusable. Both are respelled in the script that all of the token's letters can
 text's unambiguous letters belong to. Widths, presentation forms, combining marks, blanks, hyphens that print alike and
 characters that don't print are then brought to one form.
 
-Null stays null; an empty text stays empty. Case, accents, digits, punctuation and spelling are kept.
+Null stays null; an empty text stays empty. Case, accents, digits, punctuation and spelling are kept, and so is what compatibility
+forms show otherwise: raised and lowered signs, circled and fraction numbers, signs for words, letters with other dots.
 """
 
 from __future__ import annotations
@@ -26,16 +27,26 @@ from quirework.llm.pairs import differing_pairs
 from quirework.sources.tables import cut, spread, table
 
 #: Letters of other scripts that print like a Latin letter.
-CYRILLIC = dict(zip("АВЕКМНОРСТХУЅІЈԚԜЗаеорсхуѕіјԛԝһԁ", "ABEKMHOPCTXYSIJQW3aeopcxysijqwhd", strict=True))
-del CYRILLIC["З"]
+CYRILLIC = dict(zip("АВЕКМНОРСТХУЅІЈԚԜҮӀаеорсхуѕіјԛԝһԁүӏ", "ABEKMHOPCTXYSIJQWYIaeopcxysijqwhdyl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj", strict=True))
-#: Letters of Arabic script that print like another one in the middle of a word.
-ARABIC = {"ک": "ك", "ی": "ي", "ھ": "ه", "ہ": "ه", "ے": "ي", "ۀ": "ة"}
-LATIN_LOOKALIKE = {"ɑ": "a", "ı": "i", "ſ": "s", "ꞌ": "'"}
+#: Letters of Arabic script that print like another one where they stand: joined to a next letter, or not.
+JOINED = "(?=[\u064b-\u065f\u0670]*[\u0622-\u064a\u066e-\u06d3])"
+ARABIC = re.compile(f"(?P<yeh>ی{JOINED})|(?P<bare>ی)|(?P<kaf>ک{JOINED})|(?P<heh>ہ(?!{JOINED[3:-1]}))")
+PRINTED = {"yeh": "ي", "bare": "ى", "kaf": "ك", "heh": "ه"}
+SAME = {"ɑ": "a", "ɡ": "g", **dict.fromkeys("‐‑−﹣", "-")}
 TO_LATIN = CYRILLIC | GREEK
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
 TO_GREEK = {v: k for k, v in GREEK.items()}
 
+#: Compatibility forms that print like what they stand for: widths, joined and lone forms, letters of another design, ligatures,
+#: digraphs, and Roman numbers, by blocks.
+PRINT_ALIKE = {"<wide>", "<narrow>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"}
+LIGATURES = [*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18)]
+BLOCKS = [*range(0x2100, 0x2150), *range(0xFB1D, 0xFF00), *range(0xFF01, 0xFFEF), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00)]
+COMPATIBLE = {c: unicodedata.normalize("NFKD", chr(c)) for c in BLOCKS if unicodedata.decomposition(chr(c)).split(" ")[0] in PRINT_ALIKE}
+COMPATIBLE |= {c: unicodedata.normalize("NFKD", chr(c)) for c in LIGATURES}
+COMPATIBLE_FORM = re.compile("[\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\u2100-\u217f\ufb00-\ufeff\uff01-\uffee\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff]+")
+
 #: Not printed: format characters, fillers, selectors.
 UNSEEN = re.compile(
     "[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ"
@@ -83,7 +94,6 @@ def needs_form(text: str) -> bool:
 
 
 WIDE_BLANK = re.compile(BLANK.pattern.replace(" ", "", 1))
-SAME = ARABIC | LATIN_LOOKALIKE | dict.fromkeys("‐‑−﹣", "-")
 SAME_LETTER = re.compile("[" + "".join(SAME) + "]")
 OTHER_SCRIPT = re.compile("[" + "".join(TO_LATIN) + "]")
 #: Letters that one script alone has.
@@ -97,8 +107,10 @@ ONLY = {
 
 def one_form(text: str) -> str:
     """The consistent form of a text."""
-    text = WIDE_BLANK.sub(" ", UNSEEN.sub("", LINE_END.sub("\n", unicodedata.normalize("NFKD", text))))
-    text = SAME_LETTER.sub(lambda m: SAME[m.group()], text)
+    text = COMPATIBLE_FORM.sub(lambda m: m.group().translate(COMPATIBLE), UNSEEN.sub("", LINE_END.sub("\n", text)))
+    text = SAME_LETTER.sub(lambda m: SAME[m.group()], WIDE_BLANK.sub(" ", unicodedata.normalize("NFD", text)))
+    if "ی" in text or "ک" in text or "ہ" in text:
+        text = ARABIC.sub(lambda m: PRINTED[m.lastgroup], text)
     if OTHER_SCRIPT.search(text):
         votes = {s: len(p.findall(text)) for s, p in ONLY.items()}
         chief = max(votes, key=lambda s: (votes[s], s == "LATIN"))

@@ -37,36 +37,42 @@ PIECES = ArrayType(
     )
 )
 
-#: Strength of a cut, and where it lies: at the end of each match.
-BOUNDARIES = [
-    (1, re.compile(r"\s+(?=\S)")),
-    (2, re.compile(r"[,،]\s+(?=\S)")),
-    (3, re.compile(r"(?:[;:؛]|\s[–—])\s+(?=\S)")),
-    (4, re.compile(r"[.!?؟…][»\"')\]]*\s+(?=\S)")),
-    (5, re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?=\S)")),
-    (6, re.compile(r"(?:(?:\r\n?|\n)[^\S\r\n]*){2,}(?=\S)|\f\s*(?=\S)")),
-]
+#: A text may be cut at the end of a run of blanks. Strengths: 1 blank, 2 comma, 3 semicolon, colon or dash, 4 sentence, 5 line,
+#: 6 paragraph or page, 7 heading. Each run is looked at once, so the time is in proportion to the text whatever it holds.
+RUN = re.compile(r"\s+")
+LINE_END = re.compile(r"\r\n?|\n")
+COMMA, STOP, DASH, SENTENCE, CLOSERS = ",،", ";:؛", "–—", ".!?؟…", "»\"')]"
 HEADING = re.compile(
-    r"(?:^|(?<=[\r\n\f]))[^\S\r\n]*(?=(?:(?:titre|chapitre|section|sous-section|annexe|article|art\.)\s+\S|(?:الباب|الفرع|القسم|المادة|ملحق)\s))",
+    r"(?:titre|chapitre|section|sous-section|annexe|article|art\.)\s+\S|(?:الباب|الفرع|القسم|المادة|ملحق)\s",
     re.IGNORECASE,
 )
 #: A full stop after these doesn't end a sentence.
-ABBREVIATION = re.compile(r"(?:^|[\s(«'’])(?:art|al|cf|m|mm|mme|mlle|me|dr|pr|n|no|st|ste|sté|p|pp|vol|éd|etc|\w)\.[»\"')\]]*\s*$", re.IGNORECASE)
+ABBREVIATION = re.compile(r"(?:^|[\s(«'’])(?:art|al|cf|m|mm|mme|mlle|me|dr|pr|n|no|st|ste|sté|p|pp|vol|éd|etc|\w)\.$", re.IGNORECASE)
+
+
+def _strength(text: str, start: int, end: int) -> int:
+    """Strength of the cut after the run of blanks from start to end."""
+    if end - start > 1 or text[start] in "\r\n\f":
+        lines = sum(1 for _ in LINE_END.finditer(text, start, end))
+        page = text.find("\f", start, end) >= 0
+        if lines or page:
+            return 7 if HEADING.match(text, end) else 6 if lines > 1 or page else 5
+    if not start:
+        return 1
+    at = start - 1
+    while at and text[at] in CLOSERS:
+        at -= 1
+    if text[at] in SENTENCE and not ABBREVIATION.search(text[max(0, at - 8) : at + 1]):
+        return 4
+    before = text[start - 1]
+    return 3 if before in STOP or (before in DASH and text[start - 2 : start - 1].isspace()) else 2 if before in COMMA else 1
 
 
 def boundary_strengths(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the text may be cut, ascending, and their strengths."""
-    at: dict[int, int] = {}
-    for strength, pattern in BOUNDARIES:
-        for m in pattern.finditer(text):
-            if strength == 4 and ABBREVIATION.search(text, max(0, m.start() - 8), m.start() + 1):
-                continue
-            at[m.end()] = strength
-    for m in HEADING.finditer(text):
-        if m.end() in at:
-            at[m.end()] = 7
-    positions = np.fromiter(sorted(at), dtype=np.int64, count=len(at))
-    return positions, np.fromiter((at[p] for p in positions.tolist()), dtype=np.int64, count=len(at))
+    at = [m.span() for m in RUN.finditer(text) if m.end() < len(text)]
+    strengths = [_strength(text, a, b) for a, b in at]
+    return np.array([b for _, b in at], dtype=np.int64), np.array(strengths, dtype=np.int64)
 
 
 class StrongestCut:
@@ -172,8 +178,23 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return all_pieces(spark, folder).select("tbl", "row_id", F.inline("pieces"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p1_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row put together from its pieces again: its digest, the longest piece, and whether every overlap is about OVERLAP characters."""
+    pieces = F.col("pieces")
+    overlap = lambda x, i: pieces[i - 1]["end_pos"] - x["start_pos"]
+    own = F.transform(pieces, lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], overlap(x, i) + 1, F.lit(2**31 - 1))))
+    near = F.forall(F.transform(pieces, lambda x, i: (i == 0) | overlap(x, i).between(OVERLAP - OVERLAP // 4, OVERLAP + OVERLAP // 4)), lambda x: x)
+    longest = F.array_max(F.transform(pieces, lambda x: F.length(x["piece"])))
+    rows = all_pieces(spark, folder).where("pieces IS NOT NULL")
+    return rows.select("tbl", "row_id", F.md5(F.array_join(own, "")).alias("digest"), (longest <= LIMIT).alias("within"), near.alias("overlapping"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt}
 SQL = {
+    "p1_rebuilt": """
+        SELECT 'articles' AS tbl, id AS row_id, md5(raw_text) AS digest, true AS within, true AS overlapping FROM articles WHERE raw_text IS NOT NULL
+        UNION ALL SELECT 'segments', seg_id, md5(text), true, true FROM segments WHERE text IS NOT NULL
+    """,
     "p1_found": """
         SELECT 'articles' AS tbl, id AS row_id FROM articles WHERE length(raw_text) > 5000
         UNION ALL SELECT 'segments', seg_id FROM segments WHERE length(text) > 5000

@@ -28,11 +28,13 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
         for texts in batches:
             sizes: list[int] = []
             some: list[str] = []
+            held = 0
             for t in texts:
-                some.append(t or "")
-                if len(some) >= 200 or sum(map(len, some[-1:])) > CHUNK:
+                if some and (len(some) >= 200 or held + len(t or "") > CHUNK):
                     sizes += [len(e.ids) for e in encoder.encode_batch_fast(some, add_special_tokens=False)]
-                    some = []
+                    some, held = [], 0
+                some.append(t or "")
+                held += len(t or "")
             if some:
                 sizes += [len(e.ids) for e in encoder.encode_batch_fast(some, add_special_tokens=False)]
             yield pd.Series(sizes, dtype="int64")
