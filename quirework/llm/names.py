@@ -5,12 +5,16 @@ the field of a ministry), initials and titles. Which words qualify is learned: w
 set share of all bulletins. Short forms of given names are learned too: a word that keeps company with one given name
 beside the same family name, far more often than with any other.
 
-Blocking is by bulletin and distinctive part, where a misspelt part joins the block of its most frequent neighbour at
-one edit. Within a block, distinct spellings only, matching records merge: the profile unions spellings, qualifiers and
-initials, and enters matching again, until no merge happens. Strong evidence goes first (the same given name), weak
-evidence later (an abbreviation, an initial, a bare family name), and weak evidence counts only if it fits one profile.
-
-Labels don't matter. Null, empty and numeric mentions link to nothing. Copies of a spelling share its profile.
+A profile holds spellings, sets of qualifiers and initials. It enters a block for each of its spellings and for each spelling
+of the bulletin that is close to one of them. Profiles match within blocks, matched profiles merge, the union of their
+spellings, qualifiers and initials enters blocking again, and so on until a round merges nothing. Evidence goes by strength:
+the same qualifiers (a set within the other); then, for a profile without qualifiers, abbreviations, initials or a bare name
+that fit one full profile alone; at last, where no full profile is near, abbreviations and bare names among themselves. Ministries
+go through the same rounds, blocked by the words of their field. Rounds are DataFrame jobs; a block is what has one spelling, or
+one like it, in one bulletin, each distinct form once, so its size follows from the number of forms, not of rows.
+
+Labels don't matter. Null, empty and numeric mentions link to nothing. Copies of a spelling share its profile. A mention of
+qualifiers alone, or of a field that fits several ministries, has the cluster of its own folded form.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.confusables import one_form
@@ -88,6 +92,7 @@ class Parsed:
     title: bool = False
     company: bool = False
     ministry: bool = False
+    waw: bool = False
 
 
 TITLE_FOLDED = {fold(w) for w in TITLES}
@@ -110,8 +115,10 @@ def parse(text: str) -> Parsed | None:
     tokens = [(m.group(), plain[m.end() : m.end() + 1] == ".") for m in WORD.finditer(plain)]
     for k, (w, dot) in enumerate(tokens):
         first = k == 0
-        if w in MINISTRY_FOLDED or (first and w == "و" and dot):
+        if w in MINISTRY_FOLDED:
             out.ministry = True
+        elif first and w == "و" and dot:  # a ministry if the words of a field follow, else an initial
+            out.waw = True
         elif w in COMPANY_FOLDED and (w != "ش" or dot) or w in LEGAL_FOLDED:
             out.company = True
         elif w in TITLE_FOLDED and (first or len(w) > 2) and len(tokens) > 1 and not (w == "m" and dot and not first):
@@ -146,7 +153,7 @@ def bare(word: str) -> str:
     return word
 
 
-MENTION = "doc_id string, text string, n bigint, words array<string>, short array<string>, title boolean, company boolean, ministry boolean"
+MENTION = "doc_id string, text string, n bigint, words array<string>, short array<string>, company boolean, ministry boolean, waw boolean"
 
 
 def mentions(rows: DataFrame) -> DataFrame:
@@ -159,18 +166,19 @@ def mentions(rows: DataFrame) -> DataFrame:
             for doc, text, n in zip(batch["doc_id"], batch["text"], batch["n"], strict=True):
                 p = parse(text)
                 if p is not None:
-                    out.append((doc, text, n, p.words, p.short, p.title, p.company, p.ministry))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n", "words", "short", "title", "company", "ministry"])
+                    out.append((doc, text, n, p.words, p.short, p.company, p.ministry, p.waw))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "n", "words", "short", "company", "ministry", "waw"])
 
     return distinct.mapInPandas(split, MENTION)
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Qualifying words, given names and trades, with what each stands for."""
+    """Qualifying words, given names and trades, with what each stands for; the words of ministries' fields."""
 
     given: dict[str, str]
     trades: dict[str, str]
+    fields: frozenset[str] = frozenset()
 
     def index(self) -> dict[str, list[tuple[str, str]]]:
         """Qualifying words by each of them with up to one letter left out, two in long words; and, marked, by their sound."""
@@ -203,42 +211,49 @@ def _holes(word: str) -> set[str]:
     return one if len(word) < 9 else one | {w[:i] + w[i + 1 :] for w in one for i in range(len(w))}
 
 
+def _bounded(rows: DataFrame, bound: int, what: str) -> list:
+    """Collected rows, refused beyond a bound."""
+    found = rows.limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} {what}")
+    return found
+
+
+#: Most qualifying words; a word stands in COMMON_SHARE of the bulletins, so there are at most (distinct words a bulletin) / COMMON_SHARE.
+MOST_WORDS = 100_000
+
+
+def _near(words: list[str]) -> dict[str, list[str]]:
+    """The close words of each word, found by the words with letters left out that they share."""
+    index: dict[str, list[str]] = {}
+    for w in words:
+        for hole in _holes(w):
+            index.setdefault(hole, []).append(w)
+    return {w: sorted({x for hole in _holes(w) for x in index[hole] if x != w and close(x, w)}) for w in words}
+
+
 def lexicon(parsed: DataFrame) -> Lexicon:
-    """Qualifying words of all mentions. Their number is bounded by words a bulletin / COMMON_SHARE."""
-    named = parsed.where("NOT ministry")
-    words = named.select("doc_id", "company", F.size("words").alias("k"), F.explode("words").alias("word"))
-    bulletins = named.select("doc_id").distinct().count()
+    """Qualifying words of all mentions."""
+    parts = parsed.select("doc_id", "company", "ministry", F.explode("words").alias("word"))
+    bulletins = parsed.where("NOT ministry").select("doc_id").distinct().count()
     least = max(COMMON_LEAST, COMMON_SHARE * bulletins)
     common = (
-        words.groupBy("word")
+        parts.groupBy("ministry", "word")
         .agg(F.countDistinct("doc_id").alias("bulletins"), F.avg(F.col("company").cast("double")).alias("company"), F.count("*").alias("n"))
-        .where(F.col("bulletins") >= least)
+        .where((F.col("bulletins") >= least) | (F.col("ministry") & (F.col("bulletins") >= COMMON_LEAST) & (F.col("bulletins") >= COMMON_SHARE * bulletins / 4)))
     )
-    rows = common.limit(100_000).collect()
+    every = _bounded(common, MOST_WORDS, "qualifying words")
+    rows = [r for r in every if not r["ministry"]]
+    fields = frozenset(_field(r["word"]) for r in every if r["ministry"])
     trades = frozenset(r["word"] for r in rows if r["company"] >= 0.3)
     given = {r["word"]: r["word"] for r in rows if r["company"] < 0.3}
     number = {r["word"]: r["n"] for r in rows}
-    # families of each given name: what stands beside it in a mention of two words
-    two = named.where("NOT company AND size(words) >= 2 AND size(words) <= 3")
-    known = sorted(given)
-    pairs = two.select("doc_id", F.array_sort(F.filter("words", lambda w: w.isin(known))).alias("g"), F.filter("words", lambda w: ~w.isin(known)).alias("f"))
-    pairs = pairs.where("size(f) = 1 AND size(g) BETWEEN 1 AND 2").select("doc_id", F.array_join("g", " ").alias("g"), F.col("f")[0].alias("f")).distinct()
-    beside = pairs.join(pairs.withColumnRenamed("g", "h"), ["doc_id", "f"]).where("g <> h").groupBy("g", "h").agg(F.count("*").alias("n"))
-    alone = {r["g"]: r["n"] for r in pairs.groupBy("g").agg(F.count("*").alias("n")).limit(200_000).collect()}
-    best: dict[str, list[tuple[int, str]]] = {}
-    for r in beside.where(F.col("n") >= SHORT_LEAST).limit(200_000).collect():
-        if alone[r["h"]] > 2.5 * alone[r["g"]]:
-            best.setdefault(r["g"], []).append((r["n"], r["h"]))
-    for g, options in best.items():
-        options.sort(key=lambda x: (-x[0], x[1]))
-        n, h = options[0]
-        second = options[1][0] if len(options) > 1 else 0
-        if " " not in g and n >= SHORT_SHARE * alone[g] and n >= 2 * second:
-            given[g] = h
+    for g, h in _short_forms(parsed, frozenset(given)).items():
+        given[g] = h
     # a common misspelling stands for the name it resembles
-    for g in list(given):
+    for g, close_words in _near(sorted(given)).items():
         if given[g] == g:
-            near = [x for x in given if number.get(x, 0) > 3 * number.get(g, 0) and len(x) > 3 and close(x, g) and x[0] == g[0]]
+            near = [x for x in close_words if number.get(x, 0) > 3 * number.get(g, 0) and len(x) > 3 and x[0] == g[0]]
             if near:
                 given[g] = max(near, key=lambda x: (number[x], x))
     for g in list(given):  # a misspelling of a short form
@@ -247,11 +262,40 @@ def lexicon(parsed: DataFrame) -> Lexicon:
             seen.add(given[g])
             given[g] = given[given[g]]
     # a trade may be written without some of its letters
+    ends: dict[tuple[str, str], list[str]] = {}
+    for t in trades:
+        ends.setdefault((t[0], t[-1]), []).append(t)
     whole = {
-        t: max((x for x in trades if len(x) >= len(t) + 3 and x[0] == t[0] and x[-1] == t[-1] and number[x] > 3 * number[t] and _within(t, x)), key=lambda x: (number[x], x), default=t)
+        t: max((x for x in ends[t[0], t[-1]] if len(x) >= len(t) + 3 and number[x] > 3 * number[t] and _within(t, x)), key=lambda x: (number[x], x), default=t)
         for t in trades
     }
-    return Lexicon(given, whole)
+    return Lexicon(given, whole, fields)
+
+
+def _short_forms(parsed: DataFrame, known: frozenset[str]) -> dict[str, str]:
+    """Given names that are short forms, and of what: they stand beside another one's families far more often than beside any third."""
+    shared = parsed.sparkSession.sparkContext.broadcast(known)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            out = []
+            for doc, words in zip(batch["doc_id"], batch["words"], strict=True):
+                g, f = sorted(w for w in words if w in known), [w for w in words if w not in known]
+                if len(f) == 1 and 1 <= len(g) <= 2:
+                    out.append((doc, " ".join(g), f[0]))
+            yield pd.DataFrame(out, columns=["doc_id", "g", "f"])
+
+    two = parsed.where("NOT ministry AND NOT company AND size(words) BETWEEN 2 AND 3").select("doc_id", "words")
+    pairs = cut(two.mapInPandas(split, "doc_id string, g string, f string").distinct())
+    # beside one family of a bulletin stand at most as many forms as there are qualifying words and pairs of them
+    beside = pairs.join(pairs.withColumnRenamed("g", "h"), ["doc_id", "f"]).where("g <> h AND NOT contains(g, ' ')").groupBy("g", "h").agg(F.count("*").alias("n"))
+    alone = pairs.groupBy("g").agg(F.count("*").alias("all"))
+    judged = beside.where(F.col("n") >= SHORT_LEAST).join(alone, "g").join(alone.select(F.col("g").alias("h"), F.col("all").alias("all_h")), "h").where("all_h > 2.5 * all")
+    order = Window.partitionBy("g").orderBy(F.desc("n"), "h")
+    best = judged.withColumn("second", F.lead("n", 1, 0).over(order)).withColumn("k", F.row_number().over(order))
+    best = best.where((F.col("k") == 1) & (F.col("n") >= SHORT_SHARE * F.col("all")) & (F.col("n") >= 2 * F.col("second"))).select("g", "h")
+    return {r["g"]: r["h"] for r in _bounded(best, MOST_WORDS, "short forms")}
 
 
 def _within(short: str, long: str) -> bool:
@@ -260,11 +304,16 @@ def _within(short: str, long: str) -> bool:
     return all(c in letters for c in short)
 
 
-PROFILE = "doc_id string, text string, n bigint, kind string, family string, given array<string>, short array<string>"
+def _field(word: str) -> str:
+    """A word of a ministry's field without what is written together with it."""
+    return re.sub(r"^(?:و?ا+ل|بال|وا?ل|ب|لل)(?=\w{3})", "", word)
+
+
+PROFILE = "doc_id string, text string, kind string, family string, given array<string>, short array<string>"
 
 
 def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
-    """Each mention with its kind, distinctive part and qualifiers."""
+    """Each mention with its kind, distinctive part (of a ministry: its field in one word) and qualifiers (of a ministry: the words of its field)."""
     shared = parsed.sparkSession.sparkContext.broadcast(known)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,10 +322,13 @@ def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                words = [str(w) for w in r.words]
-                if r.ministry:
-                    out.append((r.doc_id, r.text, r.n, "ministry", "", sorted({re.sub(r"^(?:و?ا+ل|بال|وا?ل|ب|لل)(?=\w{3})", "", w) for w in words}), list(r.short)))
+                words, short = [str(w) for w in r.words], [str(w) for w in r.short]
+                fields = [_field(w) for w in words]
+                if r.ministry or (r.waw and fields and all(f in known.fields for f in fields)):
+                    out.append((r.doc_id, r.text, "ministry", "".join([*fields[:1], *words[1:]]), sorted(set(fields)), sorted(set(short))))
                     continue
+                if r.waw:
+                    short.append("و")
                 given, trades, rest, unsure = [], [], [], []
                 for w in words:
                     if w not in seen:
@@ -287,7 +339,6 @@ def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
                         unsure.append((w, q[1]))
                 long = [w for w in rest if len(w) > 3]
                 rest = long or rest
-                short = list(r.short)
                 kind = "company" if r.company or trades else "person"
                 if kind == "company" and given and not rest:
                     rest, given = given, []
@@ -299,197 +350,243 @@ def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
                 if not rest and len(given) > 1 and kind == "person":
                     rest, given = given[-1:], given[:-1]
                 if not rest:
+                    out.append((r.doc_id, r.text, "other", " ".join(sorted(words + short)), [], []))
                     continue
-                out.append((r.doc_id, r.text, r.n, kind, bare(rest[0]), sorted(set(trades if kind == "company" else [p for g in given for p in g.split(" ")])), short))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n", "kind", "family", "given", "short"])
+                qualifiers = trades if kind == "company" else [p for g in given for p in g.split(" ")]
+                out.append((r.doc_id, r.text, kind, bare(rest[0]), sorted(set(qualifiers)), sorted(set(short))))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "kind", "family", "given", "short"])
 
     return parsed.mapInPandas(build, PROFILE)
 
 
-def blocks(own: DataFrame) -> DataFrame:
-    """The profiles with their block: the most frequent distinctive part of the bulletin at one edit, followed to its end."""
-    names = own.where("kind <> 'ministry'").groupBy("doc_id", "family").agg(F.sum("n").alias("n"))
-    # words share a word with one letter left out if they are at most one edit apart, swaps included; so do their sounds
-    heard = F.col("family")
-    for written, one in SOUNDS:
-        heard = F.replace(heard, F.lit(written), F.lit(one))
-    names = names.withColumn("heard", heard)
-    holes = lambda c: F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
-    parts = F.array_distinct(F.concat(holes(F.col("family")), F.transform(holes(F.col("heard")), lambda h: F.concat(F.lit("~"), h))))
-    keyed = names.where(F.length("family") > 3).select("doc_id", "family", "n", F.explode(parts).alias("part"))
-    above = keyed.select("doc_id", "part", F.col("family").alias("top"), F.col("n").alias("m"))
-    step = (
-        keyed.join(above, ["doc_id", "part"])
-        .where("top <> family AND (m > n OR (m = n AND top < family))")
-        .groupBy("doc_id", "family")
-        .agg(F.max_by("top", F.struct("m", F.expr("-length(top)"), "top")).alias("top"))
-    )
-    step = cut(names.select("doc_id", "family").join(step, ["doc_id", "family"], "left").select("doc_id", "family", F.coalesce("top", "family").alias("top")))
-    while True:  # a top has no top above it at the end; each round doubles the way, so there are few
-        jump = step.select("doc_id", F.col("family").alias("top"), F.col("top").alias("higher"))
-        step = cut(step.join(jump, ["doc_id", "top"]).select("doc_id", "family", "top", "higher"))
-        moved = not step.where("higher <> top").isEmpty()
-        step = step.select("doc_id", "family", F.col("higher").alias("top"))
-        if not moved:
-            break
-    joined = own.join(step, ["doc_id", "family"], "left")
-    return joined.select("*", F.when(F.col("kind") == "ministry", F.lit("ministry")).otherwise(F.coalesce("top", "family")).alias("block"))
+def _left_out(c: F.Column) -> F.Column:
+    """A word, and the word with each one of its letters left out."""
+    return F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
 
 
-class Profile:
-    """What is known of one entity."""
+def near_spellings(spellings: DataFrame) -> DataFrame:
+    """(sid, near): for each spelling (sid, home, word) the close ones of the same home, both ways.
 
-    def __init__(self, kind: str, family: str, given: frozenset[str], short: tuple[str, ...], members: list[int]):
-        self.kind, self.families, self.given = kind, {family}, [given] if given else []
-        self.short, self.members = [short] if short else [], members
+    Words at most one edit apart, swaps included, share a word with one letter left out; from nine letters on two may be left
+    out. So do words that sound alike, by their sounds. What shares one is compared letter by letter. Letters are few, so what
+    shares one key is bounded by the alphabet and the length of a word."""
+    heard = F.col("word")
+    for written, one in SOUNDS:
+        heard = F.replace(heard, F.lit(written), F.lit(one))
+    keyed = spellings.where(F.length("word") > 3).withColumn("heard", heard)
+    once = F.array_distinct(F.concat(_left_out(F.col("word")), _left_out(F.col("heard"))))
+    twice = F.when(F.length("word") >= 9, F.flatten(F.transform(once, _left_out))).otherwise(once)
+    keys = keyed.select("sid", F.explode(F.array_distinct(F.transform(twice, lambda x: F.xxhash64("home", x)))).alias("key"))
+    pairs = keys.join(keys.select("key", F.col("sid").alias("other")), "key").where("sid < other").select("sid", "other").distinct()
+    named = pairs.join(spellings.select("sid", F.col("word").alias("a")), "sid").join(spellings.select(F.col("sid").alias("other"), F.col("word").alias("b")), "other")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([close(x, y) or close(sound(x), sound(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    found = cut(named.where(alike("a", "b")).select("sid", "other"))
+    return found.select("sid", F.col("other").alias("near")).unionByName(found.select(F.col("other").alias("sid"), F.col("sid").alias("near")))
+
+
+def first_profiles(own: DataFrame) -> DataFrame:
+    """(pid, kind, spellings, near, given, short, members) of each distinct form (kind, family, given, short) of a bulletin.
+
+    spellings and near are numbers of (doc_id, kind, word); those of a ministry are the words of its field and the beginning and end of the
+    field in one word."""
+    joined = F.col("family")
+    words = F.when(F.col("kind") == "ministry", F.concat("given", F.array(F.concat(F.lit("^"), F.left(joined, F.lit(6))), F.concat(F.right(joined, F.lit(6)), F.lit("$"))))).otherwise(F.array(joined))
+    number = lambda w: F.xxhash64("doc_id", "kind", w)
+    forms = own.select("doc_id", "kind", "family", "given", "short", form_number().alias("pid")).distinct()
+    forms = cut(forms.select("pid", "doc_id", "kind", "family", words.alias("words"), F.array(F.array_join("given", " ")).alias("given"), F.array(F.array_join("short", " ")).alias("short")))
+    parts = forms.where("kind <> 'other'").select("pid", "doc_id", "kind", F.explode("words").alias("word"))
+    spelt = parts.select(number("word").alias("sid"), F.xxhash64("doc_id", "kind").alias("home"), "word").where("NOT (startswith(word, '^') OR endswith(word, '$'))").distinct()
+    near = parts.select("pid", number("word").alias("sid")).join(near_spellings(spelt), "sid").groupBy("pid").agg(F.collect_set("near").alias("near"))
+    none = F.array().cast("array<bigint>")
+    kept = lambda c: F.filter(F.col(c), lambda x: x != "")
+    return forms.join(near, "pid", "left").select(
+        "pid", "kind", F.transform("words", number).alias("spellings"), F.coalesce("near", none).alias("near"), kept("given").alias("given"), kept("short").alias("short"), F.when(F.col("kind") == "ministry", F.array("family")).otherwise(F.array().cast("array<string>")).alias("joined"),
+        F.array("pid").alias("members"),
+    )
+
+
+def form_number() -> F.Column:
+    """The number of a form, from columns doc_id, kind, family, given and short."""
+    return F.xxhash64("doc_id", "kind", "family", F.array_join("given", " "), F.array_join("short", " "))
 
-    def merge(self, other: Profile) -> None:
-        self.families |= other.families
-        self.given += [g for g in other.given if g not in self.given]
-        self.short += [s for s in other.short if s not in self.short]
-        self.members += other.members
 
-    def kin(self, other: Profile) -> bool:
-        return any(close(a, b) or close(sound(a), sound(b)) for a in self.families for b in other.families)
+@dataclass
+class Member:
+    """A profile in a block; own: it has the block's spelling itself, not one near it."""
+
+    pid: int
+    own: bool
+    given: list[frozenset[str]]
+    short: list[tuple[str, ...]]
+    joined: list[str]
 
 
 def _abbreviates(short: tuple[str, ...], given: frozenset[str]) -> bool:
-    """Whether shortened words fit a set of qualifiers: each begins one, or all are the initials."""
+    """Whether shortened words fit a set of qualifiers: each begins one."""
     return all(any(g.startswith(s) for g in given) for s in short)
 
 
-def _same_given(a: Profile, b: Profile) -> bool:
-    return any(x <= y or y <= x for x in a.given for y in b.given)
-
-
-def merge_and_rematch(records: list[Profile]) -> list[Profile]:
-    """Merges records until no more match. Each round takes the weakest kind of evidence that the round before left open."""
-    done = sorted(records, key=lambda p: min(p.members))
-    for kind in sorted({p.kind for p in done}):
-        own = [p for p in done if p.kind == kind]
-        while True:
-            merged = _strong(own) or _weak(own)
-            if not merged:
-                break
-        done = [p for p in done if p.kind != kind] + own
-    return done
-
-
-def _strong(own: list[Profile]) -> bool:
-    changed = False
-    for i in range(len(own) - 1, -1, -1):
-        for j in range(i):
-            a, b = own[j], own[i]
-            if a.given and b.given and _same_given(a, b) and a.kin(b):
-                a.merge(b)
-                del own[i]
-                changed = True
+def _agree(s: tuple[str, ...], t: tuple[str, ...]) -> bool:
+    """Whether each shortened word begins one of the other's, or the other way round."""
+    return all(any(x.startswith(y) or y.startswith(x) for y in t) for x in s)
+
+
+Link = tuple[int, int, str, int]
+
+
+def links_of_block(kind: str, members: list[Member]) -> list[Link]:
+    """(from, to, what, distance) of the profiles of a block of which at least one of two has its spelling.
+
+    what: 'same' (the same one, both ways), 'fits' (to is a full profile that from, without qualifiers, fits, by the same spelling), 'near' (so, by
+    a close spelling), 'part' (to is a ministry of which from is a part), 'known' (to is a full profile near from), 'short' (to has
+    initials and no qualifiers, and is near from), 'alike' (neither has qualifiers, and they agree). Of 'fits' and 'near', two
+    decide as much as more, so two are given of each."""
+    if kind == "ministry":
+        return _ministry_links(members)
+    out: list[Link] = []
+    hubs: dict[frozenset[str], int] = {}
+    for m in members:
+        if m.own:
+            for g in m.given:
+                hubs[g] = min(m.pid, hubs.get(g, m.pid))
+    full, rest = [m for m in members if m.given], [m for m in members if not m.given]
+    for m in full:
+        found = set()
+        for g in m.given:
+            if len(g) <= 4:
+                names_ = sorted(g)
+                parts = [frozenset(n for k, n in enumerate(names_) if bits >> k & 1) for bits in range(1, 1 << len(names_))]
+                found |= {hubs[x] for x in parts if x in hubs}
+            else:
+                found |= {h for x, h in hubs.items() if x <= g}
+        for h in found - {m.pid}:
+            out += [(m.pid, h, "same", 0), (h, m.pid, "same", 0)]
+    for p in rest:
+        left = {"fits": 2, "near": 2}
+        for q in full:
+            if not (p.own or q.own):
+                continue
+            if len(left) == 2 and left["fits"] == left["near"] == 2:
+                out.append((p.pid, q.pid, "known", 0))
+            what = "fits" if p.own and q.own else "near"
+            if left[what] and all(any(_abbreviates(s, g) for g in q.given) for s in p.short):
+                left[what] -= 1
+                out.append((p.pid, q.pid, what, 0))
+            if not any(left.values()):
                 break
-    return changed
+        shorts = 2
+        for q in rest:
+            if not (p.own or q.own):
+                continue
+            if q.short and shorts:
+                shorts -= 1
+                out.append((p.pid, q.pid, "short", 0))
+            if p.pid != q.pid and p.short and q.short and q.pid < p.pid and any(_agree(s, t) or _agree(t, s) for s in p.short for t in q.short):
+                out.append((p.pid, q.pid, "alike", 0))
+            elif not p.short and (q.short or q.pid < p.pid) and p.pid != q.pid:
+                out.append((p.pid, q.pid, "bare", 0))
+    return out
 
 
-def _weak(own: list[Profile]) -> bool:
-    """Abbreviations first, then initials, then bare names; each only where one full profile fits."""
-    full = [p for p in own if p.given]
-    rest = [p for p in own if not p.given]
-    rest.sort(key=lambda p: -max((len(x) for s in p.short for x in s), default=0))
-    for p in rest:
-        options = [q for q in full if q.kin(p) and all(any(_abbreviates(s, g) for g in q.given) for s in p.short)]
-        exact = [q for q in options if q.families & p.families]
-        options = exact if exact else options
-        if len(options) == 1:
-            options[0].merge(p)
-            own.remove(p)
-            return True
-    for i, p in enumerate(rest):  # nobody's full name is known: equal abbreviations, or one that begins another
-        for q in rest[:i]:
-            if p.kin(q) and not any(f.kin(p) for f in full):
-                fits = (p.short and q.short and any(all(any(x.startswith(y) or y.startswith(x) for y in t) for x in s) for s in p.short for t in q.short)) or (
-                    (not p.short or not q.short) and sum(o.kin(p) and bool(o.short) for o in rest) <= 1
-                )
-                if fits:
-                    q.merge(p)
-                    own.remove(p)
-                    return True
-    return False
-
-
-def _ministries(rows: list[tuple[frozenset[str], tuple[str, ...]]]) -> list[int]:
-    """Cluster numbers of ministries: the same field, or a part of one that fits no other."""
-    top: list[frozenset[str]] = []
-
-    def fits(a: frozenset[str], b: frozenset[str]) -> bool:
-        return all(any(close(x, y) for y in b) for x in a)
-
-    joined = ["".join(sorted(g)) for g, _ in rows]
-    out = [-1] * len(rows)
-    for k in sorted(range(len(rows)), key=lambda k: (-len(rows[k][0]), joined[k])):
-        g = rows[k][0]
-        if not g:
-            continue
-        options = [i for i, t in enumerate(top) if fits(g, t) or distance("".join(sorted(g)), "".join(sorted(t)), 3) <= 3]
-        equal = [i for i in options if len(top[i]) == len(g)]
-        if len(options) == 1 or equal:
-            out[k] = (equal or options)[0]
-        elif len(g) > 1 and options:
-            out[k] = min(options, key=lambda i: (distance(joined[k], "".join(sorted(top[i])), 30), i))
-        elif not options:
-            top.append(g)
-            out[k] = len(top) - 1
+def _fits_field(a: frozenset[str], short: list[tuple[str, ...]], b: frozenset[str]) -> bool:
+    """Whether the words and shortened words of a field are words of another."""
+    return all(any(close(x, y) for y in b) for x in a) and all(_abbreviates(s, b) for s in short)
+
+
+def _ministry_links(members: list[Member]) -> list[Link]:
+    out: list[Link] = []
+    for p in members:
+        for q in members:
+            if p.pid == q.pid or not (p.own or q.own):
+                continue
+            if p.pid > q.pid and any(len(g) == len(t) and _fits_field(g, [], t) for g in p.given for t in q.given if g):
+                out += [(p.pid, q.pid, "same", 0), (q.pid, p.pid, "same", 0)]
+            elif p.pid > q.pid and any(distance(a, b, min(3, len(a) // 4)) <= min(3, len(a) // 4) for a in p.joined for b in q.joined if a and b):
+                out += [(p.pid, q.pid, "same", 0), (q.pid, p.pid, "same", 0)]
+            else:
+                large, small = max(map(len, q.given), default=0), max(map(len, p.given), default=0)
+                if large > small and any(_fits_field(g, p.short, t) for g in p.given or [frozenset()] for t in q.given if len(t) > len(g)):
+                    far = min((distance(a, b, 30) for a in p.joined for b in q.joined), default=30)
+                    out.append((p.pid, q.pid, "part" if small > 1 else "fits", far))
     return out
 
 
-Record = tuple[str, str, tuple[str, ...], tuple[str, ...]]
-
+def links(profiles_: DataFrame) -> DataFrame:
+    """(pid, to, what, far): the links of all blocks. Blocks come one after the other in sorted partitions."""
 
-def place(block: str, records: list[Record]) -> list[str | None]:
-    """The cluster of each record (kind, family, given, short) of a block, or null."""
-    if block == "ministry" and records[0][0] == "ministry":
-        return [f"ministry {c}" if c >= 0 else None for c in _ministries([(frozenset(r[2]), r[3]) for r in records])]
-    if len(records) == 1:
-        return [f"{block} 0"]
-    seen: dict[tuple, list[int]] = {}
-    for k, r in enumerate(records):
-        seen.setdefault((r[0], r[1], frozenset(r[2]), tuple(sorted(r[3]))), []).append(k)
-    out: list[str | None] = [None] * len(records)
-    merged = merge_and_rematch([Profile(kind, family, given, short, list(members)) for (kind, family, given, short), members in seen.items()])
-    for c, p in enumerate(merged):
-        for m in p.members:
-            out[m] = f"{block} {c}"
-    return out
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kind, members = None, "", []
+        columns = ["pid", "to", "what", "far"]
+        for batch in batches:
+            out: list[Link] = []
+            for block, k, pid, own, given, short, joined in zip(*(batch[c] for c in ("block", "kind", "pid", "own", "given", "short", "joined")), strict=True):
+                if block != key:
+                    if len(members) > 1:
+                        out += links_of_block(kind, members)
+                    key, kind, members = block, k, []
+                members.append(Member(pid, own, [frozenset(g.split(" ")) for g in given], [tuple(s.split(" ")) for s in short], list(joined)))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(links_of_block(kind, members) if len(members) > 1 else [], columns=columns)
+
+    places = F.concat(
+        F.transform("spellings", lambda x: F.struct(x.alias("block"), F.lit(True).alias("own"))),
+        F.transform(F.array_except("near", "spellings"), lambda x: F.struct(x.alias("block"), F.lit(False).alias("own"))),
+    )
+    rows = profiles_.where("kind <> 'other'").select("kind", "pid", "given", "short", "joined", F.explode(places).alias("at")).select("at.block", "at.own", "kind", "pid", "given", "short", "joined")
+    return rows.repartition("block").sortWithinPartitions("block", "pid").mapInPandas(match, "pid bigint, to bigint, what string, far int")
 
 
-def resolve(own: DataFrame) -> DataFrame:
-    """(doc_id, text, cluster) of each mention that could be placed. Blocks come one after the other in sorted partitions."""
+def merged_into(found: DataFrame, alone: bool) -> DataFrame:
+    """(pid, to): what each profile merges into by the links found. alone: whether no full profile of any bulletin merges any more, so that
+    profiles without qualifiers may merge among themselves."""
+    of = lambda what: F.collect_set(F.when(F.col("what") == what, F.col("to")))
+    least = lambda what: F.min(F.when(F.col("what") == what, F.col("to")))
+    own = found.groupBy("pid").agg(
+        least("same").alias("same"), of("fits").alias("fits"), of("near").alias("near"), of("short").alias("short"), least("alike").alias("alike"), F.count_if(F.col("what") == "known").alias("known"),
+        F.min(F.when(F.col("what") == "part", F.struct("far", "to"))).alias("part"), least("bare").alias("bare"),
+    )
+    one = F.when(F.size("fits") == 1, F.col("fits")[0]).when((F.size("fits") == 0) & (F.size("near") == 1), F.col("near")[0])
+    full = F.coalesce(F.when(F.col("same") < F.col("pid"), F.col("same")), F.when(F.col("same").isNull(), F.coalesce(F.col("part")["to"], one)))
+    among = F.when(F.col("known") + F.size("fits") + F.size("near") == 0, F.coalesce("alike", F.when(F.size("short") <= 1, F.col("bare"))))
+    return own.select("pid", (among if alone else full).alias("to")).where("to IS NOT NULL")
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, texts, records = None, [], []
 
-        def flush() -> list[tuple[str, str, str]]:
-            if key is None:
-                return []
-            return [(key[0], t, c) for t, c in zip(texts, place(key[1], records), strict=True) if c is not None]
+def merge(profiles_: DataFrame, into: DataFrame) -> DataFrame:
+    """The profiles with those merged that go to one, spellings, qualifiers and initials united."""
+    further = into.join(into.select(F.col("pid").alias("to"), F.col("to").alias("end")), "to", "left").select("pid", F.coalesce("end", "to").alias("to"))
+    moved = profiles_.join(further, "pid", "left").withColumn("pid", F.coalesce("to", "pid"))
+    united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spellings", "near", "given", "short", "joined", "members")]
+    return moved.groupBy("pid").agg(F.first("kind").alias("kind"), *united).select(profiles_.columns)
 
-        for batch in batches:
-            out: list[tuple[str, str, str]] = []
-            columns = zip(*(batch[c] for c in ("doc_id", "block", "text", "kind", "family", "given", "short")), strict=True)
-            for doc, block, text, kind, family, given, short in columns:
-                if key != (doc, block):
-                    out += flush()
-                    key, texts, records = (doc, block), [], []
-                texts.append(text)
-                records.append((kind, family, tuple(given), tuple(short)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "cluster"])
-        yield pd.DataFrame(flush(), columns=["doc_id", "text", "cluster"])
 
-    sorted_ = own.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "text")
-    return sorted_.mapInPandas(match, "doc_id string, text string, cluster string")
+def resolve(own: DataFrame) -> DataFrame:
+    """(form, cluster) of each form: rounds of blocking, matching and merging until none merges."""
+    open_, alone = cut(first_profiles(own)), False
+    while True:
+        found = cut(links(open_))
+        into = cut(merged_into(found, alone))
+        if into.isEmpty():
+            if alone:
+                break
+            alone = True
+            into = cut(merged_into(found, alone))
+            if into.isEmpty():
+                break
+        alone = False
+        open_ = cut(merge(open_, into))
+    return open_.select(F.explode("members").alias("form"), F.col("pid").alias("cluster"))
 
 
 def clusters(rows: DataFrame) -> DataFrame:
     """(doc_id, text, cluster) of the distinct mentions of rows (doc_id, text)."""
     parsed = cut(mentions(rows))
-    return resolve(blocks(cut(profiles(parsed, lexicon(parsed)))))
+    own = cut(profiles(parsed, lexicon(parsed)))
+    placed = own.select("doc_id", "text", form_number().alias("form")).join(resolve(own), "form")
+    return placed.select("doc_id", "text", F.col("cluster").cast("string").alias("cluster"))
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
