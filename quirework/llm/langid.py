@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.llm import frames
-from quirework.sources.tables import spread, table
+from quirework.sources.tables import cut, spread, table
 
 LANGUAGES = ("fr", "ar", "en", "es")
 ORDER = 4
@@ -211,35 +211,35 @@ def trees_for(pages: DataFrame) -> Trees:
     return learn(assign(sample(pages)))
 
 
-SEGMENTS = "page_id bigint, para_no int, language string, confidence double, bits double, chars int, page_language string, page_confidence double, pure boolean"
+SEGMENTS = "page_id bigint, label string, para_no int, language string, confidence double, bits double, chars int, page_language string, page_confidence double, pure boolean"
 
 
-def segments(pages: DataFrame, trees: Trees, forms: frozenset[str]) -> DataFrame:
-    """(page_id, para_no, language, confidence, ...) of each paragraph that has text beside the page frame, and the
-    language of its page: that of most of its text. pure: all its paragraphs have one language."""
+def segments(pages: DataFrame, trees: Trees, forms: frozenset[str], local: DataFrame | None = None) -> DataFrame:
+    """(page_id, label, para_no, language, confidence, ...) of each paragraph that has text beside the page frame, and the
+    language of its page: that of most of its text. pure: all its paragraphs have one language. label: what the page's own label names."""
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast((trees, forms))
-    own = spread(pages.select("page_id", "text")).select("page_id", "text", F.transform(frames.lines_of(F.col("text")), frames.form).alias("forms")).where("text IS NOT NULL")
+    own = frames.with_forms(spread(pages.select("page_id", "doc_id", named("language").alias("label"), "text").where("text IS NOT NULL")), local).select("page_id", "label", "text", "forms", "local")
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, forms = shared.value
         for batch in batches:
             at, texts = [], []
-            for page, text, own_forms in zip(batch["page_id"], batch["text"], batch["forms"], strict=True):
-                line = 0
+            for page, label, text, own_forms, here in zip(batch["page_id"], batch["label"], batch["text"], batch["forms"], batch["local"], strict=True):
+                line, own_forms = 0, frames.marks(own_forms, forms, here)
                 for k, p in enumerate(text.split("\n\n")):
                     lines = p.split("\n")
-                    kept = [x for x, f in zip(lines, own_forms[line : line + len(lines)], strict=False) if f not in forms]
+                    kept = [x for x, f in zip(lines, own_forms[line : line + len(lines)], strict=False) if not f]
                     line += len(lines) + 1
                     body = QUOTE.sub(" ", " ".join(kept)).strip() or " ".join(kept).strip()
                     if WORD.search(body):
-                        at.append((page, k))
+                        at.append((page, label, k))
                         texts.append(body)
             if not texts:
                 continue
             bits = code_lengths(trees, texts)
             best, sure = decide(bits)
-            out = pd.DataFrame(at, columns=["page_id", "para_no"])
+            out = pd.DataFrame(at, columns=["page_id", "label", "para_no"])
             out["language"] = [LANGUAGES[b] for b in best]
             out["confidence"], out["bits"], out["chars"] = sure, bits.min(axis=1), [len(t) for t in texts]
             weight = out.groupby(["page_id", "language"], as_index=False)["chars"].sum().sort_values(["page_id", "chars", "language"], ascending=[True, False, True])
@@ -256,21 +256,19 @@ def segments(pages: DataFrame, trees: Trees, forms: frozenset[str]) -> DataFrame
 QUOTE = re.compile(r"«[^»]{0,200}»")
 
 
-def _detected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _detected(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "extracted_pages")
-    return pages, segments(pages, trees_for(pages), frames.bounded_forms(pages))
+    forms, local = frames.forms_of(pages)
+    return segments(pages, trees_for(pages), forms, local)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraphs in another language than their page's label names, and detector runs wrong about a page in one language."""
-    pages, found = _detected(spark, folder)
-    label = pages.select("page_id", named("language").alias("label"))
-    paragraphs = (
-        found.join(label, "page_id")
-        .where(~F.col("language").eqNullSafe(F.col("label")))
-        .select(F.lit("extracted_pages").alias("tbl"), F.col("page_id").alias("row_id"), "para_no", "language")
-    )
-    whole = found.where("pure").select("page_id", "page_language").distinct()
+    """Paragraphs in another language than their page's label names, and detector runs wrong about a page in one language.
+
+    The texts are measured once; what is found is written and read for both parts."""
+    found = cut(_detected(spark, folder).select("page_id", "label", "para_no", "language", "page_language", "pure"))
+    paragraphs = found.where(~F.col("language").eqNullSafe(F.col("label"))).select(F.lit("extracted_pages").alias("tbl"), F.col("page_id").alias("row_id"), "para_no", "language")
+    whole = found.where("pure").groupBy("page_id").agg(F.first("page_language").alias("page_language"))
     runs = (
         table(spark, folder, "language_results")
         .select("result_id", "page_id", named("language").alias("label"))
@@ -283,7 +281,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Language and confidence of each paragraph, beside those of its page."""
-    return _detected(spark, folder)[1].select(
+    return _detected(spark, folder).select(
         "page_id", "para_no", "language", F.round("confidence", 4).alias("confidence"), "page_language", F.round("page_confidence", 4).alias("page_confidence"), "pure"
     )
 

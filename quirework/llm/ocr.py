@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import frames
-from quirework.sources.tables import spread, table
+from quirework.sources.tables import cut, spread, table
 
 #: Least share of all words that a word, or a pair of words, of the model has; and its least number.
 LEAST_SHARE = 2e-6
@@ -312,29 +312,25 @@ def touched(words: list[Word], change: tuple[int, int, tuple[str, ...]]) -> set[
     return out
 
 
-PAGE = "tbl string, row_id bigint, text string, scanned boolean, doubt double"
+PAGE = "tbl string, row_id bigint, doc_id string, text string, scanned boolean, doubt double"
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
-    """(tbl, row_id, text, scanned, doubt) of both tables of pages."""
+    """(tbl, row_id, doc_id, text, scanned, doubt) of both tables of pages."""
     ocr = table(spark, folder, "ocr_pages").select(
         F.lit("ocr_pages").alias("tbl"),
         F.col("ocr_id").alias("row_id"),
+        "doc_id",
         "text",
         F.lit(True).alias("scanned"),
         F.when(F.col("mean_confidence").between(1, 100), 1 - F.col("mean_confidence") / 100).when(F.col("mean_confidence").between(0, 1), 1 - F.col("mean_confidence")).alias("doubt"),
     )
     extracted = table(spark, folder, "extracted_pages").select(
-        F.lit("extracted_pages").alias("tbl"), F.col("page_id").alias("row_id"), "text", (F.col("extraction_method") != "pdf").alias("scanned"), F.lit(None).cast("double").alias("doubt")
+        F.lit("extracted_pages").alias("tbl"), F.col("page_id").alias("row_id"), "doc_id", "text", (F.col("extraction_method") != "pdf").alias("scanned"), F.lit(None).cast("double").alias("doubt")
     )
     return spread(ocr.unionByName(extracted))
 
 
-def with_forms(pages: DataFrame) -> DataFrame:
-    """Pages with the form of each line."""
-    return pages.withColumn("forms", F.transform(frames.lines_of(F.col("text")), frames.form))
-
-
 def _counted(pages: DataFrame, forms: frozenset[str]) -> DataFrame:
     """(first, second, n): counts of words (second null) and pairs, summed within batches first."""
     shared = pages.sparkSession.sparkContext.broadcast(forms)
@@ -344,9 +340,8 @@ def _counted(pages: DataFrame, forms: frozenset[str]) -> DataFrame:
         for batch in batches:
             single: Counter[str] = Counter()
             double: Counter[tuple[str, str]] = Counter()
-            for text, own in zip(batch["text"], batch["forms"], strict=True):
-                lines = text.split("\n")
-                words, _, _ = running(lines, [f in forms for f in own])
+            for text, own, here in zip(batch["text"], batch["forms"], batch["local"], strict=True):
+                words, _, _ = running(text.split("\n"), frames.marks(own, forms, here))
                 # what was joined at a line end may be wrong until the counts are known
                 seen = [w.text if len(w.pieces) == 1 else "" for w in words]
                 single.update(seen)
@@ -356,14 +351,14 @@ def _counted(pages: DataFrame, forms: frozenset[str]) -> DataFrame:
                 [(w, None, n) for w, n in single.items()] + [(a, b, n) for (a, b), n in double.items() if b and a], columns=["first", "second", "n"]
             )
 
-    return pages.select("text", "forms").mapInPandas(count, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    return pages.select("text", "forms", "local").mapInPandas(count, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
-def model_for(pages: DataFrame, forms: frozenset[str], least: float = LEAST_SHARE) -> Model:
+def model_for(pages: DataFrame, forms: frozenset[str], local: DataFrame | None = None, least: float = LEAST_SHARE) -> Model:
     """The model of the unscanned pages (all of them, if none is said to be unscanned), with confusions from the scanned ones."""
-    own = with_forms(pages.where("text IS NOT NULL"))
+    own = frames.with_forms(pages.where("text IS NOT NULL"), local)
     clean = own.where("NOT coalesce(scanned, true)")
-    counts = _counted(clean if clean.limit(1).count() else own, forms).persist()
+    counts = cut(_counted(own if clean.isEmpty() else clean, forms).where(F.col("n") >= 1))
     total = counts.where("second IS NULL").agg(F.sum("n")).first()[0] or 0
     floor = max(LEAST_COUNT, least * total)
     bound = int(2 / least) + 1
@@ -374,7 +369,6 @@ def model_for(pages: DataFrame, forms: frozenset[str], least: float = LEAST_SHAR
             words[r["first"]] = r["n"]
         else:
             pairs[r["first"], r["second"]] = r["n"]
-    counts.unpersist()
     words.setdefault("#", 1)
     flat = {ab: math.log(1 / 400) for ab in CONFUSIONS}
     base = Model(words, pairs, max(total, 1), flat)
@@ -408,7 +402,7 @@ def learned_confusions(scanned: DataFrame, forms: frozenset[str], base: Model, l
 REPAIRED = "tbl string, row_id bigint, furniture array<int>, hyphen array<int>, misread array<int>, text string"
 
 
-def repaired(pages: DataFrame, forms: frozenset[str], model: Model) -> DataFrame:
+def repaired(pages: DataFrame, forms: frozenset[str], model: Model, local: DataFrame | None = None) -> DataFrame:
     """(tbl, row_id, lines by kind, text) of each page; text is its repaired paragraphs."""
     shared = pages.sparkSession.sparkContext.broadcast((forms, model))
 
@@ -417,9 +411,9 @@ def repaired(pages: DataFrame, forms: frozenset[str], model: Model) -> DataFrame
         decoder = Decoder(model)
         for batch in batches:
             out = []
-            for tbl, row, text, doubt, own in zip(batch["tbl"], batch["row_id"], batch["text"], batch["doubt"], batch["forms"], strict=True):
+            for tbl, row, text, doubt, own, here in zip(*(batch[c] for c in ("tbl", "row_id", "text", "doubt", "forms", "local")), strict=True):
                 lines = text.split("\n")
-                frame = [f in forms for f in own]
+                frame = frames.marks(own, forms, here)
                 words, broken, blanks = running(lines, frame, model.words)
                 prior = MISREAD if doubt is None or math.isnan(doubt) else min(0.04, max(0.01, doubt / 5))
                 changes = decoder.decode([w.text for w in words], prior)
@@ -427,7 +421,7 @@ def repaired(pages: DataFrame, forms: frozenset[str], model: Model) -> DataFrame
                 out.append((tbl, row, [k for k, f in enumerate(frame) if f], broken, misread, paragraphs(lines, frame, words, broken, changes)))
             yield pd.DataFrame(out, columns=["tbl", "row_id", "furniture", "hyphen", "misread", "text"])
 
-    return with_forms(pages.where("text IS NOT NULL")).select("tbl", "row_id", "text", "doubt", "forms").mapInPandas(repair, REPAIRED)
+    return frames.with_forms(pages.where("text IS NOT NULL"), local).select("tbl", "row_id", "text", "doubt", "forms", "local").mapInPandas(repair, REPAIRED)
 
 
 def paragraphs(lines: list[str], frame: list[bool], words: list[Word], broken: list[int], changes: list[tuple[int, int, tuple[str, ...]]]) -> str:
@@ -465,8 +459,8 @@ def paragraphs(lines: list[str], frame: list[bool], words: list[Word], broken: l
 
 def _repaired(spark: SparkSession, folder: str) -> DataFrame:
     pages = pages_of(spark, folder)
-    forms = frames.bounded_forms(pages)
-    return repaired(pages, forms, model_for(pages, forms))
+    forms, local = frames.forms_of(pages)
+    return repaired(pages, forms, model_for(pages, forms, local), local)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

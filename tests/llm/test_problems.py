@@ -191,16 +191,16 @@ def _pages(spark):
         k = rng.randrange(len(words))
         words = words[k:] + words[:k]
         lines = [" ".join(words[j : j + 4]) for j in range(0, len(words), 4)]
-        rows.append(("p", i, "\n".join([f"BULLETIN OFFICIEL N° {1000 + i}", *lines, *lines[:3], str(i)]), False, None))
+        rows.append(("p", i, f"b{i % 9}", "\n".join([f"BULLETIN OFFICIEL N° {1000 + i}", *lines, *lines[:3], str(i)]), False, None))
     scan = "BULLETIN OFFICIEL N° 77\nLa sous-commission examine le registrc chaque\nannée. Le procès-\nverbal est conservé par le servi-\nce central. L'aut0rité compétente se pro nonce\nsur le dossier.\nLe procès-verbal est con~servé par le service\n12"
-    rows += [("p", 900, scan, True, 0.2), ("p", 901, "", True, None), ("p", 902, None, True, None), ("p", 903, scan, True, float("nan"))]
+    rows += [("p", 900, "b1", scan, True, 0.2), ("p", 901, "b1", "", True, None), ("p", 902, None, None, True, None), ("p", 903, None, scan, True, float("nan"))]
     return frame(spark, rows, ocr.PAGE)
 
 
 def test_scanned_pages(spark):
     pages = _pages(spark)
-    forms = frames.bounded_forms(pages)
-    out = {r["row_id"]: r for r in ocr.repaired(pages, forms, ocr.model_for(pages, forms)).collect()}
+    forms, local = frames.forms_of(pages)
+    out = {r["row_id"]: r for r in ocr.repaired(pages, forms, ocr.model_for(pages, forms, local), local).collect()}
     for k in (900, 903):
         assert out[k]["furniture"] == [0, 7] and out[k]["hyphen"] == [3] and out[k]["misread"] == [1, 4, 6]
     assert out[900]["text"].startswith("La sous-commission examine le registre chaque année. Le procès-verbal est conservé par le service central. L'autorité compétente se prononce")
@@ -210,6 +210,31 @@ def test_scanned_pages(spark):
     assert ocr.repaired(pages.where("row_id = 900"), frozenset(), nothing).count() == 1
 
 
+def test_running_titles_of_one_bulletin(spark):
+    rng, rows, truth = random.Random(11), [], {}
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(300)]
+    for b in range(1500):
+        title = " ".join(rng.choice(words) for _ in range(3))
+        for p in range(6):
+            body = [" ".join(rng.choice(words) for _ in range(4)) for _ in range(12)]
+            rows.append((f"b{b}", b * 10 + p, "\n".join([title, *body, f"page {p}"])))
+            truth[b * 10 + p] = [True, *[False] * 12, True]
+    pages = frame(spark, rows, "doc_id string, page_id bigint, text string")
+    assert 6 >= frames.LEAST_COUNT and 6 < frames.LEAST_SHARE * 1e5  # on few enough pages to be rare in a large corpus
+    frames_share, frames.LEAST_SHARE = frames.LEAST_SHARE, 1e-2
+    try:
+        forms, local = frames.forms_of(pages)
+    finally:
+        frames.LEAST_SHARE = frames_share
+    assert forms == {frames_form(spark, "page 1")} and local.count() == 1500
+    marked = frames.with_forms(pages, local).where("page_id < 3000").select("page_id", "forms", "local").collect()
+    assert all(frames.marks(r["forms"], forms, r["local"]) == truth[r["page_id"]] for r in marked)
+
+
+def frames_form(spark, line):
+    return frame(spark, [(line,)], "x string").select(frames.form(F.col("x"))).first()[0]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -272,7 +297,7 @@ def test_languages(spark):
         parts = [TEXTS[lang]] * 2 + ([TEXTS["fr"]] if i % 7 == 0 else [])
         rows.append((i, "\n\n".join(parts), label, lang))
     rows += [(900, None, "fr", None), (901, "", None, None), (902, "123\n\n45", None, None)]
-    pages = frame(spark, rows, "page_id bigint, text string, language string, confidence string")
+    pages = frame(spark, rows, "page_id bigint, text string, language string, confidence string").withColumn("doc_id", F.lit("d"))
     out = langid.segments(pages.drop("confidence"), langid.trees_for(pages), frozenset()).collect()
     truth = {r[0]: r[3] for r in rows}
     assert all(r["language"] == (truth[r["page_id"]] if r["para_no"] < 2 else "fr") and 0.5 < r["confidence"] <= 1 for r in out)
