@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.confusables import one_form
+from quirework.llm.confusables import needs_form, one_form
 from quirework.llm.subjects import ARABIC_PREFIX
 from quirework.sources.tables import cut, spread, table
 
@@ -65,7 +65,7 @@ def sentences(text: str | None) -> list[str]:
 def tokens(sentence: str) -> list[str]:
     """Distinct words and numbers, in one form."""
     found: dict[str, None] = {}
-    for t in TOKEN.findall(one_form(sentence)):
+    for t in TOKEN.findall(one_form(sentence) if needs_form(sentence) else sentence):
         if t[0].isdigit():
             t = t.translate(DIGITS)
             if "/" in t or "-" in t or re.fullmatch(r"\d+(\.\d+)+", t) and not re.fullmatch(r"\d{1,3}(\.\d{3})+", t):
@@ -80,7 +80,7 @@ def tokens(sentence: str) -> list[str]:
 
 
 def is_arabic(text: str) -> bool:
-    return 2 * len(ARABIC.findall(text)) > sum(c.isalpha() for c in text)
+    return 2 * len(ARABIC.findall(text)) > sum(map(str.isalpha, text))
 
 
 _GRID = np.linspace(0, 8, 801)
@@ -108,99 +108,185 @@ def _weight(word: str, known: dict[str, float]) -> float:
     return known.get(word, 1.0)
 
 
+#: Cells (left by right sentences) from which numbers are kept in single precision, and from which paths are found row by row in arrays.
+LARGE = 250_000
+WIDE = 2_500
+#: Cells (words by tokens) looked at in one step.
+STEP = 4_000_000
+
+
+def _places(sides: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """The distinct words of some sentences by number; the number of each token, a mark (the number after the last word) at the end of
+    each sentence; where each sentence begins."""
+    numbers: dict[str, int] = {}
+    flat = []
+    for own in sides:
+        flat += [numbers.setdefault(w, len(numbers)) for w in own]
+        flat.append(-1)
+    tokens_ = np.array(flat, dtype=np.int64)
+    tokens_[tokens_ < 0] = len(numbers)
+    return numbers, tokens_, np.cumsum([0, *(len(own) + 1 for own in sides[:-1])])
+
+
+def _incidence(sides: list[list[str]], numbers: dict[str, int], weight: dict[str, float], kind: type) -> np.ndarray:
+    """Weights of the words of each sentence."""
+    out = np.zeros((len(sides), len(numbers) + 1), kind)
+    for row, own in zip(out, sides, strict=True):
+        for w in own:
+            row[numbers[w]] = weight[w]
+    return out
+
+
+def _best(scores: np.ndarray, tokens_: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word (rows of scores) its best match in each sentence of the other side."""
+    out = np.empty((len(scores), len(starts)), scores.dtype)
+    ends = np.append(starts[1:], len(tokens_))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP // max(len(scores), 1), "right")))
+        part = scores[:, tokens_[starts[first] : ends[last - 1]]]
+        out[:, first:last] = np.maximum.reduceat(part, starts[first:last] - starts[first], axis=1)
+        first = last
+    return out
+
+
+def _marks(sides: list[list[str]], numbers: dict[str, int]) -> np.ndarray:
+    """Which of some words each sentence has."""
+    out = np.zeros((len(sides), len(numbers)), np.float32)
+    for row, own in zip(out, sides, strict=True):
+        row[[numbers[w] for w in own if w in numbers]] = 1
+    return out
+
+
+#: What a path may do: left and right sentences of a bead.
+STEPS = ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2))
+
+
 class Pairing:
-    """One document's sentences, with the evidence for each bead in matrices by left and right sentence."""
+    """One document's sentences, with the evidence for each bead in matrices by left and right sentence.
+
+    Words meet in a matrix of distinct words, so a document of n by m sentences takes memory for n by m numbers, not for each word."""
 
     def __init__(self, left: list[str], right: list[str], ratio: float, words: Words | None):
         self.n, self.m = n, m = len(left), len(right)
         size_l, size_r = np.array([len(s) for s in left], float), np.array([len(s) for s in right], float)
+        kind = np.float32 if n * m > LARGE else np.float64
         lengths = {
-            (1, 1): length_cost(size_l, size_r, ratio),
-            (2, 1): length_cost(size_l[:-1] + size_l[1:], size_r, ratio),
-            (1, 2): length_cost(size_l, size_r[:-1] + size_r[1:], ratio),
+            (1, 1): lambda: length_cost(size_l, size_r, ratio).astype(kind),
+            (2, 1): lambda: length_cost(size_l[:-1] + size_l[1:], size_r, ratio).astype(kind),
+            (1, 2): lambda: length_cost(size_l, size_r[:-1] + size_r[1:], ratio).astype(kind),
         }
         if words is None:
-            self.cost = {k: PRIORS[k] + v for k, v in lengths.items()}
+            self.cost = {k: PRIORS[k] + v() for k, v in lengths.items()}
             return
         left_words, right_words = [tokens(s) for s in left], [tokens(s) for s in right]
-        wide_l, wide_r = max(1, max(map(len, left_words), default=1)), max(1, max(map(len, right_words), default=1))
-        weight_l, weight_r = np.zeros((n, wide_l)), np.zeros((m, wide_r))
-        where: dict[str, list[tuple[int, int]]] = {}
-        for j, own in enumerate(right_words):
-            for q, w in enumerate(own):
-                where.setdefault(w, []).append((j, q))
-                weight_r[j, q] = _weight(w, words.right)
-        # ahead[i, j, k]: the best match in right sentence j of word k of left sentence i; behind: the other way
-        ahead, behind = np.zeros((n, m, wide_l)), np.zeros((n, m, wide_r))
-        for i, own in enumerate(left_words):
-            for k, w in enumerate(own):
-                weight_l[i, k] = _weight(w, words.left)
-                known = words.scores.get(w) or {}
-                found = [(x, s) for x, s in known.items() if x in where] if len(known) < len(where) else [(x, known[x]) for x in where if x in known]
-                if w in where and w[0].isdigit():
-                    found.append((w, 1.0))
-                for x, s in found:
-                    for j, q in where[x]:
-                        if s > ahead[i, j, k]:
-                            ahead[i, j, k] = s
-                        if s > behind[i, j, q]:
-                            behind[i, j, q] = s
-        total_l, total_r = np.maximum(weight_l.sum(1), 1e-9)[:, None], np.maximum(weight_r.sum(1), 1e-9)[None, :]
-        sum_l = np.einsum("ijk,ik->ij", ahead, weight_l)
-        sum_r = np.einsum("ijq,jq->ij", behind, weight_r)
-        both_l = np.einsum("ijk,ik->ij", np.maximum(ahead[:, :-1], ahead[:, 1:]), weight_l) / total_l
-        both_r = np.einsum("ijq,jq->ij", np.maximum(behind[:-1], behind[1:]), weight_r) / total_r
+        number_l, token_l, start_l = _places(left_words)
+        number_r, token_r, start_r = _places(right_words)
+        weight_l, weight_r = {w: _weight(w, words.left) for w in number_l}, {w: _weight(w, words.right) for w in number_r}
+        # words without any match in the document only weigh
+        matched: list[tuple[int, int, float]] = []
+        for w, k in number_l.items():
+            known = words.scores.get(w)
+            if known:
+                matched += [(k, number_r[x], v) for x, v in known.items() if x in number_r] if len(known) < len(number_r) else [(k, number_r[x], known[x]) for x in number_r if x in known]
+            if w in number_r and w[0].isdigit():
+                matched.append((k, number_r[w], 1.0))
+        rows, columns = sorted({k for k, _, _ in matched}), sorted({q for _, q, _ in matched})
+        at_row, at_column = np.full(len(number_l) + 1, len(rows)), np.full(len(number_r) + 1, len(columns))
+        at_row[rows], at_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+        scores = np.zeros((len(rows) + 1, len(columns) + 1), kind)
+        for k, q, v in matched:
+            if v > scores[at_row[k], at_column[q]]:
+                scores[at_row[k], at_column[q]] = v
+        own_l, own_r = _incidence(left_words, number_l, weight_l, kind), _incidence(right_words, number_r, weight_r, kind)
+        total_l, total_r = np.maximum(own_l.sum(1), 1e-9)[:, None], np.maximum(own_r.sum(1), 1e-9)[None, :]
+        own_l, own_r = np.hstack([own_l[:, rows], np.zeros((n, 1), kind)]), np.hstack([own_r[:, columns], np.zeros((m, 1), kind)])
+        ahead, behind = _best(scores, at_column[token_r], start_r), _best(scores.T, at_row[token_l], start_l).T
+        part_l, part_r = own_l @ ahead, behind @ own_r.T
+        part_l /= total_l
+        part_r /= total_r
+        both_l = own_l @ np.maximum(ahead[:, :-1], ahead[:, 1:]) / total_l
+        both_r = np.maximum(behind[:-1], behind[1:]) @ own_r.T / total_r
+        two_l, two_r = total_l[:-1] + total_l[1:], total_r[:, :-1] + total_r[:, 1:]
         self.similar = {
-            (1, 1): 0.5 * (sum_l / total_l + sum_r / total_r),
-            (2, 1): 0.5 * ((sum_l[:-1] + sum_l[1:]) / (total_l[:-1] + total_l[1:]) + both_r),
-            (1, 2): 0.5 * (both_l + (sum_r[:, :-1] + sum_r[:, 1:]) / (total_r[:, :-1] + total_r[:, 1:])),
+            (1, 1): 0.5 * (part_l + part_r),
+            (2, 1): 0.5 * ((part_l[:-1] * total_l[:-1] + part_l[1:] * total_l[1:]) / two_l + both_r),
+            (1, 2): 0.5 * (both_l + (part_r[:, :-1] * total_r[:, :-1] + part_r[:, 1:] * total_r[:, 1:]) / two_r),
         }
-        # numbers survive translation: sentences that both have some, and none in common, are hardly a pair
-        own_l = [{w for w in own if w[0].isdigit() and _weight(w, {}) == NUMBER_WEIGHT} for own in left_words]
-        own_r = [{w for w in own if w[0].isdigit() and _weight(w, {}) == NUMBER_WEIGHT} for own in right_words]
-        has_l, has_r = np.array([bool(x) for x in own_l])[:, None], np.array([bool(x) for x in own_r])[None, :]
-        shared = np.array([[not a.isdisjoint(b) for b in own_r] for a in own_l]).reshape(n, m)
-        self.similar[1, 1] -= NUMBERS_DIFFER * (has_l & has_r & ~shared)
-        self.similar[2, 1] -= NUMBERS_DIFFER * ((has_l[:-1] | has_l[1:]) & has_r & ~(shared[:-1] | shared[1:]))
-        self.similar[1, 2] -= NUMBERS_DIFFER * (has_l & (has_r[:, :-1] | has_r[:, 1:]) & ~(shared[:, :-1] | shared[:, 1:]))
         # a sentence that adds nothing to a merge or split doesn't belong to it
-        self.idle = {
-            (1, 1): np.zeros((n, m)),
-            (2, 1): np.maximum(0, EVEN - np.minimum(sum_l[:-1] / total_l[:-1], sum_l[1:] / total_l[1:])),
-            (1, 2): np.maximum(0, EVEN - np.minimum(sum_r[:, :-1] / total_r[:, :-1], sum_r[:, 1:] / total_r[:, 1:])),
-        }
-        self.cost = {k: PRIORS[k] + 0.3 * np.minimum(v, 8.0) + WORD_WEIGHT * (EVEN - self.similar[k] + self.idle[k]) for k, v in lengths.items()}
+        self.idle = {(2, 1): np.maximum(0, EVEN - np.minimum(part_l[:-1], part_l[1:])), (1, 2): np.maximum(0, EVEN - np.minimum(part_r[:, :-1], part_r[:, 1:]))}
+        # numbers survive translation: sentences that both have some, and none in common, are hardly a pair
+        heavy = {w: k for k, w in enumerate(w for w in number_l.keys() | number_r.keys() if w[0].isdigit() and _weight(w, {}) == NUMBER_WEIGHT)}
+        if heavy:
+            mark_l, mark_r = _marks(left_words, heavy), _marks(right_words, heavy)
+            has_l, has_r, shared = mark_l.any(1)[:, None], mark_r.any(1)[None, :], mark_l @ mark_r.T > 0
+            self.similar[1, 1] -= NUMBERS_DIFFER * (has_l & has_r & ~shared)
+            self.similar[2, 1] -= NUMBERS_DIFFER * ((has_l[:-1] | has_l[1:]) & has_r & ~(shared[:-1] | shared[1:]))
+            self.similar[1, 2] -= NUMBERS_DIFFER * (has_l & (has_r[:, :-1] | has_r[:, 1:]) & ~(shared[:, :-1] | shared[:, 1:]))
+        self.cost = {}
+        for k, v in lengths.items():
+            self.cost[k] = 0.3 * np.minimum(v(), 8.0) - WORD_WEIGHT * self.similar[k]
+            self.cost[k] += PRIORS[k] + WORD_WEIGHT * EVEN
+            if k in self.idle:
+                self.cost[k] += WORD_WEIGHT * self.idle[k]
 
     def path(self) -> list[tuple[int, int, int, int]]:
         """The beads (i, j, left sentences, right sentences) of the cheapest path."""
+        steps = self._steps_by_rows() if self.n * self.m > WIDE else self._steps()
+        i, j, beads = self.n, self.m, []
+        while i or j:
+            a, b = STEPS[steps[i][j]]
+            i, j = i - a, j - b
+            beads.append((i, j, a, b))
+        return beads[::-1]
+
+    def _steps(self) -> list[list[int]]:
+        """The last step (a number in STEPS) of the cheapest path to each cell."""
         n, m = self.n, self.m
         one, two, twin = (self.cost[k].tolist() for k in ((1, 1), (2, 1), (1, 2)))
         skip = PRIORS[1, 0]
         best = [[math.inf] * (m + 1) for _ in range(n + 1)]
-        back: list[list[tuple[int, int]]] = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+        back = [[0] * (m + 1) for _ in range(n + 1)]
         best[0][0] = 0.0
         for i in range(n + 1):
             for j in range(m + 1):
                 if not i and not j:
                     continue
-                c, step = math.inf, (0, 0)
+                c, step = math.inf, 0
                 if i and (x := best[i - 1][j] + skip) < c:
-                    c, step = x, (1, 0)
+                    c, step = x, 0
                 if j and (x := best[i][j - 1] + skip) < c:
-                    c, step = x, (0, 1)
+                    c, step = x, 1
                 if i and j and (x := best[i - 1][j - 1] + one[i - 1][j - 1]) < c:
-                    c, step = x, (1, 1)
+                    c, step = x, 2
                 if i > 1 and j and (x := best[i - 2][j - 1] + two[i - 2][j - 1]) < c:
-                    c, step = x, (2, 1)
+                    c, step = x, 3
                 if i and j > 1 and (x := best[i - 1][j - 2] + twin[i - 1][j - 2]) < c:
-                    c, step = x, (1, 2)
+                    c, step = x, 4
                 best[i][j], back[i][j] = c, step
-        i, j, beads = n, m, []
-        while i or j:
-            a, b = back[i][j]
-            i, j = i - a, j - b
-            beads.append((i, j, a, b))
-        return beads[::-1]
+        return back
+
+    def _steps_by_rows(self) -> np.ndarray:
+        """The same, a row at a time: what comes from the rows above first, then omissions along the row by a running minimum."""
+        n, m = self.n, self.m
+        skip = PRIORS[1, 0]
+        along = skip * np.arange(m + 1)
+        back = np.ones((n + 1, m + 1), np.int8)
+        above2, above = np.full(m + 1, np.inf), along.copy()
+        for i in range(1, n + 1):
+            options = np.full((5, m + 1), np.inf)
+            options[0] = above + skip
+            options[2, 1:] = above[:-1] + self.cost[1, 1][i - 1]
+            if i > 1:
+                options[3, 1:] = above2[:-1] + self.cost[2, 1][i - 2]
+            if m > 1:
+                options[4, 2:] = above[:-2] + self.cost[1, 2][i - 1]
+            step = options.argmin(0)
+            best = options[step, np.arange(m + 1)]
+            row = np.minimum.accumulate(best - along) + along
+            back[i] = np.where(row < best - 1e-9, 1, step)
+            above2, above = above, np.minimum(row, best)
+        return back
 
     def pairs(self) -> list[tuple[int, int]]:
         """Pairs of the path whose words don't speak against them, then pairs of what stands elsewhere."""
@@ -211,16 +297,13 @@ class Pairing:
                 left -= set(range(i, i + a))
                 right -= set(range(j, j + b))
         moved = []
-        for i in left:
-            for j in right:
-                moved.append((self.similar[1, 1][i, j], i, j, 1, 1))
-                if i + 1 in left:
-                    moved.append((self.similar[2, 1][i, j] - self.idle[2, 1][i, j], i, j, 2, 1))
-                if j + 1 in right:
-                    moved.append((self.similar[1, 2][i, j] - self.idle[1, 2][i, j], i, j, 1, 2))
-        for s, i, j, a, b in sorted(moved, key=lambda x: (-x[0], x[1], x[2])):
-            if s < APART:
-                break
+        rows, columns = np.zeros(self.n + 1, bool), np.zeros(self.m + 1, bool)
+        rows[list(left)], columns[list(right)] = True, True
+        for (a, b), similar in self.similar.items():
+            free = (rows[: similar.shape[0]] & rows[a - 1 : similar.shape[0] + a - 1])[:, None] & (columns[: similar.shape[1]] & columns[b - 1 : similar.shape[1] + b - 1])[None, :]
+            worth = similar - self.idle[a, b] if (a, b) in self.idle else similar
+            moved += [(float(worth[i, j]), i, j, a, b) for i, j in np.argwhere(free & (worth >= APART)).tolist()]
+        for _, i, j, a, b in sorted(moved, key=lambda x: (-x[0], x[1], x[2])):
             own_l, own_r = set(range(i, i + a)), set(range(j, j + b))
             if own_l <= left and own_r <= right:
                 out += [(x, y) for x in own_l for y in own_r]
