@@ -2,10 +2,11 @@
 
 The histogram of sizes has at most as many rows as the capacity, whatever the number of texts. Dynamic programming over
 it chooses length buckets that minimise padding (the difference of each size to the upper end of its bucket). Batches
-form inside each bucket by token budget: as many of its items as the capacity takes. Where that leaves room (one item of
-over half the capacity would leave up to half of it), the batch is topped up from the largest bucket that fits, and so on;
-this is counted out on the histogram, so that a plan is a short list of patterns with multiplicities. Items then find
-their container by their rank in the bucket; a bucket is ranked in slices, so no task gets a whole bucket.
+form inside each bucket by token budget: as many of its items as the capacity takes. With top_up, the room that a batch leaves
+(one item of over half the capacity would leave up to half of it) goes to the largest smaller bucket that fits, and so on;
+this is counted out on the histogram, so that a plan is a short list of patterns with multiplicities. Without top_up, batches
+stay strictly inside their buckets. Items then find their container by their rank in the bucket; a bucket is ranked in slices, so
+no task gets a whole bucket.
 
 A text over the capacity is cut into full containers and one rest. Null and empty texts take no room and get no container
 (null). Rows with equal sizes are interchangeable; their order is a hash of their key.
@@ -57,8 +58,8 @@ def bucket_ends(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> n
     return sizes[sorted(set(ends))]
 
 
-def fill_plan(ends: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """Patterns (multiplicity, items by bucket): batches of the largest bucket left, topped up by the largest that fit."""
+def fill_plan(ends: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, top_up: bool = True) -> list[tuple[int, dict[int, int]]]:
+    """Patterns (multiplicity, items by bucket): batches inside the largest bucket left, topped up by the largest that fit."""
     left = counts.astype(int).tolist()
     plan: list[tuple[int, dict[int, int]]] = []
     for k in range(len(ends) - 1, -1, -1):
@@ -69,7 +70,7 @@ def fill_plan(ends: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) ->
                 if fits:
                     pattern[j] = fits
                     room -= fits * int(ends[j])
-                j = min(j - 1, int(np.searchsorted(ends, room, "right")) - 1)
+                j = min(j - 1, int(np.searchsorted(ends, room, "right")) - 1) if top_up else -1
             times = min(left[b] // c for b, c in pattern.items())
             for b, c in pattern.items():
                 left[b] -= c * times
@@ -86,7 +87,7 @@ def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TO
     return sized.select("doc_id", F.posexplode(pieces).alias("piece_no", "tokens"))
 
 
-def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY, buckets: int = BUCKETS, top_up: bool = True) -> DataFrame:
     """(*key, tokens, bucket, container_id) of each item; bucket is the upper end of its bucket."""
     items = cut(items.select(*key, "tokens"))
     histogram = items.where("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).orderBy("tokens").limit(capacity + 1).collect()
@@ -95,7 +96,7 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY, buckets: in
         raise ValueError("an item is larger than a container")
     ends = bucket_ends(sizes, counts, buckets) if len(sizes) else np.array([capacity])
     of = np.searchsorted(ends, sizes)
-    plan = fill_plan(ends, np.bincount(of, weights=counts, minlength=len(ends)).astype(int), capacity) if len(sizes) else []
+    plan = fill_plan(ends, np.bincount(of, weights=counts, minlength=len(ends)).astype(int), capacity, top_up) if len(sizes) else []
     # for each bucket: the first rank, first container and items a container of each pattern
     starts: dict[int, list[tuple[int, int, int]]] = {}
     used, container = dict.fromkeys(range(len(ends)), 0), 0
@@ -137,11 +138,20 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(items_of(table(spark, folder, "documents")), ["doc_id", "piece_no"])
 
 
+def _fill(placed: DataFrame) -> DataFrame:
+    per = placed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+    return per.groupBy("items").agg(F.count("*").alias("containers"), F.round(F.avg(F.col("tokens") / CAPACITY), 6).alias("used"), F.max("tokens").alias("fullest"))
+
+
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers by how many items they hold, with the share of room used."""
-    per = p8_containers(spark, folder).where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    return per.groupBy("items").agg(F.count("*").alias("containers"), F.round(F.avg(F.col("tokens") / CAPACITY), 6).alias("used"), F.max("tokens").alias("fullest"))
+    return _fill(p8_containers(spark, folder))
+
+
+def p8_inside(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for batches strictly inside their buckets."""
+    return _fill(pack(items_of(table(spark, folder, "documents")), ["doc_id", "piece_no"], top_up=False))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_inside": p8_inside}
 SQL: dict[str, str] = {}
