@@ -24,7 +24,7 @@ from quirework.sources.tables import cut, spread, table
 
 SEED = 9
 #: Share of all quotas that small sources may lack at most, beside what sources without documents lack, which bounds the size of a mix.
-SHORTFALL = 0.01
+SHORTFALL = 0.03
 #: Slices in which the documents of one text are ranked.
 SLICES = 64
 #: Parts of a pass by which places are weighted with tokens.
