@@ -213,7 +213,8 @@ def _pdf_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def pdf_words(text: Column) -> Column:
     """French words put right that come broken out of PDF files. Only texts with such a word leave the JVM."""
-    hit = text.rlike(rf"(?iuU)\b(?:{'|'.join([*fixed.WORD_FIXES, *fixed.CASED_FIXES, *fixed.ACCENT_FIXES])})\b")
+    words = "|".join([*fixed.WORD_FIXES, *fixed.CASED_FIXES, *fixed.ACCENT_FIXES])
+    hit = text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])")
     return F.when(hit, _pdf_words(F.when(hit, text))).otherwise(text)
 
 

@@ -101,15 +101,32 @@ def keyword_hits(articles: DataFrame, words: str, n: int = 5) -> DataFrame:
     return articles.where(F.contains(F.lower("text"), F.lit(words.lower()))).orderBy("article_idx").limit(n)
 
 
-def rule_answer(articles: DataFrame, entities: DataFrame, question: str) -> DataFrame:
-    """(kind, key, value): counts of entities, a single article, a list, or a keyword search, by words of the question."""
+def rule_answer(articles: DataFrame, entities: DataFrame, question: str, instruments: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """(kind, key, value) by words of the question, in this order: counts (of articles, instruments or entities), number or date of the issue,
+    a list of instruments (of articles where none are given), a single article, a keyword search.
+
+    instruments: instrument_type, reference, n_articles. documents: doc_id, bo_number, date_publication."""
     import re
 
-    low = question.lower()
-    if m := re.search(r"article\s+(\S+)", low):
-        return articles.where(F.lower("number") == m.group(1)).select(F.lit("article").alias("kind"), F.col("number").alias("key"), F.col("text").alias("value"))
-    if "combien" in low or "entit" in low:
-        return entities.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("count").alias("kind"), F.col("label").alias("key"), F.col("n").cast("string").alias("value"))
-    if "liste" in low:
-        return articles.select(F.lit("list").alias("kind"), F.col("number").alias("key"), shortened(F.col("text"), 80).alias("value"))
-    return keyword_hits(articles, question).select(F.lit("search").alias("kind"), F.col("number").alias("key"), shortened(F.col("text"), 300).alias("value"))
+    low = question.lower().strip()
+    has = lambda *words: any(w in low for w in words)
+    row = lambda frame, kind, key, value: frame.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    named = F.concat_ws(" ", "instrument_type", "reference")
+    if has("combien", "nombre", "how many", "count"):
+        if has("article", "section"):
+            return row(articles.agg(F.count("*").alias("n")), "count", F.lit("articles"), F.col("n"))
+        if instruments is not None and has("instrument", "décret", "dahir", "loi", "arrêté"):
+            return row(instruments, "count", named, F.lit(1))
+        if has("entité", "entite", "entity"):
+            return row(entities.groupBy("label").agg(F.count("*").alias("n")), "count", F.col("label"), F.col("n"))
+    if documents is not None and has("bo numéro", "numero bo", "bulletin", "bo n"):
+        return row(documents, "number", F.col("bo_number"), F.col("date_publication"))
+    if documents is not None and has("date", "publication"):
+        return row(documents, "date", F.col("doc_id"), F.col("date_publication"))
+    if has("liste", "list", "quels sont", "instruments"):
+        if instruments is not None:
+            return row(instruments, "list", named, F.col("n_articles"))
+        return row(articles, "list", F.col("number"), shortened(F.col("text"), 80))
+    if m := re.search(r"(?:article|art[. ]*)[ ]*(\d+|premier|unique)", low):
+        return row(articles.where(F.lower("number") == m.group(1)), "article", F.col("number"), F.col("text"))
+    return row(keyword_hits(articles, question), "search", F.col("number"), shortened(F.col("text"), 300))

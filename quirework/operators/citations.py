@@ -98,6 +98,29 @@ def with_decree_targets(citations: DataFrame, decrees: DataFrame) -> DataFrame:
     return joined.withColumn("target_text", F.when(own, F.col("d_text")).otherwise(F.col("target_text"))).withColumn("target_label", F.when(own, F.col("d_label")).otherwise(F.col("target_label"))).drop("d_label", "d_text")
 
 
+def placed_by_number(spans: Column, text: Column) -> Column:
+    """References moved to where their number stands in a text; -1 where it doesn't. For references passed down from decrees and issues."""
+
+    def place(s: Column) -> Column:
+        number = F.regexp_extract(s["text"], r"\d+(?:[-–.]\d+){1,2}", 0)
+        at = F.when(number != "", F.instr(text, number) - 1).otherwise(-1)
+        return s.withField("start", at.cast("int")).withField("end_pos", F.when(at >= 0, at + F.length(number)).otherwise(-1).cast("int"))
+
+    return F.transform(spans, place)
+
+
+def resolve_again(resolved: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Citations of articles with any that cites the document itself, resolved once more with all references known (those of the article, its decree and its
+    issue), placed by their numbers; what stays without a reference keeps its target.
+
+    resolved: the columns of resolve. rows: keys, doc_id, lang, text, citations, references."""
+    left = resolved.where("target_label = 'DOCUMENT_SOURCE'").select(*keys).distinct()
+    again = resolve(rows.join(left, keys).withColumn("references", placed_by_number(F.col("references"), F.col("text"))), keys)
+    found = again.where("target_label <> 'DOCUMENT_SOURCE'").select(*keys, "citation_no", *[F.col(c).alias(f"new_{c}") for c in ("target_label", "target_text", "resolution_type")])
+    joined = resolved.join(found, [*keys, "citation_no"], "left")
+    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ("target_label", "target_text", "resolution_type") else F.col(c) for c in resolved.columns])
+
+
 def edges(citations: DataFrame) -> DataFrame:
     """The citation graph: distinct (doc_id, target_label, target_text) with how often each is cited."""
     return citations.groupBy("doc_id", "target_label", "target_text").agg(F.count("*").alias("citations"), F.count_if("resolved").alias("resolved"))

@@ -274,3 +274,18 @@ def logical_line(chars: list[tuple[str, float]]) -> str:
 def reading_line(chars: pd.Series) -> pd.Series:
     """A line from an array of struct(c, x0)."""
     return pd.Series([None if line is None else logical_line([(c["c"], c["x0"]) for c in line]) for line in chars], dtype=object)
+
+
+#: Points between the middles of boxes of one scanned line, and the least confidence of a box.
+LINE_GAP, LEAST_BOX = 25.0, 0.3
+
+
+def scan_lines(boxes: DataFrame) -> DataFrame:
+    """(doc_id, page_number, line_no, x0, y0, x1, y1, boxes) of scanned boxes (doc_id, page_number, x0, y0, x1, y1, confidence): boxes whose middles
+    follow each other within LINE_GAP from top to bottom make a line. Boxes of low or no confidence don't count."""
+    kept = boxes.where(F.col("confidence") >= LEAST_BOX).withColumn("middle", (F.col("y0") + F.col("y1")) / 2)
+    order = Window.partitionBy("doc_id", "page_number").orderBy("middle")
+    new = F.coalesce(F.col("middle") - F.lag("middle").over(order) > LINE_GAP, F.lit(True)).cast("int")
+    marked = kept.withColumn("new", new).withColumn("line_no", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)) - 1)
+    edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("boxes")]
+    return marked.groupBy("doc_id", "page_number", F.col("line_no").cast("int").alias("line_no")).agg(*edges)

@@ -161,6 +161,25 @@ def companies(text: str, lang: str) -> list[Raw]:
     return out
 
 
+#: The ministries known by name, by language: label and phrase.
+MINISTRIES = {
+    "fr": [*(f"{w} {name}" for w in ("ministère", "ministre") for name in fixed.MINISTRIES_FR), *fixed.SECRETARIATS_FR],
+    "ar": fixed.MINISTRIES_AR,
+}
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """Phrases as whole words, the longest first, whatever the blanks between their words."""
+    words = "|".join(r"\s+".join(map(re.escape, p.split())).replace("'", "['’]\\s?") for p in sorted(set(phrases), key=lambda p: (-len(p), p)))
+    return rf"(?<!\w)(?:{words})(?!\w)"
+
+
+def dictionary_spans(phrases: dict[str, dict[str, list[str]]]) -> Callable[[Column, Column], Column]:
+    """A function of (text, lang) that finds phrases (by language and label) in any case, without overlaps, the longest first."""
+    patterns = {g: {label: phrase_pattern(own) for label, own in by_label.items() if own} for g, by_label in phrases.items()}
+    return extractor(lambda text, lang: swept(matches(text, patterns.get(lang, {}), re.IGNORECASE)))
+
+
 def first_kept(groups: list[list[Raw]]) -> list[Raw]:
     """Spans of earlier groups win over overlapping ones of later groups; the result is by start."""
     out: list[Raw] = []
@@ -199,6 +218,30 @@ find_institutions = extractor(institutions, {"fr": "(?!)", "ar": "[ء-ي]"})
 find_citations = extractor(citations, {"fr": "(?i)article", "ar": "ماد|مواد"})
 find_companies = extractor(companies, {"fr": "[A-Z]{3}", "ar": "[A-Z]{3}"})
 find_legal_entities = extractor(legal_entities)
+find_ministries = dictionary_spans({lang: {"MINISTERE": phrases} for lang, phrases in MINISTRIES.items()})
+
+
+def joined_texts(texts: Column, separator: str) -> Column:
+    """struct(text, starts): texts in one with a separator, and where each starts; null texts count as empty. For recognisers that are asked
+    once for many texts."""
+    whole = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    grown = F.aggregate(
+        whole, zero, lambda a, t: F.struct((a["at"] + F.length(t) + len(separator)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"]
+    )
+    return F.struct(F.array_join(whole, separator).alias("text"), grown.alias("starts"))
+
+
+def redistributed(spans: Column, texts: Column, separator: str) -> Column:
+    """Spans of joined texts as an array for each text, with offsets into it; what lies on a separator goes."""
+    starts = joined_texts(texts, separator)["starts"]
+
+    def own(t: Column, i: Column) -> Column:
+        low = F.get(starts, i)
+        inside = F.filter(spans, lambda s: (s["start"] >= low) & (s["start"] < low + F.length(F.coalesce(t, F.lit("")))))
+        return F.transform(inside, lambda s: s.withField("start", s["start"] - low).withField("end_pos", s["end_pos"] - low))
+
+    return F.transform(texts, own)
 
 
 @F.pandas_udf(SPAN)

@@ -90,3 +90,18 @@ def consolidation(entities: DataFrame, citations: DataFrame, articles: DataFrame
 def grouped_counts(items: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, label, text, n, first): how often each text of a label occurs, with its first place."""
     return items.groupBy(*keys, "label", "text").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+
+
+#: Fields of an article for an index, with the column each shape of article may have it in, and its value where neither has.
+INDEXED = {
+    "article_id": (["article_id", "number"], ""), "doc_id": (["doc_id"], ""), "article_number": (["article_number", "number"], ""), "lang": (["lang"], "fr"), "bo_number": (["bo_number"], ""),
+    "date_publication": (["date_publication"], ""), "instrument_type": (["instrument_type"], ""), "reference": (["reference"], ""),
+}
+
+
+def normalised_articles(articles: DataFrame) -> DataFrame:
+    """Articles of the store or of annotated issues with the same fields: the text is raw_text if it isn't empty, else text; pages may be null."""
+    there = lambda c, type_: F.col(c).cast(type_) if c in articles.columns else F.lit(None).cast(type_)
+    fields = [F.coalesce(*[there(c, "string") for c in own], F.lit(default)).alias(name) for name, (own, default) in INDEXED.items()]
+    text = F.coalesce(F.when(there("raw_text", "string") != "", there("raw_text", "string")), there("text", "string"), F.lit(""))
+    return articles.select(*fields, text.alias("text"), there("pdf_page", "int").alias("pdf_page"), there("printed_page", "int").alias("printed_page"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.operators import layout, pages, segment, tables, vectors
-from quirework.sources.tables import cut, table
+from quirework.operators import layout, pages, segment, vectors
+from quirework.sources.tables import table
 
 
 def ocr_threshold(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,12 +54,6 @@ def gazette_articles(spark: SparkSession, folder: str) -> DataFrame:
     return segment.articles(_issues(spark, folder)).select("doc_id", "article_idx", "number", F.length("text").alias("characters"), "start_pos")
 
 
-def gazette_decrees(spark: SparkSession, folder: str) -> DataFrame:
-    """Decrees of such issues."""
-    issues = cut(_issues(spark, folder))
-    return segment.decrees(issues, segment.articles(issues)).select("doc_id", "decree_idx", "title", "first_article_idx")
-
-
 def gazette_fore_matter(spark: SparkSession, folder: str) -> DataFrame:
     """What stands before the first article of such issues."""
     own = _issues(spark, folder).select("doc_id", segment.fore_matter(F.col("text"), F.col("lang")).alias("f"))
@@ -135,16 +129,11 @@ def bilingual_columns(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("doc_id", F.length("text_left").alias("left_characters"), F.length("text_right").alias("right_characters"))
 
 
-def ascii_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Tables that show in pages by wide gaps."""
-    return tables.ascii_tables(table(spark, folder, "extracted_pages").where("text IS NOT NULL"), "page_id", "text")
-
-
 #: White space of Unicode, for RE2.
 WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 QUERIES = {f.__name__: f for f in (
-    ocr_threshold, ocr_choice, mean_confidence, exact_dup_docs, split_similarity, gazette_articles, gazette_decrees, gazette_fore_matter, header_numbers, oversized_parts, signature_page_match,
-    page_map, printed_pages, layout_type, block_in_table, reading_order, block_bands, bilingual_columns, ascii_tables,
+    ocr_threshold, ocr_choice, mean_confidence, exact_dup_docs, split_similarity, gazette_articles, gazette_fore_matter, header_numbers, oversized_parts, signature_page_match,
+    page_map, printed_pages, layout_type, block_in_table, reading_order, block_bands, bilingual_columns,
 )}
 BLOCKS = """
     SELECT l_orderkey::VARCHAR AS doc_id, (l_linenumber % 2 + 1)::INT AS page_number, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 700)::DOUBLE AS y0,

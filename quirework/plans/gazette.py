@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
-from quirework.operators import citations, instruments, layout, quality, segment, spans, tables
+from quirework.operators import citations, instruments, layout, quality, segment, spans, store, tables
 from quirework.sources import files
 from quirework.sources.tables import cut, table
 
@@ -193,9 +193,63 @@ def gz_reading_order(spark: SparkSession, folder: str) -> DataFrame:
     return layout.in_reading_order(blocks)
 
 
+def _boxes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("l_suppkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 300).cast("double").alias("y0"),
+        (F.col("l_suppkey") % 500 + F.col("l_quantity")).cast("double").alias("x1"), (F.col("l_partkey") % 300 + 10).cast("double").alias("y1"), (F.col("l_discount") * 10).alias("confidence"),
+    )
+
+
+def gz_scan_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of scanned boxes, one for each line of an order."""
+    return layout.scan_lines(_boxes(spark, folder))
+
+
+#: SQL that both engines read: for each order a ministry by name and a sentence with it.
+NAMED = f"""
+    f AS (SELECT CAST(o_orderkey AS STRING) AS doc_id, CAST(o_custkey AS STRING) AS cust, {_one_of("o_orderkey % 2", ["fr", "ar"])} AS lang,
+                 CASE WHEN o_orderkey % 2 = 1 THEN {_one_of(f"o_orderkey % {len(spans.MINISTRIES['ar'])}", spans.MINISTRIES["ar"])}
+                      ELSE {_one_of(f"o_orderkey % {len(spans.MINISTRIES['fr'])}", [p.replace("'", "''") for p in spans.MINISTRIES["fr"]])} END AS name FROM {{orders}}),
+    s AS (SELECT *, CASE lang WHEN 'ar' THEN 'قدم الملف رقم ' || cust || ' إلى ' || name || '، ولم يرفض.' ELSE 'Le dossier ' || cust || ' est remis au ' || upper(substring(name, 1, 1)) || substring(name, 2) || ', sans suite.' END AS text FROM f)
+"""
+
+
+def gz_ministries(spark: SparkSession, folder: str) -> DataFrame:
+    """Ministries known by name, the longest where one begins another."""
+    own = spark.sql(f"WITH {NAMED} SELECT doc_id, lang, text FROM s", orders=table(spark, folder, "orders"))
+    found = own.select("doc_id", F.explode(spans.find_ministries(F.col("text"), F.col("lang"))).alias("s"))
+    return found.select("doc_id", F.col("s.label").alias("label"), F.lower("s.text").alias("text"), F.col("s.start").alias("start_pos"))
+
+
+def gz_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles of the store and of the gazette with the same fields."""
+    own = store.normalised_articles(table(spark, folder, "articles").select("doc_id", "number", "raw_text"))
+    side = store.normalised_articles(_articles(spark, folder))
+    return own.unionByName(side).select("doc_id", "article_id", "article_number", "lang", F.md5("text").alias("text"))
+
+
+def gz_resolved_again(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations of articles whose laws are known from the decree alone, resolved at a second try."""
+    own = _articles(spark, folder).withColumn("citations", spans.find_citations(F.col("text"), F.col("lang"))).withColumn("known", spans.find_references(F.col("text"), F.col("lang")))
+    bare = cut(own.select("doc_id", "article_idx", "lang", "text", "citations", "known"))
+    none = F.filter("known", lambda s: F.lit(False))
+    first = cut(citations.resolve(bare.withColumn("references", none), ["doc_id", "article_idx"]))
+    lost = F.transform("known", lambda s: s.withField("start", F.lit(-1)).withField("end_pos", F.lit(-1)))
+    return citations.resolve_again(first, bare.withColumn("references", lost), ["doc_id", "article_idx"]).select("doc_id", "article_idx", "text", "target_label", "target_text")
+
+
+def gz_redistributed(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates found in the articles of an issue put in one, given back to their articles."""
+    own = _articles(spark, folder).groupBy("doc_id").agg(F.first("lang").alias("lang"), F.transform(F.array_sort(F.collect_list(F.struct("article_idx", "text"))), lambda x: x["text"]).alias("texts"))
+    mark = "\n<ARTICLE_BOUNDARY>\n"
+    found = own.withColumn("spans", spans.find_dates(spans.joined_texts(F.col("texts"), mark)["text"], F.col("lang")))
+    back = found.select("doc_id", F.posexplode(spans.redistributed(F.col("spans"), F.col("texts"), mark)).alias("article_idx", "spans"))
+    return back.select("doc_id", "article_idx", F.explode("spans").alias("s")).select("doc_id", "article_idx", F.col("s.text").alias("text"), F.col("s.start").alias("start_pos"))
+
+
 QUERIES = {f.__name__: f for f in (
     gz_articles, gz_decrees, gz_fore_matter, gz_metadata, gz_dates, gz_legal_entities, gz_institutions, gz_citations, gz_edges, gz_instruments, gz_article_ids, gz_decree_groups, gz_quality, gz_clean, gz_tables,
-    gz_reading_order,
+    gz_reading_order, gz_scan_lines, gz_ministries, gz_normalised, gz_resolved_again, gz_redistributed,
 )}
 
 #: The second decree of an Arabic issue stands in its third article.
@@ -261,6 +315,21 @@ SQL = {
         WITH {TRUTH}, c AS (SELECT *, CASE WHEN n < 4 THEN 0 WHEN (k % 2 = 0) = ar THEN 0 ELSE 1 END AS side FROM li)
         SELECT doc_id, 1 AS page_number, k AS block_idx, (row_number() OVER (PARTITION BY doc_id ORDER BY side, (k - 1) // 2, k) - 1)::INT AS position FROM c
     """,
+    "gz_scan_lines": """
+        WITH b AS (SELECT l_orderkey::VARCHAR AS doc_id, l_suppkey % 500 AS x0, l_partkey % 300 AS y0, l_suppkey % 500 + l_quantity AS x1 FROM lineitem WHERE l_discount * 10 >= 0.3),
+             g AS (SELECT *, coalesce(y0 - lag(y0) OVER (PARTITION BY doc_id ORDER BY y0) > 25, true) AS new FROM b),
+             l AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS line_no FROM g)
+        SELECT doc_id, 1 AS page_number, line_no::INT AS line_no, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, (max(y0) + 10)::DOUBLE AS y1, count(*) AS boxes FROM l GROUP BY 1, 3
+    """,
+    "gz_ministries": f"""
+        WITH {NAMED.replace("{orders}", "orders")} SELECT doc_id, 'MINISTERE' AS label, name AS text, CASE lang WHEN 'ar' THEN length('قدم الملف رقم ' || cust || ' إلى ') ELSE length('Le dossier ' || cust || ' est remis au ') END::INT AS start_pos FROM s
+    """,
+    "gz_normalised": f"""
+        WITH {TRUTH} SELECT doc_id, number AS article_id, number AS article_number, CASE WHEN ar THEN 'ar' ELSE 'fr' END AS lang, md5(text) AS text FROM a
+        UNION ALL SELECT coalesce(doc_id, ''), coalesce(number, ''), coalesce(number, ''), 'fr', md5(coalesce(raw_text, '')) FROM articles
+    """,
+    "gz_resolved_again": f"WITH {TRUTH}, {CITED} SELECT doc_id, article_idx, text, 'LOI' AS target_label, target_text FROM c",
+    "gz_redistributed": f"WITH {TRUTH}, {DATES} SELECT doc_id, article_idx, text, start_pos::INT AS start_pos FROM g",
     "gz_tables": """
         WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS k, '| ' || l_linenumber || ' | ' || l_partkey || ' | a\\|' || l_quantity::INT || ' |' AS r FROM lineitem)
         SELECT l_orderkey, 1 AS first_line, count(*) AS lines, string_agg(CASE WHEN k = 1 THEN r || chr(10) || '| --- | --- | --- |' ELSE r END, chr(10) ORDER BY k) AS markdown FROM l GROUP BY 1 HAVING count(*) > 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import language
-from quirework.operators import citations, enrich, instruments, quality, spans, store
+from quirework.operators import citations, enrich, instruments, spans, store
 from quirework.sources.tables import cut, spread, table
 
 
@@ -23,8 +23,8 @@ def entities_by_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def articles_join_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles of French issues with the number and date of the issue."""
-    own = store.articles_with_documents(table(spark, folder, "articles"), table(spark, folder, "bulletins"), "fr")
+    """Articles with the number, language and date of their issue."""
+    own = store.articles_with_documents(table(spark, folder, "articles"), table(spark, folder, "bulletins"))
     return own.select("id", "doc_id", "number", "bo_number", "date_publication")
 
 
@@ -115,7 +115,7 @@ def decree_asof(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """The last eight detector runs of each page."""
+    """The last two detector runs of each page."""
     from quirework.operators.answers import history_tail as tail
 
     own = table(spark, folder, "language_results").select(F.col("page_id").alias("conv_id"), F.col("result_id").alias("turn"), "language")
@@ -166,24 +166,14 @@ def issue_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return files.issue_markdown(full).select("doc_id", F.length("markdown").alias("characters"))
 
 
-def issue_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Issues whose number of articles differs from what is stored, and instruments that break rules."""
-    rows = cut(instruments.by_resets(_numbered(spark, folder)))
-    own = instruments.identifiers(instruments.instruments(rows))
-    full = instruments.article_identifiers(rows, own).withColumn("raw_header", F.lit("")).withColumn("pdf_page", F.lit(None).cast("int"))
-    documents = table(spark, folder, "bulletins").select("doc_id", "lang", F.col("num_articles").alias("n_articles"), F.lit(None).cast("int").alias("total_pdf_pages"))
-    rules = quality.schema_rules(documents, full, own).unionByName(quality.instrument_rules(own)).unionByName(quality.page_rules(full))
-    return rules.groupBy("rule").agg(F.count("*").alias("broken"))
-
-
 QUERIES = {f.__name__: f for f in (
     documents_ordered, entities_by_label, articles_join_documents, label_counts, document_entity_counts, grouped_entities, entity_index, citations_resolved, citation_edges, citations_to_law,
-    reset_sessions, issue_instruments, article_ids, instrument_reference, decree_asof, history_tail, enriched_articles, keyword_search, issue_answer, issue_metadata, issue_markdown, issue_quality,
+    reset_sessions, issue_instruments, article_ids, instrument_reference, decree_asof, history_tail, enriched_articles, keyword_search, issue_answer, issue_metadata, issue_markdown,
 )}
 SQL = {
     "documents_ordered": "SELECT doc_id, date_publication, lang FROM bulletins",
     "entities_by_label": "SELECT e.id, article_id, doc_id, number, text FROM entities e JOIN articles a ON a.id = article_id WHERE label = 'LOI'",
-    "articles_join_documents": "SELECT id, doc_id, number, bo_number, date_publication FROM articles JOIN bulletins USING (doc_id) WHERE lang = 'fr'",
+    "articles_join_documents": "SELECT id, doc_id, number, bo_number, date_publication FROM articles JOIN bulletins USING (doc_id)",
     "label_counts": "SELECT label, count(*) AS n FROM entities GROUP BY 1",
     "document_entity_counts": """
         SELECT doc_id, count(DISTINCT a.id) AS articles, count(e.id) AS entities FROM articles a LEFT JOIN entities e ON e.article_id = a.id GROUP BY 1

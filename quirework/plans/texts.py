@@ -97,9 +97,17 @@ def page_number_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def date_months(spark: SparkSession, folder: str) -> DataFrame:
-    """Dates in French documents by month."""
-    own = table(spark, folder, "documents").where("text IS NOT NULL AND lang = 'fr'").select(F.explode(spans.find_dates(F.col("text"), F.lit("fr"))).alias("d")).where("d.label = 'DATE_GREGORIAN'")
-    return own.groupBy(F.col("d.meta")["month"].cast("int").alias("month")).agg(F.count("*").alias("dates"), F.min(F.col("d.meta")["year"].cast("int")).alias("first_year"))
+    """Dates in documents by language of the script, calendar and month."""
+    own = spread(table(spark, folder, "documents").where("text IS NOT NULL").select("text")).select(language.routed(F.col("text")).alias("lang"), "text")
+    found = own.select("lang", F.explode(spans.find_dates(F.col("text"), F.col("lang"))).alias("d"))
+    return found.groupBy("lang", "d.label", F.col("d.meta")["month"].cast("int").alias("month")).agg(F.count("*").alias("dates"), F.min(F.col("d.meta")["year"].cast("int")).alias("first_year"))
+
+
+def word_fixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles and documents with the words put right that come broken out of files."""
+    texts = table(spark, folder, "articles").select(F.lit("articles").alias("tbl"), F.col("id").alias("row_id"), F.col("raw_text").alias("text"))
+    texts = texts.unionByName(table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text"))
+    return texts.where("text IS NOT NULL").select("tbl", "row_id", F.md5(T.pdf_words(F.col("text"))).alias("text"))
 
 
 def references_by_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,8 +186,53 @@ def label_weights(spark: SparkSession, folder: str) -> DataFrame:
     return classify.class_weights(classify.kept_classes(table(spark, folder, "subject_labels").select(F.col("subject").alias("label"))))
 
 
+def _dates_sql() -> str:
+    """Dates of both calendars; the months of a language are told apart by the calendar they are of."""
+    day = "[0-9٠-٩]{1,2}"
+    year = {"gregorian": "4", "hijri": "3,4"}
+
+    def names(months: dict[str, int], lang: str) -> str:
+        alternatives = "|".join(sorted(months, key=lambda k: (-len(k), k)))
+        return alternatives if lang == "fr" else "".join("[اأإآٱ]" if c in "اأإآٱ" else c for c in alternatives)
+
+    parts = []
+    for lang, calendar, label, months in (
+        ("fr", "gregorian", "DATE_GREGORIAN", fixed.GREGORIAN_FR), ("fr", "hijri", "DATE_HIJRI", fixed.HIJRI_FR), ("ar", "gregorian", "DATE_GREGORIAN", fixed.GREGORIAN_AR), ("ar", "hijri", "DATE_HIJRI", fixed.HIJRI_AR),
+    ):
+        pattern = f"(?i)\\b[0-9]{{1,2}}(?:er)?{WS}+(?:{names(months, lang)}){WS}+[0-9]{{{year[calendar]}}}\\b" if lang == "fr" else f"{day}{WS}+(?:من{WS}+)?(?:{names(months, lang)}){WS}+[0-9٠-٩]{{{year[calendar]}}}"
+        values = ", ".join(f"('{_plain(k)}', {v})" for k, v in {_plain(k): v for k, v in months.items()}.items())
+        parts.append(f"""
+            SELECT lang, '{label}' AS label, month, y FROM (
+                SELECT lang, translate(regexp_replace(regexp_extract(lower(d), '(?:er)?{WS}+(?:من{WS}+)?([^0-9٠-٩]+?){WS}+[0-9٠-٩]{{3,4}}$', 1), '{WS}+', ' ', 'g'), 'أإآٱ', 'اااا') AS name,
+                       translate(regexp_extract(d, '[0-9٠-٩]+$'), '٠١٢٣٤٥٦٧٨٩', '0123456789')::INT AS y
+                FROM (SELECT lang, unnest(regexp_extract_all(text, '{pattern}')) AS d FROM t WHERE lang = '{lang}')) JOIN (VALUES {values}) v(name, month) USING (name)""")
+    rows = f"SELECT CASE WHEN {_n(AR, 'text')} > 0.30 * {_n('\\p{L}', 'text')} THEN 'ar' ELSE 'fr' END AS lang, text FROM documents WHERE text IS NOT NULL"
+    return f"WITH t AS ({rows}), u AS ({' UNION ALL '.join(parts)}) SELECT lang, label, month, count(*) AS dates, min(y) AS first_year FROM u GROUP BY 1, 2, 3"
+
+
+def _plain(name: str) -> str:
+    return name.lower().translate(str.maketrans("أإآٱ", "اااا"))
+
+
+def _fixes_sql() -> str:
+    """Each word by the three lists, one after the other."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pairs = lambda d: "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in d.items()) + "}"
+    small = {k: v if isinstance(v, str) else v[0] for k, v in fixed.ACCENT_FIXES.items()}
+    large = {k: v if isinstance(v, str) else v[1] for k, v in fixed.ACCENT_FIXES.items()}
+    get = lambda d, key, other: f"coalesce({pairs(d)}[{key}], {other})"
+    return f"""
+        WITH t AS (SELECT 'articles' AS tbl, id AS row_id, raw_text AS text FROM articles UNION ALL SELECT 'documents', doc_id, text FROM documents),
+             w AS (SELECT tbl, row_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), 1) AS k FROM t WHERE text <> ''),
+             d AS (SELECT DISTINCT w FROM w), a AS (SELECT w, {get(fixed.WORD_FIXES, 'lower(w)', 'w')} AS x FROM d), b AS (SELECT w, {get(fixed.CASED_FIXES, 'x', 'x')} AS x FROM a),
+             c AS (SELECT w, CASE WHEN x = lower(x) THEN {get(small, 'lower(x)', 'x')} ELSE {get(large, 'lower(x)', 'x')} END AS x FROM b)
+        SELECT tbl, row_id, md5(string_agg(x, '' ORDER BY k)) AS text FROM w JOIN c USING (w) GROUP BY 1, 2
+        UNION ALL SELECT tbl, row_id, md5('') FROM t WHERE text = ''
+    """
+
+
 QUERIES = {f.__name__: f for f in (
-    domain_by_lang, lang_heuristic, route_language, lines_by_language, documents_by_language, clean_lines, clean_articles, page_number_lines, date_months, references_by_label, valid_entities,
+    domain_by_lang, lang_heuristic, route_language, lines_by_language, documents_by_language, clean_lines, clean_articles, page_number_lines, date_months, word_fixes, references_by_label, valid_entities,
     entity_slices, located_entities, overlap_resolution, rules_over_names, persons_and_organisations, training_rows, page_language_metrics, label_weights,
 )}
 
@@ -215,13 +268,8 @@ SQL = {
     "page_number_lines": f"""
         SELECT page_id, {_n('(?m)^[ \\t]*[0-9]{1,4}[ \\t]*$', 'text')}::INT AS lines FROM extracted_pages WHERE {_n('(?m)^[ \\t]*[0-9]{1,4}[ \\t]*$', 'text')} > 0
     """,
-    "date_months": f"""
-        WITH m AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in fixed.GREGORIAN_FR.items())}) v(name, month)),
-             t AS (SELECT unnest(regexp_extract_all(text, '(?i)\\b[0-9]{{1,2}}(?:er)?{WS}+(?:{'|'.join(sorted(fixed.GREGORIAN_FR, key=lambda k: (-len(k), k)))}){WS}+[0-9]{{4}}\\b')) AS d
-                   FROM documents WHERE text IS NOT NULL AND lang = 'fr'),
-             p AS (SELECT lower(regexp_extract(d, '{WS}+([^0-9]+?){WS}+[0-9]{{4}}$', 1)) AS name, right(d, 4)::INT AS y FROM t)
-        SELECT month, count(*) AS dates, min(y) AS first_year FROM p JOIN m USING (name) GROUP BY 1
-    """,
+    "date_months": _dates_sql(),
+    "word_fixes": _fixes_sql(),
     "entity_slices": """
         WITH e AS (SELECT coalesce(start_pos >= 0 AND start_pos < end_pos AND end_pos <= length(raw_text), false) AS i,
                           coalesce(substring(raw_text, start_pos + 1, end_pos - start_pos) = text, false) AS s

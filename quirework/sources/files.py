@@ -212,3 +212,20 @@ def metadata(text: Column) -> Column:
     date = F.date_format(F.try_make_timestamp(year, month, day, zero, zero, zero), "yyyy-MM-dd")
     edition = F.regexp_extract(head, r"(?iuU)(édition\s+(?:générale|de\s+traduction\s+officielle|des\s+[\p{L}\s]{3,40})|النشرة\s+العامة|نشرة\s+الترجمة\s+الرسمية)", 1)
     return F.struct(F.when(no != "", no).alias("bo_number"), date.alias("date_publication"), F.when(edition != "", edition).alias("edition_label"))
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(label, phrase) of a JSON-lines dictionary: a phrase as text or pattern, or a pattern of tokens, each with one form or several (IN),
+    of which every combination is a phrase. Lines without a phrase are left out."""
+    token = "struct<LOWER:string>"
+    raw = spark.read.text(path).where("trim(value) <> ''")
+    flat = F.get_json_object("value", "$.pattern")
+    plain = raw.select(F.get_json_object("value", "$.label").alias("label"), F.coalesce(F.get_json_object("value", "$.text"), F.when(~flat.startswith("["), flat)).alias("phrase"), flat.alias("pattern"))
+    forms = F.transform(
+        F.from_json("pattern", f"array<{token}>"),
+        lambda t: F.coalesce(F.from_json(F.get_json_object(t["LOWER"], "$.IN"), "array<string>"), F.array(t["LOWER"])),
+    )
+    combined = F.aggregate(forms, F.array(F.lit("")), lambda acc, own: F.flatten(F.transform(acc, lambda a: F.transform(own, lambda w: F.when(a == "", w).otherwise(F.concat_ws(" ", a, w))))))
+    tokens = plain.where("phrase IS NULL AND startswith(pattern, '[')").select("label", F.explode(combined).alias("phrase"))
+    found = plain.where("phrase IS NOT NULL").select("label", "phrase").unionByName(tokens)
+    return found.select("label", F.regexp_replace("phrase", "' ", "'").alias("phrase")).distinct()

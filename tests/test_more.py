@@ -71,7 +71,7 @@ def test_conversation(spark):
     arts = spark.createDataFrame([("1", "Le registre", 0), ("2", "rien", 1)], "number string, text string, article_idx int")
     ents = spark.createDataFrame([("LOI",), ("LOI",)], "label string")
     assert answers.rule_answer(arts, ents, "article 2").first()["value"] == "rien"
-    assert answers.rule_answer(arts, ents, "Combien ?").first()["value"] == "2"
+    assert answers.rule_answer(arts, ents, "Combien d'entités ?").first()["value"] == "2"
     assert answers.rule_answer(arts, ents, "liste").count() == 2 and answers.rule_answer(arts, ents, "REGISTRE").first()["key"] == "1"
 
 
@@ -123,3 +123,80 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, lang string, text string")
     assert segment.articles(empty).count() == 0 and segment.decrees(empty, segment.articles(empty)).count() == 0
     assert T.let(F.lit(1), lambda x: x + 1) is not None
+
+
+def test_dictionary_files(spark, tmp_path):
+    from quirework.sources import files
+
+    rows = [
+        '{"label": "M", "pattern": [{"LOWER": {"IN": ["ministère", "ministre"]}}, {"LOWER": "de"}, {"LOWER": "l\'"}, {"LOWER": "eau"}]}', '{"text": "وزارة الماء", "label": "M"}',
+        '{"text": "وزارة الماء", "label": "M"}', '{"label": "S", "pattern": "secrétariat"}', "", '{"label": "X"}',
+    ]
+    (tmp_path / "d.jsonl").write_text("\n".join(rows), encoding="utf8")
+    found = {tuple(r) for r in files.dictionary(spark, str(tmp_path / "d.jsonl")).collect()}
+    assert found == {("M", "ministère de l'eau"), ("M", "ministre de l'eau"), ("M", "وزارة الماء"), ("S", "secrétariat")}
+
+
+def test_known_ministries(spark):
+    from pyspark.sql import functions as F
+
+    from quirework.operators import spans
+
+    texts = [("Le MINISTÈRE  de l’Intérieur et le ministre de la santé.", "fr"), ("وزارة الداخلية والجماعات الترابية ووزارة", "ar"), ("", "fr"), (None, "ar"), ("administère de la justicex", "fr")]
+    out = spark.createDataFrame(texts, "t string, g string").select(spans.find_ministries(F.col("t"), F.col("g")).alias("s")).collect()
+    assert [[x["text"] for x in r["s"]] for r in out] == [["MINISTÈRE  de l’Intérieur", "ministre de la santé"], ["وزارة الداخلية والجماعات الترابية"], [], [], []]
+
+
+def test_scan_lines(spark):
+    from quirework.operators import layout
+
+    boxes = [("d", 1, 50.0, 0.0, 90.0, 10.0, 0.9), ("d", 1, 0.0, 20.0, 40.0, 30.0, 0.9), ("d", 1, 0.0, 44.0, 40.0, 56.0, 0.5), ("d", 1, 5.0, 100.0, 40.0, 110.0, 0.9), ("d", 1, 0.0, 70.0, 1.0, 80.0, 0.1), ("e", 1, 0.0, 0.0, 1.0, 1.0, None)]
+    out = layout.scan_lines(spark.createDataFrame(boxes, "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double, confidence double")).orderBy("line_no").collect()
+    assert [tuple(r)[2:] for r in out] == [(0, 0.0, 0.0, 90.0, 56.0, 3), (1, 5.0, 100.0, 40.0, 110.0, 1)]
+
+
+def test_redistributed(spark):
+    from pyspark.sql import functions as F
+
+    from quirework.operators import spans
+
+    texts = ["le 3 mars 2020", None, "", "fin le 4 mai 2021"]
+    frame = spark.createDataFrame([(texts,), ([],), (None,)], "t array<string>").withColumn("j", spans.joined_texts(F.col("t"), "\n#\n"))
+    rows = frame.withColumn("s", spans.redistributed(spans.find_dates(F.col("j.text"), F.lit("fr")), F.col("t"), "\n#\n")).collect()
+    assert [[(x["text"], x["start"], x["end_pos"]) for x in own] for own in rows[0]["s"]] == [[("3 mars 2020", 3, 14)], [], [], [("4 mai 2021", 7, 17)]]
+    assert rows[0]["j"]["starts"] == [0, 17, 20, 23] and rows[1]["s"] == [] and rows[2]["s"] is None
+
+
+def test_normalised_articles(spark):
+    from quirework.operators import store
+
+    of_store = spark.createDataFrame([("d", "3", "texte", "ar"), ("d", None, "", None)], "doc_id string, number string, raw_text string, lang string")
+    of_issue = spark.createDataFrame([("d", "art_1", "3", "corps", 7)], "doc_id string, article_id string, number string, text string, pdf_page int")
+    assert [tuple(r) for r in store.normalised_articles(of_store).collect()] == [("3", "d", "3", "ar", "", "", "", "", "texte", None, None), ("", "d", "", "fr", "", "", "", "", "", None, None)]
+    assert [tuple(r) for r in store.normalised_articles(of_issue).collect()] == [("art_1", "d", "3", "fr", "", "", "", "", "corps", 7, None)]
+
+
+def test_rule_answers(spark):
+    from quirework.operators.answers import rule_answer
+
+    arts = spark.createDataFrame([("1", "un registre", 0), ("2", "deux", 1)], "number string, text string, article_idx int")
+    ents = spark.createDataFrame([("LOI",), ("LOI",)], "label string")
+    instr = spark.createDataFrame([("DECRET", "2-1-3", 2)], "instrument_type string, reference string, n_articles int")
+    docs = spark.createDataFrame([("d", "6822", "2019-10-17")], "doc_id string, bo_number string, date_publication string")
+    ask = lambda q: [tuple(r) for r in rule_answer(arts, ents, q, instr, docs).collect()]
+    assert ask("Combien d'articles ?") == [("count", "articles", "2")] and ask("Nombre d'instruments ?") == [("count", "DECRET 2-1-3", "1")]
+    assert ask("Combien d'entités ?") == [("count", "LOI", "2")] and ask("BO numéro ?") == [("number", "6822", "2019-10-17")] and ask("Date ?") == [("date", "d", "2019-10-17")]
+    assert ask("Liste des instruments") == [("list", "DECRET 2-1-3", "2")] and ask("Article 2") == [("article", "2", "deux")] and ask("registre") == [("search", "1", "un registre")]
+
+
+def test_resolve_again(spark):
+    from pyspark.sql import functions as F
+
+    from quirework.operators import citations, spans
+
+    rows = spark.createDataFrame([("d", 0, "fr", "Vu l'article 3 et le texte 15-09 ;"), ("d", 1, "fr", "Vu l'article 4 ;")], "doc_id string, article_idx int, lang string, text string")
+    rows = rows.withColumn("citations", spans.find_citations(F.col("text"), F.col("lang"))).withColumn("references", F.array().cast(spans.SPANS))
+    first = citations.resolve(rows, ["doc_id", "article_idx"])
+    law = F.array(F.struct(F.lit("LOI").alias("label"), F.lit("loi n° 15-09").alias("text"), F.lit(-1).alias("start"), F.lit(-1).alias("end_pos"), F.lit(None).cast("map<string,string>").alias("meta")))
+    again = citations.resolve_again(first, rows.withColumn("references", F.when(F.col("article_idx") == 0, law).otherwise(F.col("references"))), ["doc_id", "article_idx"])
+    assert sorted((r["article_idx"], r["target_label"], r["target_text"]) for r in again.collect()) == [(0, "LOI", "loi n° 15-09"), (1, "DOCUMENT_SOURCE", "d")]
