@@ -233,15 +233,17 @@ def joined_texts(texts: Column, separator: str) -> Column:
 
 
 def redistributed(spans: Column, texts: Column, separator: str) -> Column:
-    """Spans of joined texts as an array for each text, with offsets into it; what lies on a separator goes."""
-    starts = joined_texts(texts, separator)["starts"]
+    """Spans (a column) of joined texts as an array for each text, with offsets into it; what lies on a separator goes."""
 
-    def own(t: Column, i: Column) -> Column:
-        low = F.get(starts, i)
-        inside = F.filter(spans, lambda s: (s["start"] >= low) & (s["start"] < low + F.length(F.coalesce(t, F.lit("")))))
-        return F.transform(inside, lambda s: s.withField("start", s["start"] - low).withField("end_pos", s["end_pos"] - low))
+    def dealt(starts: Column) -> Column:
+        def own(t: Column, i: Column) -> Column:
+            low = F.get(starts, i)
+            inside = F.filter(spans, lambda s: (s["start"] >= low) & (s["start"] < low + F.length(F.coalesce(t, F.lit("")))))
+            return F.transform(inside, lambda s: s.withField("start", s["start"] - low).withField("end_pos", s["end_pos"] - low))
 
-    return F.transform(texts, own)
+        return F.transform(texts, own)
+
+    return let(joined_texts(texts, separator)["starts"], dealt)
 
 
 @F.pandas_udf(SPAN)

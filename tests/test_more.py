@@ -162,7 +162,7 @@ def test_redistributed(spark):
 
     texts = ["le 3 mars 2020", None, "", "fin le 4 mai 2021"]
     frame = spark.createDataFrame([(texts,), ([],), (None,)], "t array<string>").withColumn("j", spans.joined_texts(F.col("t"), "\n#\n"))
-    rows = frame.withColumn("s", spans.redistributed(spans.find_dates(F.col("j.text"), F.lit("fr")), F.col("t"), "\n#\n")).collect()
+    rows = frame.withColumn("d", spans.find_dates(F.col("j.text"), F.lit("fr"))).withColumn("s", spans.redistributed(F.col("d"), F.col("t"), "\n#\n")).collect()
     assert [[(x["text"], x["start"], x["end_pos"]) for x in own] for own in rows[0]["s"]] == [[("3 mars 2020", 3, 14)], [], [], [("4 mai 2021", 7, 17)]]
     assert rows[0]["j"]["starts"] == [0, 17, 20, 23] and rows[1]["s"] == [] and rows[2]["s"] is None
 
