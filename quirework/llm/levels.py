@@ -5,7 +5,7 @@ graded texts teach them, connectives a word and a sentence, clause depth (subord
 sentence, the most in one, the share of sentences with two), and lengths. The words that link are fixed lists for fr, ar, en
 and es, of which a text uses that of the language whose commonest words it has most of. A cumulative logit with a ridge penalty turns them into one of five ordered levels. Its graded texts are a bounded sample;
 the grades of words are cross-fitted there, so that a text never grades its own words. A rater who stands off the others
-by about a level is moved back before the final fit.
+by about a level is moved back before the final fit. Probabilities are calibrated on held-out folds of the graded texts.
 
 Rarity is counted over all documents. Words are kept from a share of all words on, so the table holds at most 1 / share
 of them at any size; other words count as rare as that share. Texts are scored whole.
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.sources.tables import spread, table
+from quirework.sources.tables import cut, spread, table
 
 #: Most graded texts to learn from.
 SAMPLE = 6000
@@ -85,8 +85,8 @@ COMMONEST = {lang: frozenset(words) for lang, words in COMMONEST.items()}
 def word_rarity(documents: DataFrame, text: str = "text", least: float = LEAST_SHARE) -> dict[str, float]:
     """Bits of each word, from its share of all words of all documents."""
     words = documents.where(F.col(text).isNotNull()).select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '[\\\\p{{L}}]+', 0)")).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = words.count()
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     kept = counts.where(F.col("n") >= least * total)
     return {r["word"]: float(np.log2(total / r["n"])) for r in kept.limit(int(1 / least) + 1).collect()}
 
@@ -105,16 +105,24 @@ def links(sentences: list[list[str]]) -> list[float]:
     else:
         lang = max(("fr", "en", "es"), key=lambda x: sum(w in COMMONEST[x] for w in words))
     own = LINKS[lang]
-    connective = sum((w in own["connective"]) + (a + " " + w in own["connective"]) for s in sentences for a, w in zip(["", *s], s, strict=False))
+    count = lambda kind, of: sum(map(own[kind].__contains__, of))
+    connective = count("connective", words) + sum(count("connective", map(" ".join, zip(s, s[1:], strict=False))) for s in sentences)
+    linked = count("linked", words)
     if lang == "ar":
-        linked = sum(w in own["linked"] or (w[0] == "و" and len(w) > 4) for w in words)
-    else:
-        linked = sum(w in own["linked"] for w in words)
-    subordinate = [sum(w in own["subordinator"] for w in s) for s in sentences]
-    relative = [sum(w in own["relative"] for w in s) for s in sentences]
-    deep = np.array(subordinate) + np.array(relative)
+        linked += sum(w[0] == "و" and len(w) > 4 and w not in own["linked"] for w in words)
+    subordinate = np.array([count("subordinator", s) for s in sentences])
+    relative = np.array([count("relative", s) for s in sentences])
+    deep = subordinate + relative
     n = len(sentences)
-    return [connective / len(words), connective / n, sum(subordinate) / n, sum(relative) / n, linked / n, float(np.log1p(deep.max())), float(np.mean(deep > 1))]
+    return [connective / len(words), connective / n, float(subordinate.sum()) / n, float(relative.sum()) / n, linked / n, float(np.log1p(deep.max())), float((deep > 1).mean())]
+
+
+def _quantiles(values: np.ndarray, at: tuple[float, ...]) -> list[float]:
+    """Quantiles by linear interpolation of values in order."""
+    places = np.array(at) * (len(values) - 1)
+    low = places.astype(int)
+    high = np.minimum(low + 1, len(values) - 1)
+    return (values[low] + (values[high] - values[low]) * (places - low)).tolist()
 
 
 def features(text: str, rarity: dict[str, float], grades: dict[str, float], floor: float, middle: float) -> np.ndarray:
@@ -123,22 +131,22 @@ def features(text: str, rarity: dict[str, float], grades: dict[str, float], floo
     if not words:
         return np.zeros(WIDTH)
     rare = np.array([rarity.get(w, floor) for w in words])
-    pairs = [a + " " + b for s in sentences for a, b in zip(s, s[1:], strict=False)]
     grade = np.array([grades.get(w, middle) for w in words])
-    paired = np.array([grades.get(p, middle) for p in pairs] or [middle])
+    paired = np.array([grades.get(a + " " + b, middle) for s in sentences for a, b in zip(s, s[1:], strict=False)] or [middle])
     lengths = np.array([len(s) for s in sentences], float)
-    sentence = np.array([np.mean([grades.get(w, middle) for w in s]) for s in sentences])
-    per = [np.mean(paired > t) for t in (2.0, 2.6, 3.2, 3.8, 4.4)]
+    sentence = np.add.reduceat(grade, np.concatenate([[0], np.cumsum(lengths[:-1])]).astype(int)) / lengths
+    rare_, grade_, paired_ = np.sort(rare), np.sort(grade), np.sort(paired)
+    per = (1 - np.searchsorted(paired_, (2.0, 2.6, 3.2, 3.8, 4.4), "right") / len(paired_)).tolist()
     commas = text.count(",") + text.count("،")
     return np.array(
         [
             len(set(words)) / len(words) ** 0.75,
-            rare.mean(), *np.quantile(rare, (0.5, 0.75, 0.9)),
-            grade.mean(), grade.std(), *np.quantile(grade, QUANTILES),
-            paired.mean(), *np.quantile(paired, (0.25, 0.5, 0.75)), *per,
+            rare.mean(), *_quantiles(rare_, (0.5, 0.75, 0.9)),
+            grade.mean(), grade.std(), *_quantiles(grade_, QUANTILES),
+            paired.mean(), *_quantiles(paired_, (0.25, 0.5, 0.75)), *per,
             sentence.mean(), sentence.std(), sentence.min(), sentence.max(),
-            np.log(lengths.mean()), np.log(lengths.max()), np.log(np.median(lengths)),
-            np.mean([len(w) for w in words]), commas / len(sentences),
+            np.log(lengths.mean()), np.log(lengths.max()), np.log(_quantiles(np.sort(lengths), (0.5,))[0]),
+            sum(map(len, words)) / len(words), commas / len(sentences),
             *links(sentences),
         ]
     )
@@ -156,6 +164,26 @@ def grade_words(texts: list[str], levels: np.ndarray, prior: float = 2.0) -> dic
     return {w: (s + prior * middle) / (n + prior) for w, (s, n) in sums.items() if n > 1}
 
 
+def _probabilities(z: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    over = 1 / (1 + np.exp(-np.clip(z[:, None] - cuts[None, :], -40, 40)))
+    edge = np.hstack([np.ones((len(z), 1)), over, np.zeros((len(z), 1))])
+    return edge[:, :-1] - edge[:, 1:]
+
+
+def calibration(x: np.ndarray, y: np.ndarray) -> float:
+    """The slope that makes probabilities of held-out folds as likely as may be."""
+    fold = np.random.default_rng(11).permutation(len(y)) % FOLDS
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for f in range(FOLDS):
+        rest, own = fold != f, fold == f
+        if own.any() and len(set(y[rest])) > 1:
+            mean, scale, weights, cuts = fit_ordinal(x[rest], y[rest])
+            held.append((((x[own] - mean) / scale) @ weights, cuts, y[own].astype(int)))
+    slopes = np.geomspace(0.2, 2.0, 25)
+    loss = [sum(-np.log(np.maximum(_probabilities(a * z, a * cuts)[np.arange(len(k)), k - 1], 1e-9)).sum() for z, cuts, k in held) for a in slopes]
+    return float(slopes[int(np.argmin(loss))]) if held else 1.0
+
+
 @dataclass(frozen=True)
 class Model:
     """Ordinal regression: P(level > k) = logistic(x w - cut_k)."""
@@ -168,12 +196,15 @@ class Model:
     grades: dict[str, float]
     floor: float
     middle: float
+    slope: float = 1.0
+
+    def level(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest level before calibration, which changes how sure it is."""
+        return _probabilities(((x - self.mean) / self.scale) @ self.weights, self.cuts).argmax(1) + 1
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights
-        over = 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts[None, :], -40, 40)))
-        edge = np.hstack([np.ones((len(x), 1)), over, np.zeros((len(x), 1))])
-        return edge[:, :-1] - edge[:, 1:]
+        """Calibrated probabilities of the levels."""
+        return _probabilities(self.slope * (((x - self.mean) / self.scale) @ self.weights), self.slope * self.cuts)
 
     def rows(self, texts: list[str]) -> np.ndarray:
         return np.array([features(t, self.rarity, self.grades, self.floor, self.middle) for t in texts]).reshape(len(texts), WIDTH)
@@ -234,14 +265,15 @@ def fit(texts: list[str], levels: np.ndarray, raters: list[str], rarity: dict[st
     if (fixed != y).any():
         x = crossed(fixed)
     # labels one level off pull little once the fit knows most of them; a second fit leaves out the clear misfits
+    slope = calibration(x, fixed)
     mean, scale, weights, cuts = fit_ordinal(x, fixed)
     at = 1 + (((x - mean) / scale) @ weights[:, None] > cuts[None, :]).sum(1)
     good = np.abs(at - fixed) < 1
     if good.sum() > 0.6 * len(fixed) and len(set(fixed[good])) > 1:
         mean, scale, weights, cuts = fit_ordinal(x[good], fixed[good])
         kept = [t for t, g in zip(texts, good, strict=True) if g]
-        return Model(mean, scale, weights, cuts, rarity, grade_words(kept, fixed[good]), floor, float(fixed[good].mean()))
-    return Model(mean, scale, weights, cuts, rarity, grade_words(texts, fixed), floor, float(fixed.mean()))
+        return Model(mean, scale, weights, cuts, rarity, grade_words(kept, fixed[good]), floor, float(fixed[good].mean()), slope)
+    return Model(mean, scale, weights, cuts, rarity, grade_words(texts, fixed), floor, float(fixed.mean()), slope)
 
 
 def model_for(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
@@ -261,8 +293,8 @@ def levels(documents: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            p = model.probabilities(model.rows(texts))
-            level = p.argmax(1) + 1
+            x = model.rows(texts)
+            p, level = model.probabilities(x), model.level(x)
             level[[not WORD.search(t) for t in texts]] = 1
             yield pd.DataFrame({"doc_id": batch["doc_id"], "level": level.astype("int32"), "confidence": p.max(1), "expected": p @ np.arange(1, LEVELS + 1)})
 
