@@ -72,8 +72,8 @@ def apostrophes(text: Column) -> Column:
 def french_headers(text: Column) -> Column:
     """Without issue lines, running titles and lone page numbers; then without lone words in capitals, but for those that
     the gazette itself uses."""
-    heads = r"(?imUd)^\s*(?:N[ºo°]\s*\d+\s*[–\-—]\s*\d+\s+\w+\s+\d{4}\s*\(.*?\)|BULLETIN OFFICIEL|.*?FFICIEL\s+N[ºo°]\s*\d+\s*[–\-—]|\d{1,4})\s*$"
-    caps = rf"(?mUd)^\s*(?!(?:{'|'.join(PROTECTED_CAPS)})\b)[A-ZÉÈÊËÀÂÎÏÔÛÙÇ]{{4,}}\s*$"
+    heads = r"(?imUd)^[^\S\n]*(?:N[ºo°]\s*\d+\s*[–\-—]\s*\d+\s+\w+\s+\d{4}\s*\(.*?\)|BULLETIN OFFICIEL|[^\n]*?FFICIEL\s+N[ºo°]\s*\d+\s*[–\-—]|\d{1,4})\s*$"
+    caps = rf"(?mUd)^[^\S\n]*(?!(?:{'|'.join(PROTECTED_CAPS)})\b)[A-ZÉÈÊËÀÂÎÏÔÛÙÇ]{{4,}}\s*$"
     return replaced(replaced(text, heads, ""), caps, "")
 
 

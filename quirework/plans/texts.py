@@ -86,8 +86,8 @@ def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
 def clean_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Articles through the cleaning chain of their language, with the Arabic runs taken out of French ones."""
     own = spread(table(spark, folder, "articles").where("raw_text IS NOT NULL").select("id", "raw_text")).withColumn("lang", language.routed(F.col("raw_text")))
-    fr = own.where("lang = 'fr'").select("id", "lang", T.clean_french(F.col("raw_text")).alias("c")).select("id", "lang", F.col("c.text").alias("text"), F.size("c.removed").alias("removed"))
-    return fr.unionByName(own.where("lang = 'ar'").select("id", "lang", T.clean_arabic(F.col("raw_text")).alias("text"), F.lit(0).alias("removed")))
+    own = own.select("id", "lang", T.clean_french(F.when(F.col("lang") == "fr", F.col("raw_text"))).alias("c"), T.clean_arabic(F.when(F.col("lang") == "ar", F.col("raw_text"))).alias("t"))
+    return own.select("id", "lang", F.coalesce("t", "c.text").alias("text"), F.when(F.col("lang") == "fr", F.size("c.removed")).otherwise(0).alias("removed"))
 
 
 def page_number_lines(spark: SparkSession, folder: str) -> DataFrame:
