@@ -172,7 +172,8 @@ def mix(documents: DataFrame, sources: DataFrame, tokenizer: str = TOKENIZER, to
         raise ValueError("too many sources")
     targets = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in rows}
     own = spread(documents.where("text IS NOT NULL").select("doc_id", "source", "text")).join(F.broadcast(sources.where("target_share > 0 AND max_repeats > 0").select("source")), "source")  # at most MOST_SOURCES rows
-    held = cut(own.select("doc_id", "source", F.unhex(F.md5("text")).alias("text_key"), token_count(F.col("text"), tokenizer).alias("tokens")).where("tokens > 0"))
+    # the filter comes after the cut: before it, it would count the tokens a second time
+    held = cut(own.select("doc_id", "source", F.unhex(F.md5("text")).alias("text_key"), token_count(F.col("text"), tokenizer).alias("tokens"))).where("tokens > 0")
     by_source = held.groupBy("text_key", "source").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.first("tokens").alias("tokens"))
     # a text stands in at most as many sources as there are
     member = F.struct("source", "documents", "first")
