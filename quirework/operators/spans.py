@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from quirework.functions import fixed
@@ -67,8 +70,9 @@ REFERENCES_FR = {
 CIRCULAIRE_FR = rf"[Cc]irculaire\s+(?:{N_FR})?\s*\d+(?:[-–./]\d+){{0,2}}"
 D_AR = r"[\d٠-٩]"
 NUM_AR = rf"{D_AR}+(?:[.\-–]{D_AR}+){{1,2}}"
-HIJRI_DAY_AR = rf"{D_AR}{{1,2}}\s+(?:من\s+)?(?:{any_alef(longest_first(list(fixed.HIJRI_AR)))})\s+{D_AR}{{3,4}}"
-GREGORIAN_DAY_AR = rf"{D_AR}{{1,2}}\s+(?:{any_alef(longest_first(list(fixed.GREGORIAN_AR)))})\s+{D_AR}{{4}}"
+HIJRI_DAY_AR = rf"{D_AR}{D_AR}?\s+(?:من\s+)?(?:{any_alef(longest_first(list(fixed.HIJRI_AR)))})\s+{D_AR}{{3,4}}"
+GREGORIAN_DAY_AR = rf"{D_AR}{D_AR}?\s+(?:{any_alef(longest_first(list(fixed.GREGORIAN_AR)))})\s+{D_AR}{{4}}"
+DAY_OF_AR = rf"{D_AR}\s+من\s+(?:{any_alef(longest_first(list(fixed.GREGORIAN_AR)))})\s+{D_AR}{{4}}"
 REFERENCES_AR = {
     "DAHIR": rf"ظهير(?:\s+(?:ال)?شريف)?\s*(?:رقم\s*)?{NUM_AR}(?:\s+(?:ال)?صادر\s+في\s+{HIJRI_DAY_AR})?{BRACKET}",
     "LOI": rf"قانون\s*(?:رقم\s*)?{NUM_AR}(?:\s+يتعلق\s+ب[^,،؛.\n]{{0,80}})?",
@@ -79,6 +83,22 @@ REFERENCES_AR = {
     "DATE_HIJRI": HIJRI_DAY_AR,
     "DATE_GREGORIAN": GREGORIAN_DAY_AR,
 }
+#: Literals of which a match of a pattern has at least one; a text without them isn't searched.
+NEEDED = {
+    REFERENCES_FR["DAHIR"]: ("ahir",),
+    REFERENCES_FR["LOI"]: ("oi",),
+    REFERENCES_FR["DECRET"]: ("cret",),
+    REFERENCES_FR["ARRETE"]: ("rrêt", "rret"),
+    REFERENCES_FR["BULLETIN_OFFICIEL"]: ("Bulletin",),
+    REFERENCES_FR["MONEY"]: ("euro", "DH", "MAD", "EUR", "USD", "dirham", "dollar"),
+    REFERENCES_FR["ORG"]: ("«", "BANK", "CO", "LTD", "LLC", "PLC", "INC", "SARL", "SPA", "S.A.", "GROUP", "HOLDINGS", "AUTHORITY", "AGENCY"),
+    REFERENCES_AR["DAHIR"]: ("ظهير",),
+    REFERENCES_AR["LOI"]: ("قانون",),
+    REFERENCES_AR["DECRET"]: ("مرسوم",),
+    REFERENCES_AR["ARRETE"]: ("لوزير",),
+    REFERENCES_AR["CIRCULAIRE"]: ("منشور",),
+    REFERENCES_AR["BULLETIN_OFFICIEL"]: ("الجريدة",),
+}
 INSTITUTION_AR = rf"(?:{longest_first(fixed.INSTITUTIONS_AR)})(?:\s+[ء-ي]+){{0,6}}"
 ARTICLE_NO = r"\d+(?:[-–.]\d+)?"
 CITATIONS_FR = [
@@ -97,9 +117,20 @@ def compiled(pattern: str, flags: int = 0) -> re.Pattern:
     return re.compile(pattern, flags)
 
 
+def possible(pattern: str, text: str) -> bool:
+    """Whether a text has what a match of the pattern needs, where that is known."""
+    needed = NEEDED.get(pattern)
+    if needed is None:
+        return True
+    for w in needed:
+        if w in text:
+            return True
+    return False
+
+
 def matches(text: str, patterns: dict[str, str], flags: int = 0) -> list[Raw]:
     """All matches of each pattern, by start, in the order of the patterns."""
-    found = [(label, m.group(), m.start(), m.end(), None) for label, p in patterns.items() for m in compiled(p, flags).finditer(text)]
+    found = [(label, m.group(), m.start(), m.end(), None) for label, p in patterns.items() if flags or possible(p, text) for m in compiled(p, flags).finditer(text)]
     return sorted(found, key=lambda s: s[2])
 
 
@@ -113,21 +144,35 @@ def swept(spans: list[Raw]) -> list[Raw]:
     return out
 
 
-def dates(text: str, lang: str) -> list[Raw]:
-    """Dates with day, month, name of the month, year and calendar."""
-    out: list[Raw] = []
+@lru_cache(maxsize=2)
+def date_forms(lang: str) -> list[tuple[str, str, re.Pattern, dict[str, int]]]:
+    """(label, calendar, pattern, months) of both calendars. Patterns start with a class, for which they are searched faster."""
+    out = []
     tables = ((fixed.GREGORIAN_FR, "gregorian", "4"), (fixed.HIJRI_FR, "hijri", "3,4")) if lang == "fr" else ((fixed.GREGORIAN_AR, "gregorian", "4"), (fixed.HIJRI_AR, "hijri", "3,4"))
     for months, calendar, digits in tables:
         names = longest_first(list(months))
         if lang == "fr":
-            pattern = compiled(rf"\b(\d{{1,2}})(?:er)?\s+({names})\s+(\d{{{digits}}})\b", re.IGNORECASE)
+            pattern = re.compile(rf"(\d(?<!\w\d)\d?)(?:er)?\s+({names})\s+(\d{{{digits}}})\b", re.IGNORECASE)
         else:
-            pattern = compiled(rf"({D_AR}{{1,2}})\s+(?:من\s+)?({any_alef(names)})\s+({D_AR}{{{digits}}})")
-        known = {re.sub("[أإآٱ]", "ا", k.lower()): v for k, v in months.items()}
+            pattern = re.compile(rf"({D_AR}{D_AR}?)\s+(?:من\s+)?({any_alef(names)})\s+({D_AR}{{{digits}}})")
+        known = {plain_month(k): v for k, v in months.items()}
+        out.append(("DATE_GREGORIAN" if calendar == "gregorian" else "DATE_HIJRI", calendar, pattern, known))
+    return out
+
+
+@lru_cache(maxsize=4096)
+def plain_month(name: str) -> str:
+    return re.sub("[أإآٱ]", "ا", name.lower())
+
+
+def dates(text: str, lang: str) -> list[Raw]:
+    """Dates with day, month, name of the month, year and calendar."""
+    out: list[Raw] = []
+    for label, calendar, pattern, known in date_forms(lang):
         for m in pattern.finditer(text):
             day, name, year = m.groups()
-            meta = {"day": str(int(day)), "month": str(known[re.sub("[أإآٱ]", "ا", name.lower())]), "month_name": name, "year": str(int(year)), "calendar": calendar}
-            out.append(("DATE_GREGORIAN" if calendar == "gregorian" else "DATE_HIJRI", m.group(), m.start(), m.end(), meta))
+            meta = {"day": str(int(day)), "month": str(known[plain_month(name)]), "month_name": name, "year": str(int(year)), "calendar": calendar}
+            out.append((label, m.group(), m.start(), m.end(), meta))
     return sorted(out, key=lambda s: s[2])
 
 
@@ -137,8 +182,21 @@ def references(text: str, lang: str) -> list[Raw]:
 
 
 def institutions(text: str, lang: str) -> list[Raw]:
-    """Arabic institutions: a keyword and up to six words."""
-    return [(a, b.strip(), c, d, e) for a, b, c, d, e in matches(text, {"INSTITUTION": INSTITUTION_AR})] if lang == "ar" else []
+    """Arabic institutions: a keyword and up to six words. Keywords are looked up one by one, and the pattern is tried where one stands."""
+    if lang != "ar":
+        return []
+    starts: set[int] = set()
+    for word in fixed.INSTITUTIONS_AR:
+        at = text.find(word)
+        while at >= 0:
+            starts.add(at)
+            at = text.find(word, at + 1)
+    out, end, pattern = [], 0, compiled(INSTITUTION_AR)
+    for at in sorted(starts):
+        if at >= end and (m := pattern.match(text, at)):
+            end = m.end()
+            out.append(("INSTITUTION", m.group().strip(), at, end, None))
+    return out
 
 
 def citations(text: str, lang: str) -> list[Raw]:
@@ -189,19 +247,41 @@ def first_kept(groups: list[list[Raw]]) -> list[Raw]:
     return sorted(out, key=lambda s: s[2])
 
 
+#: By language. The word bound before a ministry stands after its first letter, for which it is searched faster.
+MINISTRY = {"fr": r"[Mm](?<!\w[Mm])inist[èe]re\s+(?:de\s+l['’]|de\s+la\s+|des?\s+|du\s+)[^,;.:\n()]{3,90}", "ar": r"وزارة(?:\s+[ء-ي]+){1,4}"}
+
+
 def legal_entities(text: str, lang: str) -> list[Raw]:
-    """Ministries, references, dates and institutions without overlaps, in that order of precedence."""
-    ministry = r"\b[Mm]inist[èe]re\s+(?:de\s+l['’]|de\s+la\s+|des?\s+|du\s+)[^,;.:\n()]{3,90}" if lang == "fr" else r"وزارة(?:\s+[ء-ي]+){1,4}"
-    return first_kept([matches(text, {"MINISTERE": ministry}), references(text, lang), dates(text, lang), institutions(text, lang)])
+    """Ministries, references, dates and institutions without overlaps, in that order of precedence.
+
+    Arabic references have the dates of both calendars, but for Gregorian ones with 'من' between day and month; where none of these
+    stands, all dates would lose to the same spans among the references.
+    """
+    days = dates(text, lang) if lang == "fr" or "من" in text and compiled(DAY_OF_AR).search(text) else []
+    return first_kept([matches(text, {"MINISTERE": MINISTRY[lang]}), references(text, lang), days, institutions(text, lang)])
+
+
+ARROW_SPANS = to_arrow_type(SPANS)
+
+
+def span_arrays(found: list[list[Raw]]) -> pa.Array:
+    """Spans of many texts as one Arrow array, column by column."""
+    flat = [s for spans in found for s in spans]
+    labels, texts, starts, ends, metas = zip(*flat, strict=True) if flat else ((), (), (), (), ())
+    kind = ARROW_SPANS.value_type
+    maps = pa.array([None if m is None else list(m.items()) for m in metas], kind.field("meta").type)
+    columns = [*(pa.array(v, kind.field(c).type) for c, v in (("label", labels), ("text", texts), ("start", starts), ("end_pos", ends))), maps]
+    offsets = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(kind)), type=ARROW_SPANS)
 
 
 def extractor(kernel: Callable[[str, str], list[Raw]], may: dict[str, str] | None = None) -> Callable[[Column, Column], Column]:
     """A function of (text, lang) columns from a kernel. may: by language, a cheap pattern (Java's) that a text must have."""
 
-    @F.pandas_udf(SPANS)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, langs in batches:
-            yield pd.Series([[] if t is None else kernel(t, "ar" if g == "ar" else "fr") for t, g in zip(texts, langs, strict=True)], dtype=object)
+            yield span_arrays([[] if t is None else kernel(t, "ar" if g == "ar" else "fr") for t, g in zip(texts.to_pylist(), langs.to_pylist(), strict=True)])
 
     def spans(text: Column, lang: Column) -> Column:
         if may is None:

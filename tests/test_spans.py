@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -52,6 +54,60 @@ def test_text_is_the_slice(text):
     assert all(a[3] <= b[2] for a, b in zip(kept, kept[1:], strict=False))
 
 
+def _plain_legal_entities(text, lang):
+    """All patterns over all of the text, dates of both languages always."""
+    out = []
+    if lang == "fr":
+        ministry, forms = r"\b[Mm]inist[èe]re\s+(?:de\s+l['’]|de\s+la\s+|des?\s+|du\s+)[^,;.:\n()]{3,90}", S.REFERENCES_FR
+    else:
+        ministry, forms = r"وزارة(?:\s+[ء-ي]+){1,4}", S.REFERENCES_AR
+    by_start = lambda pairs: sorted(((label, m.group(), m.start(), m.end()) for label, p in pairs for m in re.finditer(p, text)), key=lambda s: s[2])
+    tables = [("DATE_GREGORIAN", S.fixed.GREGORIAN_FR, "4"), ("DATE_HIJRI", S.fixed.HIJRI_FR, "3,4")] if lang == "fr" else [("DATE_GREGORIAN", S.fixed.GREGORIAN_AR, "4"), ("DATE_HIJRI", S.fixed.HIJRI_AR, "3,4")]
+    days = []
+    for label, months, digits in tables:
+        names = S.longest_first(list(months))
+        fr, ar = rf"(?i)\b\d{{1,2}}(?:er)?\s+(?:{names})\s+\d{{{digits}}}\b", rf"{S.D_AR}{{1,2}}\s+(?:من\s+)?(?:{S.any_alef(names)})\s+{S.D_AR}{{{digits}}}"
+        days.append((label, fr if lang == "fr" else ar))
+    places = [(a, b.strip(), c, d) for a, b, c, d in by_start([("INSTITUTION", S.INSTITUTION_AR)])] if lang == "ar" else []
+    for s in [*by_start([("MINISTERE", ministry)]), *by_start(forms.items()), *by_start(days), *places]:
+        if all(s[3] <= o[2] or s[2] >= o[3] for o in out):
+            out.append(s)
+    return sorted(out, key=lambda s: s[2])
+
+
+PIECES = [
+    "ministère de la pêche", "ministère", "dahir n° 1-58-008", "loi n° 31-58", "décret", "arrêté du ministre", "Bulletin officiel n° 1234", "cent millions d'euros", "1.000,00 DH", "société « A B »", "ABC CO", "LTD", "BANK AL-MAGHRIB",
+    "1er mars 2020", "12 rejeb 1420", "5", "12", "2020", "1420", "x1", "MARS", "وزارة", "الصيد", "وزارة الصيد", "ظهير", "قانون رقم 12.06", "مرسوم", "قرار", "لوزير الصيد", "منشور رقم 1.2", "الجريدة الرسمية عدد 1234", "عمالة", "إقليم", "من", "مارس", "أبريل", "ابريل",
+    "رجب", "12 رجب 1420", "5 من مارس 2020", "٢٠٢٠", "صادر في", "،", ",", ".", "(", ")", "\n",
+]
+
+
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from([" ", " ", ""])), max_size=14))
+def test_legal_entities_as_by_all_patterns(parts):
+    text = "".join(a + b for a, b in parts)
+    for lang in ("fr", "ar"):
+        assert [s[:4] for s in S.legal_entities(text, lang)] == _plain_legal_entities(text, lang)
+
+
+def test_patterns_are_made_once(monkeypatch):
+    texts = [("du 12 mars 2020 (12 rejeb 1420)", "fr"), ("في 5 من مارس 2020 الموافق 12 رجب 1420", "ar")]
+    once = [S.legal_entities(*t) for t in texts]
+    made = []
+    monkeypatch.setattr(S, "longest_first", lambda words: made.append(words) or "x")
+    monkeypatch.setattr(S, "any_alef", lambda pattern: made.append(pattern) or pattern)
+    assert [S.legal_entities(*t) for t in texts] == once and not made
+    assert [len(x) for x in once] == [2, 2]
+
+
+def test_spans_of_columns(spark):
+    texts = [(0, "du 12 mars 2020, loi n° 31-58", "fr"), (1, None, "fr"), (2, "rien", "fr"), (3, "وزارة الصيد من 5 من مارس 2020", "ar"), (4, "loi n° 5-20", None), (5, "", "ar")]
+    rows = spark.createDataFrame(texts, "i int, t string, g string").coalesce(1)
+    for kernel, find in ((S.legal_entities, S.find_legal_entities), (S.dates, S.find_dates), (S.citations, S.find_citations)):
+        found = {r["i"]: [tuple(s) for s in r["s"]] for r in rows.select("i", find(F.col("t"), F.col("g")).alias("s")).collect()}
+        assert found == {i: [] if t is None else kernel(t, g or "fr") for i, t, g in texts}
+    assert rows.where("t IS NULL").select(S.find_legal_entities(F.col("t"), F.col("g"))).collect()[0][0] == []
+
+
 def _span(label, text, start, end):
     return {"label": label, "text": text, "start": start, "end_pos": end, "meta": None}
 
