@@ -11,7 +11,8 @@ spellings, qualifiers and initials enters blocking again, and so on until a roun
 the same qualifiers (a set within the other); then, for a profile without qualifiers, abbreviations, initials or a bare name
 that fit one full profile alone; at last, where no full profile is near, abbreviations and bare names among themselves. Ministries
 go through the same rounds, blocked by the words of their field. Rounds are DataFrame jobs; a block is what has one spelling, or
-one like it, in one bulletin, each distinct form once, so its size follows from the number of forms, not of rows.
+one like it, in one bulletin, each distinct form once, so its size follows from the number of forms, not of rows. The profiles of one
+kind in one bulletin (its home) meet no others, so a home in which a round merges nothing is done, and later rounds leave it out.
 
 Labels don't matter. Null, empty and numeric mentions link to nothing. Copies of a spelling share its profile. A mention of
 qualifiers alone, or of a field that fits several ministries, has the cluster of its own folded form.
@@ -23,12 +24,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.confusables import one_form
+from quirework.llm.confusables import needs_form, one_form
 from quirework.llm.pairs import differing_pairs
 from quirework.sources.tables import cut, table
 
@@ -49,12 +52,31 @@ STOP = {"de", "la", "le", "les", "du", "des", "et", "l", "d", "en", "a", "aux",
 
 ARABIC = re.compile(r"[؀-ۿ]")
 WORD = re.compile(r"[^\W\d_]+")
+DIGIT = re.compile(r"\d")
+#: Legal forms written with dots.
+SARL_ARABIC = re.compile(r"\b(?:ش\s*\.\s*)?م\s*\.\s*م\b\.?")
+SARL = re.compile(r"\bs\.\s?a\.\s?r\.\s?l\b\.?")
+SA = re.compile(r"\bs\.\s?a\b\.?(?!\w)")
+
+
+class _Plain(dict):
+    """What each character is folded to, found once: marks go and letters keep their order, so a text is folded character by character."""
+
+    INTERCHANGED = str.maketrans("أإآٱىة", "اااايه", "ـ")
+
+    def __missing__(self, code: int) -> str:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        self[code] = plain = plain.translate(self.INTERCHANGED)
+        return plain
+
+
+PLAIN = _Plain()
 
 
 def fold(text: str) -> str:
     """Lower case without accents; Arabic letters that people interchange as one."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", one_form(text).lower()) if not unicodedata.combining(c))
-    return plain.translate(str.maketrans("أإآٱىة", "اااايه")).replace("ـ", "")
+    plain = (one_form(text) if needs_form(text) else text).lower()
+    return plain if plain.isascii() else plain.translate(PLAIN)
 
 
 def close(a: str, b: str) -> bool:
@@ -64,7 +86,18 @@ def close(a: str, b: str) -> bool:
     most = 2 if min(len(a), len(b)) >= 9 else 1
     if abs(len(a) - len(b)) > most or min(len(a), len(b)) < 4:
         return False
-    return distance(a, b, most) <= most
+    # what both begin and end with alike needs no edit
+    i, j, k = 0, len(a), len(b)
+    while i < j and i < k and a[i] == b[i]:
+        i += 1
+    while j > i and k > i and a[j - 1] == b[k - 1]:
+        j, k = j - 1, k - 1
+    longer = max(j, k) - i
+    if longer <= most:
+        return True
+    if most == 1:
+        return longer == 2 and j == k and a[i] == b[i + 1] and a[i + 1] == b[i]
+    return distance(a[i:j], b[i:k], most) <= most
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -102,15 +135,22 @@ MINISTRY_FOLDED = {fold(w) for w in MINISTRY}
 PARTICLE_FOLDED = {fold(w) for w in PARTICLES}
 
 
+@lru_cache(maxsize=100_000)
+def _like_ben(word: str) -> bool:
+    return distance(word, "ben", 1) < 2
+
+
 def parse(text: str) -> Parsed | None:
     """The parts of a mention; null for what has digits or no letters."""
     plain = fold(text)
-    if re.search(r"\d", plain) or not WORD.search(plain):
+    if DIGIT.search(plain) or not WORD.search(plain):
         return None
     out = Parsed()
-    plain = re.sub(r"\b(?:ش\s*\.\s*)?م\s*\.\s*م\b\.?", " شمم ", plain.replace("ش.م.م", " شمم "))
-    plain = re.sub(r"\bs\.\s?a\.\s?r\.\s?l\b\.?", " sarl ", plain)
-    plain = re.sub(r"\bs\.\s?a\b\.?(?!\w)", " sa ", plain)
+    if "." in plain:
+        if "م" in plain:
+            plain = SARL_ARABIC.sub(" شمم ", plain.replace("ش.م.م", " شمم "))
+        if "s." in plain:
+            plain = SA.sub(" sa ", SARL.sub(" sarl ", plain))
     plain = plain.replace("السيد(ه)", " السيد ")
     tokens = [(m.group(), plain[m.end() : m.end() + 1] == ".") for m in WORD.finditer(plain)]
     for k, (w, dot) in enumerate(tokens):
@@ -123,7 +163,7 @@ def parse(text: str) -> Parsed | None:
             out.company = True
         elif w in TITLE_FOLDED and (first or len(w) > 2) and len(tokens) > 1 and not (w == "m" and dot and not first):
             out.title = True
-        elif w in STOP or w in PARTICLE_FOLDED or (len(w) < 5 and not dot and distance(w, "ben", 1) < 2):
+        elif w in STOP or w in PARTICLE_FOLDED or (len(w) < 5 and not dot and _like_ben(w)):
             continue
         elif dot and len(w) <= 6 and len(tokens) > 1:
             out.short.append(w)
@@ -160,16 +200,16 @@ def mentions(rows: DataFrame) -> DataFrame:
     """The distinct mentions (doc_id, text, n, parts) of rows (doc_id, text)."""
     distinct = rows.where("text IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings, names_ = pa.list_(pa.string()), ["doc_id", "text", "n", "words", "short", "company", "ministry", "waw"]
         for batch in batches:
-            out = []
-            for doc, text, n in zip(batch["doc_id"], batch["text"], batch["n"], strict=True):
-                p = parse(text)
-                if p is not None:
-                    out.append((doc, text, n, p.words, p.short, p.company, p.ministry, p.waw))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n", "words", "short", "company", "ministry", "waw"])
+            parsed = [parse(text) for text in batch.column("text").to_pylist()]
+            own = [p for p in parsed if p is not None]
+            kept = batch.filter(pa.array([p is not None for p in parsed], pa.bool_()))
+            parts = [pa.array([p.words for p in own], strings), pa.array([p.short for p in own], strings), *(pa.array([getattr(p, x) for p in own], pa.bool_()) for x in names_[5:])]
+            yield pa.RecordBatch.from_arrays([*(kept.column(x) for x in names_[:3]), *parts], names=names_)
 
-    return distinct.mapInPandas(split, MENTION)
+    return distinct.mapInArrow(split, MENTION)
 
 
 @dataclass(frozen=True)
@@ -199,7 +239,7 @@ class Lexicon:
             return "trade", self.trades[word]
         if word in self.given:
             return "given", self.given[word]
-        near = {kx for hole in _holes(word) for kx in index.get(hole, ()) if close(kx[1], word)} or set(index.get("~" + sound(word), ()))
+        near = {kx for kx in {kx for hole in _holes(word) if hole in index for kx in index[hole]} if close(kx[1], word)} or set(index.get("~" + sound(word), ()))
         if not near:
             return None
         kind, x = min(near, key=lambda kx: (distance(kx[1], word, 2), kx[1]))
@@ -316,18 +356,17 @@ def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
     """Each mention with its kind, distinctive part (of a ministry: its field in one word) and qualifiers (of a ministry: the words of its field)."""
     shared = parsed.sparkSession.sparkContext.broadcast(known)
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shared.value, {}
         index = known.index()
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                words, short = [str(w) for w in r.words], [str(w) for w in r.short]
-                fields = [_field(w) for w in words]
-                if r.ministry or (r.waw and fields and all(f in known.fields for f in fields)):
-                    out.append((r.doc_id, r.text, "ministry", "".join([*fields[:1], *words[1:]]), sorted(set(fields)), sorted(set(short))))
+            for words, short, company, ministry, waw in zip(*(batch.column(c).to_pylist() for c in ("words", "short", "company", "ministry", "waw")), strict=True):
+                fields = [_field(w) for w in words] if ministry or waw else []
+                if ministry or (waw and fields and all(f in known.fields for f in fields)):
+                    out.append(("ministry", "".join([*fields[:1], *words[1:]]), sorted(set(fields)), sorted(set(short))))
                     continue
-                if r.waw:
+                if waw:
                     short.append("و")
                 given, trades, rest, unsure = [], [], [], []
                 for w in words:
@@ -339,7 +378,7 @@ def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
                         unsure.append((w, q[1]))
                 long = [w for w in rest if len(w) > 3]
                 rest = long or rest
-                kind = "company" if r.company or trades else "person"
+                kind = "company" if company or trades else "person"
                 if kind == "company" and given and not rest:
                     rest, given = given, []
                 if len(rest) > 1:  # a name broken by a blank, or a rare given name before a family name
@@ -350,13 +389,14 @@ def profiles(parsed: DataFrame, known: Lexicon) -> DataFrame:
                 if not rest and len(given) > 1 and kind == "person":
                     rest, given = given[-1:], given[:-1]
                 if not rest:
-                    out.append((r.doc_id, r.text, "other", " ".join(sorted(words + short)), [], []))
+                    out.append(("other", " ".join(sorted(words + short)), [], []))
                     continue
                 qualifiers = trades if kind == "company" else [p for g in given for p in g.split(" ")]
-                out.append((r.doc_id, r.text, kind, bare(rest[0]), sorted(set(qualifiers)), sorted(set(short))))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "kind", "family", "given", "short"])
+                out.append((kind, bare(rest[0]), sorted(set(qualifiers)), sorted(set(short))))
+            parts = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *parts], names=["doc_id", "text", "kind", "family", "given", "short"])
 
-    return parsed.mapInPandas(build, PROFILE)
+    return parsed.mapInArrow(build, PROFILE)
 
 
 def _left_out(c: F.Column) -> F.Column:
@@ -364,16 +404,76 @@ def _left_out(c: F.Column) -> F.Column:
     return F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
 
 
+#: Spellings of a home that are compared each with each; a home of more goes by words with letters left out.
+EACH = 100
+
+
 def near_spellings(spellings: DataFrame) -> DataFrame:
     """(sid, near): for each spelling (sid, home, word) the close ones of the same home, both ways.
 
+    Few spellings of a home are compared each with each as they come by; of more, only those that share a key (see _keyed_pairs)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, own, many = None, [], False
+        for batch in batches:
+            pairs, passed = [], []
+            for sid, home, word in zip(*(batch.column(c).to_pylist() for c in ("sid", "home", "word")), strict=True):
+                if home != here:
+                    pairs += [] if many else _near_pairs(own)
+                    here, own, many = home, [], False
+                own.append((sid, home, word))
+                if many or len(own) > EACH:
+                    passed += own
+                    own, many = [], True
+            yield rows(pairs, passed)
+        yield rows(_near_pairs(own), [])
+
+    def rows(pairs: list[tuple[int, int]], passed: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        sid, near = [p[0] for p in pairs] + [p[0] for p in passed], [p[1] for p in pairs] + [None] * len(passed)
+        home, word = [None] * len(pairs) + [p[1] for p in passed], [None] * len(pairs) + [p[2] for p in passed]
+        return pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(near, pa.int64()), pa.array(home, pa.int64()), pa.array(word, pa.string())], names=["sid", "near", "home", "word"])
+
+    by_home = spellings.where(F.length("word") > 3).select("sid", F.col("home").cast("bigint").alias("home"), "word").repartition("home").sortWithinPartitions("home")
+    both = cut(by_home.mapInArrow(compare, "sid bigint, near bigint, home bigint, word string"))
+    found, large = both.where("near IS NOT NULL").select("sid", "near"), both.where("near IS NULL").select("sid", "home", "word")
+    if large.isEmpty():
+        return found
+    more = _keyed_pairs(large)
+    return found.unionByName(more).unionByName(more.select(F.col("near").alias("sid"), F.col("sid").alias("near")))
+
+
+def _letters(word: str) -> int:
+    """A bit for each letter."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def _near_pairs(spellings: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The close ones of a few spellings, both ways. An edit changes at most two letters of the set of a word's letters."""
+    out = []
+    if len(spellings) < 2:
+        return out
+    ready = [(sid, w, len(w), _letters(w), sound(w)) for sid, _, w in spellings]
+    ready = [(sid, w, n, bits, heard, bits if heard == w else _letters(heard)) for sid, w, n, bits, heard in ready]
+    for k, (sid, a, n, bits, heard, heard_bits) in enumerate(ready):
+        for other, b, m, other_bits, other_heard, other_heard_bits in ready[:k]:
+            if (-3 < n - m < 3 and (bits ^ other_bits).bit_count() < 5 and close(a, b)) or ((heard_bits ^ other_heard_bits).bit_count() < 5 and close(heard, other_heard)):
+                out += [(sid, other), (other, sid)]
+    return out
+
+
+def _keyed_pairs(spellings: DataFrame) -> DataFrame:
+    """(sid, near): close spellings of a home, found by keys.
+
     Words at most one edit apart, swaps included, share a word with one letter left out; from nine letters on two may be left
     out. So do words that sound alike, by their sounds. What shares one is compared letter by letter. Letters are few, so what
     shares one key is bounded by the alphabet and the length of a word."""
     heard = F.col("word")
     for written, one in SOUNDS:
         heard = F.replace(heard, F.lit(written), F.lit(one))
-    keyed = spellings.where(F.length("word") > 3).withColumn("heard", heard)
+    keyed = spellings.withColumn("heard", heard)
     once = F.array_distinct(F.concat(_left_out(F.col("word")), _left_out(F.col("heard"))))
     twice = F.when(F.length("word") >= 9, F.flatten(F.transform(once, _left_out))).otherwise(once)
     keys = keyed.select("sid", F.explode(F.array_distinct(F.transform(twice, lambda x: F.xxhash64("home", x)))).alias("key"))
@@ -384,27 +484,27 @@ def near_spellings(spellings: DataFrame) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([close(x, y) or close(sound(x), sound(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    found = cut(named.where(alike("a", "b")).select("sid", "other"))
-    return found.select("sid", F.col("other").alias("near")).unionByName(found.select(F.col("other").alias("sid"), F.col("sid").alias("near")))
+    return cut(named.where(alike("a", "b")).select("sid", F.col("other").alias("near")))
 
 
 def first_profiles(own: DataFrame) -> DataFrame:
-    """(pid, kind, spellings, near, given, short, members) of each distinct form (kind, family, given, short) of a bulletin.
+    """(pid, home, kind, spellings, near, given, short, members) of each distinct form (kind, family, given, short) of a bulletin.
 
     spellings and near are numbers of (doc_id, kind, word); those of a ministry are the words of its field and the beginning and end of the
     field in one word."""
     joined = F.col("family")
     words = F.when(F.col("kind") == "ministry", F.concat("given", F.array(F.concat(F.lit("^"), F.left(joined, F.lit(6))), F.concat(F.right(joined, F.lit(6)), F.lit("$"))))).otherwise(F.array(joined))
     number = lambda w: F.xxhash64("doc_id", "kind", w)
+    home = F.xxhash64("doc_id", "kind").alias("home")
     forms = own.select("doc_id", "kind", "family", "given", "short", form_number().alias("pid")).distinct()
-    forms = cut(forms.select("pid", "doc_id", "kind", "family", words.alias("words"), F.array(F.array_join("given", " ")).alias("given"), F.array(F.array_join("short", " ")).alias("short")))
-    parts = forms.where("kind <> 'other'").select("pid", "doc_id", "kind", F.explode("words").alias("word"))
-    spelt = parts.select(number("word").alias("sid"), F.xxhash64("doc_id", "kind").alias("home"), "word").where("NOT (startswith(word, '^') OR endswith(word, '$'))").distinct()
+    forms = cut(forms.select("pid", home, "doc_id", "kind", "family", words.alias("words"), F.array(F.array_join("given", " ")).alias("given"), F.array(F.array_join("short", " ")).alias("short")))
+    parts = forms.where("kind <> 'other'").select("pid", "home", "doc_id", "kind", F.explode("words").alias("word"))
+    spelt = parts.select(number("word").alias("sid"), "home", "word").where("NOT (startswith(word, '^') OR endswith(word, '$'))").distinct()
     near = parts.select("pid", number("word").alias("sid")).join(near_spellings(spelt), "sid").groupBy("pid").agg(F.collect_set("near").alias("near"))
     none = F.array().cast("array<bigint>")
     kept = lambda c: F.filter(F.col(c), lambda x: x != "")
     return forms.join(near, "pid", "left").select(
-        "pid", "kind", F.transform("words", number).alias("spellings"), F.coalesce("near", none).alias("near"), kept("given").alias("given"), kept("short").alias("short"), F.when(F.col("kind") == "ministry", F.array("family")).otherwise(F.array().cast("array<string>")).alias("joined"),
+        "pid", "home", "kind", F.transform("words", number).alias("spellings"), F.coalesce("near", none).alias("near"), kept("given").alias("given"), kept("short").alias("short"), F.when(F.col("kind") == "ministry", F.array("family")).otherwise(F.array().cast("array<string>")).alias("joined"),
         F.array("pid").alias("members"),
     )
 
@@ -515,78 +615,110 @@ def _ministry_links(members: list[Member]) -> list[Link]:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _sets(written: str) -> list[frozenset[str]]:
+    return [frozenset(g.split(" ")) for g in written.split("|")] if written else []
+
+
+@lru_cache(maxsize=100_000)
+def _tuples(written: str) -> list[tuple[str, ...]]:
+    return [tuple(s.split(" ")) for s in written.split("|")] if written else []
+
+
 def links(profiles_: DataFrame) -> DataFrame:
-    """(pid, to, what, far): the links of all blocks. Blocks come one after the other in sorted partitions."""
+    """(home, pid, to, what, far): the links of all blocks. Blocks come one after the other in sorted partitions.
+
+    What a profile holds crosses to Python as text, its parts between bars (words are letters alone)."""
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kind, members = None, "", []
-        columns = ["pid", "to", "what", "far"]
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kind, home, rows = None, "", 0, []
         for batch in batches:
-            out: list[Link] = []
-            for block, k, pid, own, given, short, joined in zip(*(batch[c] for c in ("block", "kind", "pid", "own", "given", "short", "joined")), strict=True):
-                if block != key:
-                    if len(members) > 1:
-                        out += links_of_block(kind, members)
-                    key, kind, members = block, k, []
-                members.append(Member(pid, own, [frozenset(g.split(" ")) for g in given], [tuple(s.split(" ")) for s in short], list(joined)))
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(links_of_block(kind, members) if len(members) > 1 else [], columns=columns)
+            out: list[tuple[int, Link]] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "home", "pid", "own", "given", "short", "joined")), strict=True):
+                if row[0] != key:
+                    if len(rows) > 1:
+                        out += [(home, x) for x in linked(kind, rows)]
+                    key, kind, home, rows = row[0], row[1], row[2], []
+                rows.append(row[3:])
+            yield columns(out)
+        yield columns([(home, x) for x in linked(kind, rows)] if len(rows) > 1 else [])
+
+    def linked(kind: str, rows: list[tuple]) -> list[Link]:
+        return links_of_block(kind, [Member(pid, own, _sets(given), _tuples(short), joined.split("|") if kind == "ministry" else []) for pid, own, given, short, joined in rows])
+
+    def columns(out: list[tuple[int, Link]]) -> pa.RecordBatch:
+        parts = [pa.array([h for h, _ in out], pa.int64()), *(pa.array([x[k] for _, x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32())))]
+        return pa.RecordBatch.from_arrays(parts, names=["home", "pid", "to", "what", "far"])
 
     places = F.concat(
         F.transform("spellings", lambda x: F.struct(x.alias("block"), F.lit(True).alias("own"))),
         F.transform(F.array_except("near", "spellings"), lambda x: F.struct(x.alias("block"), F.lit(False).alias("own"))),
     )
-    rows = profiles_.where("kind <> 'other'").select("kind", "pid", "given", "short", "joined", F.explode(places).alias("at")).select("at.block", "at.own", "kind", "pid", "given", "short", "joined")
-    return rows.repartition("block").sortWithinPartitions("block", "pid").mapInPandas(match, "pid bigint, to bigint, what string, far int")
+    written = [F.array_join(c, "|").alias(c) for c in ("given", "short", "joined")]
+    rows = profiles_.where("kind <> 'other'").select("kind", "home", "pid", *written, F.explode(places).alias("at")).select("at.block", "at.own", "kind", "home", "pid", "given", "short", "joined")
+    return rows.repartition("block").sortWithinPartitions("block", "pid").mapInArrow(match, "home bigint, pid bigint, to bigint, what string, far int")
 
 
-def merged_into(found: DataFrame, alone: bool) -> DataFrame:
-    """(pid, to): what each profile merges into by the links found. alone: whether no full profile of any bulletin merges any more, so that
-    profiles without qualifiers may merge among themselves."""
+def merged_into(found: DataFrame) -> DataFrame:
+    """(home, pid, to): what each profile merges into by the links found. In a home where no full profile merges any more, profiles
+    without qualifiers merge among themselves."""
     of = lambda what: F.collect_set(F.when(F.col("what") == what, F.col("to")))
     least = lambda what: F.min(F.when(F.col("what") == what, F.col("to")))
     own = found.groupBy("pid").agg(
-        least("same").alias("same"), of("fits").alias("fits"), of("near").alias("near"), of("short").alias("short"), least("alike").alias("alike"), F.count_if(F.col("what") == "known").alias("known"),
-        F.min(F.when(F.col("what") == "part", F.struct("far", "to"))).alias("part"), least("bare").alias("bare"),
+        F.first("home").alias("home"), least("same").alias("same"), of("fits").alias("fits"), of("near").alias("near"), of("short").alias("short"), least("alike").alias("alike"),
+        F.count_if(F.col("what") == "known").alias("known"), F.min(F.when(F.col("what") == "part", F.struct("far", "to"))).alias("part"), least("bare").alias("bare"),
     )
     one = F.when(F.size("fits") == 1, F.col("fits")[0]).when((F.size("fits") == 0) & (F.size("near") == 1), F.col("near")[0])
     full = F.coalesce(F.when(F.col("same") < F.col("pid"), F.col("same")), F.when(F.col("same").isNull(), F.coalesce(F.col("part")["to"], one)))
     among = F.when(F.col("known") + F.size("fits") + F.size("near") == 0, F.coalesce("alike", F.when(F.size("short") <= 1, F.col("bare"))))
-    return own.select("pid", (among if alone else full).alias("to")).where("to IS NOT NULL")
+    either = own.select("home", "pid", full.alias("full"), among.alias("among")).where("full IS NOT NULL OR among IS NOT NULL")
+    alone = F.max("full").over(Window.partitionBy("home")).isNull()
+    return either.select("home", "pid", F.when(alone, F.col("among")).otherwise(F.col("full")).alias("to")).where("to IS NOT NULL")
 
 
 def merge(profiles_: DataFrame, into: DataFrame) -> DataFrame:
     """The profiles with those merged that go to one, spellings, qualifiers and initials united."""
+    into = into.select("pid", "to")
     further = into.join(into.select(F.col("pid").alias("to"), F.col("to").alias("end")), "to", "left").select("pid", F.coalesce("end", "to").alias("to"))
     moved = profiles_.join(further, "pid", "left").withColumn("pid", F.coalesce("to", "pid"))
     united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spellings", "near", "given", "short", "joined", "members")]
-    return moved.groupBy("pid").agg(F.first("kind").alias("kind"), *united).select(profiles_.columns)
+    return moved.groupBy("pid").agg(F.first("home").alias("home"), F.first("kind").alias("kind"), *united).select(profiles_.columns)
+
+
+#: Most homes whose numbers are broadcast; more are joined by a shuffle.
+MOST_HOMES = 100_000
 
 
 def resolve(own: DataFrame) -> DataFrame:
-    """(form, cluster) of each form: rounds of blocking, matching and merging until none merges."""
-    open_, alone = cut(first_profiles(own)), False
+    """(form, cluster) of each form: rounds of blocking, matching and merging, in each home until none merges.
+
+    The first round merges in most homes, so all of them enter the second; from then on only those in which the last round merged."""
+    placed = lambda profiles_: profiles_.select(F.explode("members").alias("form"), F.col("pid").alias("cluster"))
+    open_, done, first = cut(first_profiles(own)), [], True
     while True:
-        found = cut(links(open_))
-        into = cut(merged_into(found, alone))
+        into = cut(merged_into(links(open_)))
         if into.isEmpty():
-            if alone:
-                break
-            alone = True
-            into = cut(merged_into(found, alone))
-            if into.isEmpty():
-                break
-        alone = False
-        open_ = cut(merge(open_, into))
-    return open_.select(F.explode("members").alias("form"), F.col("pid").alias("cluster"))
+            break
+        if not first:
+            homes = into.select("home").distinct()
+            homes = F.broadcast(homes) if homes.count() <= MOST_HOMES else homes
+            done.append(placed(open_.join(homes, "home", "left_anti")))
+            open_ = open_.join(homes, "home", "left_semi")
+        open_, first = cut(merge(open_, into)), False
+    return reduce(DataFrame.unionByName, done, placed(open_))
+
+
+def numbered_clusters(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, cluster) of the distinct mentions of rows (doc_id, text); a cluster has the number of one of its forms."""
+    parsed = cut(mentions(rows))
+    own = cut(profiles(parsed, lexicon(parsed)))
+    placed = own.select("doc_id", "text", form_number().alias("form")).join(resolve(own), "form")
+    return placed.select("doc_id", "text", "cluster")
 
 
 def clusters(rows: DataFrame) -> DataFrame:
     """(doc_id, text, cluster) of the distinct mentions of rows (doc_id, text)."""
-    parsed = cut(mentions(rows))
-    own = cut(profiles(parsed, lexicon(parsed)))
-    placed = own.select("doc_id", "text", form_number().alias("form")).join(resolve(own), "form")
-    return placed.select("doc_id", "text", F.col("cluster").cast("string").alias("cluster"))
+    return numbered_clusters(rows).withColumn("cluster", F.col("cluster").cast("string"))
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -599,8 +731,8 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of a bulletin that name the same one by different texts."""
     rows = _rows(spark, folder)
-    placed = rows.join(clusters(rows), ["doc_id", "text"])
-    return differing_pairs(cut(placed.select("doc_id", "cluster", "id", F.col("text").alias("raw"))), ["doc_id", "cluster"], [])
+    placed = rows.join(numbered_clusters(rows), ["doc_id", "text"])
+    return differing_pairs(cut(placed.select("cluster", "id", F.col("text").alias("raw"))), ["cluster"], [])
 
 
 def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,6 +75,50 @@ def test_near_spellings_are_brute_force(spark):
     assert all(i != j and (j, i) in near for i, j in near) and not missed
 
 
+def test_few_and_many_spellings_of_a_home_give_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abouw") for _ in range(n)) for n in (3, 4, 5, 9, 10, 11) for _ in range(40)} | {"ouabou", "uabu", "shabou", "chabu"})
+    rows = [(100 * h + k, h, w) for h, own in enumerate((words[::3], words[1::3], words[2::3], words[:1])) for k, w in enumerate(own)]
+    like = lambda a, b: len(a) > 3 < len(b) and (names.close(a, b) or names.close(names.sound(a), names.sound(b)))
+    right = {(i, j) for i, h, a in rows for j, g, b in rows if h == g and i != j and like(a, b)}
+    for each in (1, 60, 1000):
+        monkeypatch.setattr(names, "EACH", each)
+        near = [tuple(r) for r in names.near_spellings(spark.createDataFrame(rows, "sid bigint, home bigint, word string")).collect()]
+        assert len(near) == len(set(near)) and set(near) == right
+
+
+def test_closeness_is_by_edits():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        a = [rng.choice("abc") for _ in range(rng.randrange(3, 12))]
+        b = a[:]
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randrange(3)] = [rng.choice("abc") for _ in range(rng.randrange(3))] if rng.random() < 0.5 or k + 1 == len(b) else [b[k + 1], b[k]]
+            b = b or ["a"]
+        a, b = "".join(a), "".join(b)
+        most = 2 if min(len(a), len(b)) >= 9 else 1
+        assert names.close(a, b) == (a == b or min(len(a), len(b)) > 3 and names.distance(a, b, 99) <= most)
+
+
+def test_homes_without_merges_leave_the_rounds(spark, monkeypatch):
+    chain = ["abcdefgh", "xbcdefgh", "xycdefgh", "xyzdefgh", "xyzwefgh", "xyzwvfgh", "xyzwvugh", "xyzwvuth"]
+    rows = [person(f"t{k}", w, ["omar"]) for k, w in enumerate(chain)]
+    for d in range(20):  # an only name, and two spellings of one
+        rows += [person("a", "danghi", ["ali"], doc=f"e{d}"), person("b", "toufas", ["ali"], doc=f"e{d}"), person("c", "tuofas", [], ["a"], doc=f"e{d}")]
+    entered, links = [], names.links
+
+    def counted(profiles_):
+        entered.append(profiles_.count())
+        return links(profiles_)
+
+    monkeypatch.setattr(names, "links", counted)
+    assert placed(spark, rows) == sorted([[f"t{k}" for k in range(8)]] + [["a"], ["b", "c"]] * 20)
+    assert entered[0] == 68 and len(entered) > 2 and max(entered[2:]) <= 8
+    monkeypatch.setattr(names, "MOST_HOMES", -1)  # the same without a broadcast
+    assert placed(spark, rows) == sorted([[f"t{k}" for k in range(8)]] + [["a"], ["b", "c"]] * 20)
+
+
 def test_a_block_gives_two_options_of_many():
     full = [names.Member(k, True, [frozenset([f"g{k}"])], [], []) for k in range(50)]
     bare = names.Member(99, True, [], [], [])
